@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.regex import apply_rules, extract, extract_all, matches, replace_all, trim_ws
 from ..functions.text import (
-    child_link, decode_uri, encode_uri, front_matter, let, page_filename, page_url, simple_name, slugify50, unslugify,
+    child_link, decode_uri, encode_uri, front_matter, let, page_url, simple_name, slugify50, unslugify,
 )
 from ..plans.ranking import ranked
 from ..plans.skew import spread_join
@@ -201,9 +201,8 @@ def resolve_includes(
     A page with neither a list nor links is included as its own Markdown, for
     which ``rows`` holds the other resolved references.
     """
-    wanted = store(
-        targets.where((F.col("kind") == "include") & (F.col("id") != F.col("target_id"))).select("id", "title", "target_id"),
-        "includes",
+    wanted = targets.where((F.col("kind") == "include") & (F.col("id") != F.col("target_id"))).select(
+        "id", "title", "target_id"
     )
     ids = wanted.select(F.col("target_id").alias("id")).distinct()
     bodies = store(
@@ -216,10 +215,11 @@ def resolve_includes(
         F.col("id").alias("target_id"), F.array_join("items", "\n").alias("text")
     )
     whole = bodies.where(F.size("items") == 0).select("id", "title", "html")
-    converted = convert_pages(whole, rows.where(F.col("kind") != "include"), options).select(
-        F.col("id").alias("target_id"), F.col("html").alias("text")
-    )
-    return spread_join(wanted, listed.unionByName(converted), ["target_id"], ["id"], "inner").select(
+    texts = listed
+    if not whole.isEmpty():
+        converted = convert_pages(whole, rows.where(F.col("kind") != "include"), options)
+        texts = listed.unionByName(converted.select(F.col("id").alias("target_id"), F.col("html").alias("text")))
+    return spread_join(wanted, texts, ["target_id"], ["id"], "inner").select(
         "id", F.lit("include").alias("kind"), F.col("title").alias("key"), include_text(F.col("title"), F.col("text")).alias("value")
     )
 
@@ -244,13 +244,18 @@ def resolve_refs(
     parts = store(child_list_parts(index, listed), "child-lists")
     rows = user_rows.unionByName(resolve_children(refs, targets, index, parts, options.inline_parts))
     if options.resolved_links:
-        files = index.select(F.col("id").alias("target_id"), page_filename(F.col("id"), F.col("title")).alias("value"))
-        links = targets.where(F.col("kind") == "link")
-        rows = rows.unionByName(
-            spread_join(links, files, ["target_id"], ["id"], "inner").select("id", "kind", F.col("title").alias("key"), "value")
-        )
+        rows = rows.unionByName(_link_rows(targets.where(F.col("kind") == "link"), index))
     rows = store(rows, "resolved")
-    return store(rows.unionByName(resolve_includes(targets, pages, rows, options)), "resolved-all"), parts
+    if targets.where(F.col("kind") == "include").isEmpty():
+        return rows, parts
+    return rows.unionByName(store(resolve_includes(targets, pages, rows, options), "included")), parts
+
+
+def _link_rows(links: DataFrame, index: DataFrame) -> DataFrame:
+    """Values of the page links: the file each target is really stored under."""
+    name = F.concat(F.col("id"), F.lit("-"), slugify50(F.col("title")), F.lit(".md"))
+    files = index.select(F.col("id").alias("target_id"), name.alias("value"))
+    return spread_join(links, files, ["target_id"], ["id"], "inner").select("id", "kind", F.col("title").alias("key"), "value")
 
 
 # ---- conversion --------------------------------------------------------------------
@@ -304,36 +309,29 @@ def convert_pages(pages: DataFrame, rows: DataFrame, options: MarkdownOptions =
 
 
 def split_long_lists(converted: DataFrame, parts: DataFrame) -> DataFrame:
-    """Give each row of a long child list its own output row.
+    """Give each row of a long child list its own output row: ``part`` orders the rows of a page.
 
-    ``part`` orders the rows of a page; a page without long lists is one row
-    with part 0.  Rows are addressed by (list, row), so a list of any length
-    spreads over as many tasks as it has rows.
+    Rows are addressed by (list, row), so a list of any length spreads over as
+    many tasks as it has rows.
     """
-    has_list = F.col("html").contains(M.LIST_OPEN)
-    whole = converted.where(~has_list).withColumn("part", F.lit(0).cast("bigint"))
-    split = converted.where(has_list)
-    gaps = split.select(
-        *[c for c in converted.columns if c != "html"], F.posexplode(F.split("html", M.LIST_TOKEN, -1)).alias("_n", "html")
-    ).withColumn("part", F.shiftleft(F.col("_n").cast("bigint") * 2, 32))
-    if "images" in converted.columns:
-        gaps = gaps.withColumn("images", F.when(F.col("_n") == 0, F.col("images")))
+    others = [c for c in converted.columns if c not in ("html", "images")]
+    gaps = (
+        converted.select(*others, "images", F.posexplode(F.split("html", M.LIST_TOKEN, -1)).alias("_n", "html"))
+        .withColumn("part", F.shiftleft(F.col("_n").cast("bigint") * 2, 32))
+        .withColumn("images", F.when(F.col("_n") == 0, F.col("images")))
+    )
     tokens = (
-        split.select(
-            *[c for c in converted.columns if c not in ("html", "images")],
-            F.posexplode(extract_all(F.col("html"), M.LIST_TOKEN, 1)).alias("_n", "_token"),
-        )
+        converted.select(*others, F.posexplode(extract_all(F.col("html"), M.LIST_TOKEN, 1)).alias("_n", "_token"))
         .withColumn("parent_id", F.substring_index("_token", "|", 1))
-        .withColumn("_rows", F.substring_index("_token", "|", -1).cast("int"))
-        .withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
+        .withColumn("_row", F.explode(F.sequence(F.lit(0), F.substring_index("_token", "|", -1).cast("int") - 1)))
         .withColumn("part", F.shiftleft(F.col("_n").cast("bigint") * 2 + 1, 32) + F.col("_row"))
     )
     texts = M.convert_plain(parts.select("parent_id", F.col("part").alias("_row"), F.col("text").alias("html")), "html")
-    lists = tokens.join(texts, ["parent_id", "_row"])
-    if "images" in converted.columns:
-        lists = lists.withColumn("images", F.lit(None).cast(converted.schema["images"].dataType))
+    lists = tokens.join(texts, ["parent_id", "_row"]).withColumn(
+        "images", F.lit(None).cast(converted.schema["images"].dataType)
+    )
     columns = [*converted.columns, "part"]
-    return whole.select(*columns).unionByName(gaps.select(*columns)).unionByName(lists.select(*columns))
+    return gaps.select(*columns).unionByName(lists.select(*columns))
 
 
 def pages_to_markdown(
@@ -346,11 +344,19 @@ def pages_to_markdown(
     """Markdown of the whole corpus: ``(id, part, file, markdown, images)``.
 
     ``pages`` has ``id, title, html``; ``index`` has ``pos, id, title,
-    parent_id`` of every page of the space.
+    parent_id`` of every page of the space.  A page is one row with part 0,
+    unless it shows a child list too long for one text; then its rows follow
+    each other by ``part``.
     """
     bodies = pages.select("id", "title", "html")
     rows, parts = resolve_refs(bodies, index, users, options, overrides)
-    converted = split_long_lists(convert_pages(bodies, rows, options), parts)
+    long_lists = rows.where(F.col("value").contains(M.LIST_OPEN)).select("id").distinct()
+    if long_lists.isEmpty():
+        converted = convert_pages(bodies, rows, options).withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        short = convert_pages(bodies.join(long_lists, "id", "left_anti"), rows, options)
+        long = store(convert_pages(bodies.join(long_lists, "id", "left_semi"), rows, options), "long-pages")
+        converted = short.withColumn("part", F.lit(0).cast("bigint")).unionByName(split_long_lists(long, parts))
     name = F.concat(F.col("id"), F.lit("-"), slugify50(F.col("title")))
     head = F.concat(
         front_matter(unslugify(name), F.col("id"), page_url(options.base_url, F.col("id"))), F.lit("\n\n")
@@ -409,3 +415,89 @@ def resolve_attachments(manifest: DataFrame, attachments: DataFrame) -> DataFram
     return spread_join(named, files, ["container_id", "filename"], ["page_id", "pos"]).withColumn(
         "found", F.col("filename").isNotNull()
     )
+
+
+# ---- single stages over whole tables ------------------------------------------------------
+
+
+def expand_children(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """``(id, html)`` with the ``children`` macros expanded."""
+    return _with_children(
+        pages, index, lambda html, refs: M.expand_children(html, _of_kind(refs, "children"), _own_list(refs))
+    )
+
+
+def expand_list_children(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """``(id, html)`` with the ``list-children`` macros expanded."""
+    return _with_children(pages, index, lambda html, refs: M.expand_list_children(html, _own_list(refs)))
+
+
+def _own_list(refs: Column) -> Column:
+    return F.try_element_at(_of_kind(refs, "self"), F.lit(""))
+
+
+def _with_children(pages: DataFrame, index: DataFrame, stage) -> DataFrame:
+    refs = store(page_refs(pages), "refs")
+    targets = _title_targets(refs, index, None)
+    listed = targets.where(F.col("kind") == "children").select(F.col("target_id").alias("id")).unionByName(
+        refs.where(F.col("kind") == "self").select("id")
+    )
+    parts = store(child_list_parts(index, listed), "child-lists")
+    rows = store(resolve_children(refs, targets, index, parts, INLINE_PARTS), "resolved")
+    return with_refs(pages.select("id", "html"), rows).select("id", stage(F.col("html"), F.col("refs")).alias("html"))
+
+
+def expand_includes(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """``(id, html)`` with the ``include`` macros replaced by what they include."""
+    refs = store(page_refs(pages), "refs")
+    targets = store(_title_targets(refs, index, None), "targets")
+    included = resolve_includes(targets, pages, refs.select("*", F.lit("").alias("value")).limit(0))
+    rows = store(included, "included")
+
+    def stage(html: Column, known: Column) -> Column:
+        return let(known, lambda k: M.fill_includes(M.mark_includes(html, k), k))
+
+    return with_refs(pages.select("id", "html"), rows).select(
+        "id", stage(F.col("html"), _of_kind(F.col("refs"), "include")).alias("html")
+    )
+
+
+def link_users(pages: DataFrame, users: DataFrame) -> DataFrame:
+    """``(id, html)`` with user references resolved."""
+    refs = store(page_refs(pages).where(F.col("kind").isin("username", "userkey")), "refs")
+    rows = store(resolve_users(refs, users).select("id", "kind", "key", F.substring("label", 2, 1 << 30).alias("value")), "resolved")
+    return with_refs(pages.select("id", "html"), rows).select(
+        "id", M.link_users(F.col("html"), _of_kind(F.col("refs"), "username"), _of_kind(F.col("refs"), "userkey")).alias("html")
+    )
+
+
+def link_pages(pages: DataFrame, index: DataFrame, resolved: bool = False) -> DataFrame:
+    """``(id, html)`` with page links as Markdown links; ``resolved`` points them at the real files."""
+    if not resolved:
+        return pages.select("id", M.link_pages(F.col("html")).alias("html"))
+    options = MarkdownOptions(resolved_links=True)
+    refs = store(page_refs(pages, options), "refs")
+    links = store(_title_targets(refs, index, None).where(F.col("kind") == "link"), "targets")
+    rows = store(_link_rows(links, index), "resolved")
+    return with_refs(pages.select("id", "html"), rows, options).select(
+        "id", M.link_pages(F.col("html"), _of_kind(F.col("refs"), "link")).alias("html")
+    )
+
+
+def match_ordinal(pages: DataFrame, pattern: str, group: int = 1, flags: str = "i") -> DataFrame:
+    """Every match of a pattern with its number within the page: ``(id, ordinal, text)``."""
+    return pages.select("id", F.posexplode(extract_all(F.col("html"), pattern, group, flags)).alias("ordinal", "text"))
+
+
+def assemble_page(pieces: DataFrame, sep: str, size: int = LIST_PART) -> DataFrame:
+    """Join ordered pieces ``(id, pos, s)`` of each text: ``(id, part, text)``.
+
+    A text of more than ``size`` pieces comes as several rows, so that no task
+    gathers an unbounded group.
+    """
+    numbered = ranked(pieces, ["pos"], "_rank", ["id"])
+    return (
+        numbered.groupBy("id", F.expr(f"cast((_rank - 1) div {size} as int)").alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", "s"))).alias("_pieces"))
+        .select("id", "part", F.array_join(F.transform("_pieces", lambda p: p["s"]), sep).alias("text"))
+    )

@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 from .storage import store
 
 
-def ranked(df: DataFrame, order: list[str | Column], out: str, group: list[str] | None = None) -> DataFrame:
+# Up to this many rows one task may number everything.
+SMALL_ROWS = 100_000
+
+
+def ranked(
+    df: DataFrame,
+    order: list[str | Column],
+    out: str,
+    group: list[str] | None = None,
+    small_rows: int = SMALL_ROWS,
+) -> DataFrame:
     """Add ``out``: the 1-based position of each row within ``group`` by ``order``.
 
     The table is range-partitioned by (group, order), so a large group spans
@@ -21,6 +31,9 @@ def ranked(df: DataFrame, order: list[str | Column], out: str, group: list[str]
     group = group or []
     ordering = [*(F.col(g) for g in group), *(F.col(o) if isinstance(o, str) else o for o in order)]
     placed = store(df.repartitionByRange(*ordering).withColumn("_part", F.spark_partition_id()), "ranked")
+    if placed.count() <= small_rows:
+        whole = W.partitionBy(*group).orderBy(*ordering)
+        return placed.drop("_part").withColumn(out, F.row_number().over(whole).cast("bigint"))
 
     group_key = F.struct(*(F.col(g) for g in group)) if group else F.struct(F.lit(0).alias("_all"))
     keyed = placed.withColumn("_group", group_key)

@@ -38,10 +38,13 @@ def spread_join(
     Rows of a hot key are spread over many tasks by a salt taken from
     ``row_key``, and the single dimension row of that key is repeated once per
     salt.  Rows with a null key match nothing and are spread the same way.
-    ``facts`` is read twice, so pass a stored table or a cheap scan.
+    ``facts`` is read twice, so pass a stored table or a cheap scan.  Facts too
+    few to hold a hot key take the plain join.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
+    if facts.count() <= min_rows:
+        return facts.join(dim, keys, how)
     hot = F.broadcast(hot_keys(facts.dropna(subset=keys), keys, shares, min_rows))
     spread = F.xxhash64(*row_key)
     no_key = F.lit(False)
@@ -58,3 +61,8 @@ def spread_join(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )
     return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+
+
+def broadcast_if_small(dim: DataFrame, max_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Mark a narrow dimension for broadcast once its row count is known to be small."""
+    return F.broadcast(dim) if dim.count() <= max_rows else dim
