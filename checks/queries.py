@@ -516,3 +516,233 @@ _RESOLVED = f"""tries AS (SELECT m.*, {_CANDIDATES} AS names FROM manifest m),
 add("resolve_attachments", cte(f"{_CONVERTED}, {_MANIFEST}, {_RESOLVED} SELECT * FROM resolved"), "v_storage", "v_users", "v_attachments")(
     lambda v: refs.resolve_attachments(store(_manifest(v), "manifest"), v.v_attachments)
 )
+
+# ---- sources, sinks, streams: over files that Spark writes from the tables ----------------------------------------
+
+
+def _scratch(v: Views, name: str) -> str:
+    return f"{checkpoint_folder(v.pages.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+def _land(v: Views, stale: bool = False) -> str:
+    """Write the current listing as listing responses of ``PAGE_SIZE`` pages; returns the folder.
+
+    ``stale`` adds responses behind the end of the listing.
+    """
+    listed = v.v_current.join(v.v_pages.select("id", "html"), "id")
+    numbered = store(ix.batch_number(listed, PAGE_SIZE), "listing")
+    when = F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    history = F.col("pos") % 2 == 1
+    item = F.struct(
+        "id",
+        "title",
+        F.struct(F.struct(F.col("html").alias("value")).alias("storage")).alias("body"),
+        F.struct(F.col("version").alias("number"), F.when(history, "").otherwise(when).alias("when")).alias("version"),
+        F.when(F.col("parent_id").isNotNull(), F.array(F.struct(F.lit("top").alias("id")), F.struct(F.col("parent_id").alias("id")))).alias("ancestors"),
+        F.struct(F.struct(F.when(history, when).alias("when")).alias("lastUpdated")).alias("history"),
+    )
+    last = numbered.select(F.max("batch_no")).scalar()
+    envelopes = numbered.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items")).select(
+        F.lit(SPACE).alias("space"),
+        F.transform("items", lambda i: i["item"]).alias("results"),
+        ((F.col("batch_no") - 1) * PAGE_SIZE).alias("start"),
+        F.lit(PAGE_SIZE).cast("bigint").alias("limit"),
+        F.size("items").cast("bigint").alias("size"),
+        F.struct(F.when(F.col("batch_no") < last, "more").alias("next")).alias("_links"),
+    )
+    if stale:
+        envelopes = envelopes.unionByName(envelopes.withColumn("start", F.col("start") + 1_000_000))
+    path = _scratch(v, "landing")
+    envelopes.repartition(4, "start").write.json(path)
+    return path
+
+
+_LISTED = f"listed AS (SELECT c.*, p.html, CAST(row_number() OVER (ORDER BY c.pos) - 1 AS BIGINT) AS n FROM v_current c JOIN v_pages p ON p.id = c.id)"
+_PAGE_SQL = f"SELECT '{SPACE}' AS space, n AS pos, CAST(n // {PAGE_SIZE} + 1 AS INT) AS api_page_number, id, title, {{body}}version, parent_id, modified_at FROM listed"
+
+add("scan_page_envelopes", cte(f"{_LISTED} {_PAGE_SQL.format(body='html AS body, ')}"), "v_pages", "v_current")(
+    lambda v: readers.scan_page_envelopes(v.pages.sparkSession, _land(v))
+)
+add("scan_page_metadata", cte(f"{_LISTED} {_PAGE_SQL.format(body='')}"), "v_pages", "v_current")(
+    lambda v: readers.scan_page_metadata(v.pages.sparkSession, _land(v, stale=True))
+)
+add("flatten_page", cte(f"{_LISTED} {_PAGE_SQL.format(body='html AS body, ')}"), "v_pages", "v_current")(
+    lambda v: readers.flatten_page(readers.read_envelopes(v.pages.sparkSession, _land(v)))
+)
+add(
+    "envelope_cutoff",
+    cte(f"{_LISTED} SELECT '{SPACE}' AS space, n // {PAGE_SIZE} * {PAGE_SIZE} AS start, count(*) AS size FROM listed GROUP BY ALL"),
+    "v_pages", "v_current",
+)(lambda v: readers.envelope_cutoff(readers.read_envelopes(v.pages.sparkSession, _land(v, stale=True))).select("space", "start", "size"))
+add("search_pages", cte(f"{_LISTED} {_PAGE_SQL.format(body='')} WHERE modified_at >= TIMESTAMP '2024-01-20 00:00:00'"), "v_pages", "v_current")(
+    lambda v: readers.scan_search_results(readers.scan_page_metadata(v.pages.sparkSession, _land(v)), SPACE, F.lit("2024-01-20 13:00:00").cast("timestamp_ntz"))
+)
+
+
+def _user_rows(v: Views) -> DataFrame:
+    return v.v_users.select(
+        F.col("user_key").alias("userKey"), "username", F.col("display_name").alias("displayName"),
+        F.concat(F.col("username"), F.lit("@example.com")).alias("email"),
+    )
+
+
+def _users_file(v: Views) -> str:
+    path = _scratch(v, "users")
+    _user_rows(v).write.json(path)
+    return path
+
+
+def _user_cache(v: Views) -> str:
+    """Cache files of a bounded number of users each, names and keys in turn."""
+    path = _scratch(v, "user-cache")
+    user = F.struct("userKey", "username", "displayName", "email")
+    entries = _user_rows(v).withColumn("file", F.expr("cast(substring_index(username, '.', -1) as bigint) div 500")).select(
+        "file", F.explode(F.array(F.struct(F.col("username").alias("k"), user.alias("u")), F.struct(F.concat(F.lit("key:"), F.col("userKey")).alias("k"), user.alias("u")))).alias("e")
+    )
+    files = entries.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value"))
+    files.repartition("file").write.partitionBy("file").text(path)
+    return path
+
+
+add("scan_users", "SELECT *, username || '@example.com' AS email FROM v_users", "v_users")(
+    lambda v: readers.scan_users(v.pages.sparkSession, _users_file(v))
+)
+add(
+    "scan_user_cache",
+    """SELECT 'username' AS key_kind, username AS key, username, display_name, username || '@example.com' AS email FROM v_users
+ UNION ALL SELECT 'userkey', user_key, username, display_name, username || '@example.com' FROM v_users""",
+    "v_users",
+)(lambda v: readers.scan_user_cache(v.pages.sparkSession, _user_cache(v)))
+
+
+def _written(df: DataFrame, root: str) -> str:
+    sinks.write_files(df, root).agg(F.sum("bytes")).collect()
+    return root
+
+
+def _html_tree(v: Views) -> str:
+    return _written(v.v_html_files.withColumn("id", F.regexp_extract("path", r"/(\d+)-page", 1)).join(_id_pages(v), "id").select("path", F.col("html").alias("content")), _scratch(v, "tree"))
+
+
+add("scan_html_tree", "SELECT h.path, CAST(p.page_id AS VARCHAR) AS id, p.html FROM pages p JOIN v_html_files h ON regexp_extract(h.path, '/([0-9]+)-page', 1) = CAST(p.page_id AS VARCHAR)", "v_html_files")(
+    lambda v: readers.scan_html_tree(v.pages.sparkSession, _html_tree(v))
+)
+add("scan_markdown_tree", "SELECT path FROM v_md_files", "v_md_files")(
+    lambda v: readers.scan_markdown_tree(
+        v.pages.sparkSession,
+        _written(
+            v.v_md_files.unionByName(v.v_md_files.select(F.regexp_replace("path", "^out/", "out/links/").alias("path")))
+            .unionByName(v.v_md_files.select(F.regexp_replace("path", "/([^/]+)$", "/_$1").alias("path"))).withColumn("content", F.col("path")),
+            _scratch(v, "tree"),
+        ),
+    )
+)
+add("scan_attachments", "SELECT page_id, filename, content FROM v_attachments", "v_attachments")(
+    lambda v: readers.scan_attachments(
+        v.pages.sparkSession,
+        _written(v.v_attachments.select(F.concat_ws("/", "page_id", "filename").alias("path"), "content"), _scratch(v, "files")),
+    )
+)
+add("scan_meta_sidecars", "SELECT path, page_id, version, downloaded_at FROM v_sidecars", "v_sidecars")(
+    lambda v: readers.scan_meta_sidecars(
+        v.pages.sparkSession,
+        _written(
+            v.v_sidecars.select("path", F.to_json(F.struct(
+                F.col("page_id").alias("pageId"), "version",
+                F.date_format("downloaded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("downloadedAt"),
+            )).alias("content")),
+            _scratch(v, "tree"),
+        ),
+    ).drop("modified_at")
+)
+
+
+def _run_key(key: str, sql: str, views: tuple[str, ...], frame, write) -> None:
+    def run(v: Views) -> DataFrame:
+        table = _scratch(v, key)
+        write(frame(v), table)
+        return sinks.read_latest(v.pages.sparkSession, table, SPACE)
+
+    add(key, sql, *views)(run)
+
+
+_run_key("write_index", f"SELECT {_INDEX} FROM v_index", ("v_index",), lambda v: v.v_index.select(*INDEX_COLUMNS), lambda df, t: sinks.write_index(df, t, SPACE, 1, NOW))
+_run_key("write_queue", f"SELECT {_META}, status AS queue_reason FROM ({_STATUS}) WHERE status <> 'skip'", ("v_current", "v_index"), lambda v: ix.queue_status(v.v_current, v.v_index), lambda df, t: sinks.write_queue(df, t, SPACE, 1, NOW))
+
+
+@add("write_tree", cte(f"{_RANKS} SELECT id, parent_id, title, root_id, depth, array_to_string(path, '.') AS path FROM forest"), "v_tree")
+def _write_tree(v: Views) -> DataFrame:
+    table = _scratch(v, "tree")
+    sinks.write_tree(tree.build_forest(v.v_tree), table, SPACE, 1, NOW)
+    return _path_text(sinks.read_latest(v.pages.sparkSession, table, SPACE))
+
+
+@add("index_runs", f"SELECT '{SPACE}' AS space, CAST(1 AS BIGINT) AS run_id, {_NOW_SQL} AS export_date, 100 AS page_size, count(*) AS total_rows FROM v_index", "v_index")
+def _index_runs(v: Views) -> DataFrame:
+    table = _scratch(v, "runs")
+    sinks.write_index(v.v_index, table, SPACE, 1, NOW)
+    return sinks.read_runs(v.pages.sparkSession, table, SPACE)
+
+
+def _page_files(v: Views) -> DataFrame:
+    return tree.page_paths(tree.with_names(_page_index(v)), ROOT)
+
+
+add("write_html", cte(f"{_PATHS} SELECT t.child_dir || '.html' AS path, CAST(strlen(p.html) AS BIGINT) AS bytes FROM paths t JOIN v_pages p ON p.id = t.id"), "v_pages")(
+    lambda v: sinks.write_html(_id_pages(v), _page_files(v), _scratch(v, "files"))
+)
+add(
+    "write_markdown",
+    cte(f"{_CONVERTED}, {_PATHS} SELECT t.child_dir || '.md' AS path, CAST(strlen(m.markdown) AS BIGINT) AS bytes FROM ({_MARKDOWN}) m JOIN paths t ON t.id = m.id"),
+    "v_storage", "v_users",
+)(lambda v: sinks.write_markdown(_corpus(v), _page_files(v), _scratch(v, "files")))
+add(
+    "write_images",
+    cte(f"""{_CONVERTED}, {_MANIFEST}, {_RESOLVED}, {_PATHS} SELECT path, CAST(strlen(content) AS BIGINT) AS bytes FROM (
+ SELECT t.dir || '/images/' || r.slug_name AS path, arg_min(r.content, r.page_id || ' ' || lpad(CAST(r.pos AS VARCHAR), 9, '0')) AS content FROM resolved r JOIN paths t ON t.id = r.page_id WHERE r.found GROUP BY ALL)"""),
+    "v_storage", "v_users", "v_attachments",
+)(
+    lambda v: sinks.write_images(
+        refs.resolve_attachments(store(_manifest(v), "manifest"), v.v_attachments), _page_files(v), _scratch(v, "files")
+    )
+)
+
+# ---- incremental jobs ---------------------------------------------------------------------------------------------------
+
+_FRESH = f"SELECT n AS pos, id, title, version, parent_id, modified_at, {_NOW_SQL} AS indexed_at, {{page}} AS page_number, CAST(NULL AS INT) AS downloaded_version, CAST(NULL AS TIMESTAMP) AS downloaded_at FROM listed"
+
+
+@add("stream_index_ingest", cte(f"{_LISTED} {_FRESH.format(page=f'CAST(n // {PAGE_SIZE} + 1 AS INT)')}"), "v_pages", "v_current")
+def _stream_ingest(v: Views) -> DataFrame:
+    spark, table = v.pages.sparkSession, _scratch(v, "ingested")
+    streams.stream_index_ingest(spark, _land(v), _scratch(v, "progress"), table, NOW, files_per_batch=1).awaitTermination()
+    return spark.read.parquet(table)
+
+
+@add("stream_index_upsert", cte(f"{_LISTED} SELECT id, title, version, parent_id, modified_at FROM listed"), "v_pages", "v_current")
+def _stream_upsert(v: Views) -> DataFrame:
+    spark, table = v.pages.sparkSession, _scratch(v, "upserted")
+    streams.stream_index_upsert(spark, _land(v), _scratch(v, "progress"), table, SPACE, NOW, files_per_batch=2).awaitTermination()
+    return sinks.read_latest(spark, table, SPACE).select("id", "title", "version", "parent_id", "modified_at")
+
+
+def _page_markdown_sql(source: str) -> str:
+    """Pages without wiki markup: the text rules and the front matter."""
+    body = D.convert_plain(D.newlines("html"))
+    return f"SELECT id, {D.unescape(f'''({D.front_matter(D.unslug(_NAME), 'id')} || chr(10) || chr(10) || {body})''')} AS markdown FROM {source}"
+
+
+@add("stream_transform", cte(f"{_LISTED} {_page_markdown_sql('listed')}"), "v_pages", "v_current")
+def _stream_transform(v: Views) -> DataFrame:
+    spark, table = v.pages.sparkSession, _scratch(v, "converted")
+    streams.stream_transform(
+        spark, _land(v), _scratch(v, "progress"), table, store(_page_index(v), "page-index"), store(v.v_users, "users"), files_per_batch=2
+    ).awaitTermination()
+    return spark.read.parquet(table).select("id", "markdown")
+
+
+@add("sync_corpus", cte(f"{_LISTED} {_page_markdown_sql('listed')}"), "v_pages", "v_current")
+def _sync(v: Views) -> DataFrame:
+    spark = v.pages.sparkSession
+    options = SyncOptions(space=SPACE, landing=_land(v), tables=_scratch(v, "tables"), now=NOW)
+    return sync_corpus(spark, options, v.v_users).select("id", "markdown")
