@@ -284,9 +284,8 @@ add("files_to_process", _PENDING.format("(SELECT path FROM v_html_files ORDER BY
 # ---- hierarchy ------------------------------------------------------------------------------------
 
 _RANKS = """kids AS (SELECT t.*, p.id AS up FROM v_tree t LEFT JOIN v_tree p ON t.parent_id = p.id),
- ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY up ORDER BY pos, id) AS INT) AS sibling_rank FROM kids),
- forest AS (SELECT id, parent_id, title, pos, id AS root_id, 0 AS depth, [sibling_rank] AS path, [id] AS ids FROM ranks WHERE up IS NULL
- UNION ALL SELECT r.id, r.parent_id, r.title, r.pos, f.root_id, f.depth + 1, list_append(f.path, r.sibling_rank), list_append(f.ids, r.id) FROM ranks r JOIN forest f ON r.up = f.id)"""
+ forest AS (SELECT id, parent_id, title, pos, id AS root_id, 0 AS depth, [pos] AS path, [id] AS ids FROM kids WHERE up IS NULL
+ UNION ALL SELECT r.id, r.parent_id, r.title, r.pos, f.root_id, f.depth + 1, list_append(f.path, r.pos), list_append(f.ids, r.id) FROM kids r JOIN forest f ON r.up = f.id)"""
 
 
 def _path_text(df: DataFrame) -> DataFrame:

@@ -48,21 +48,22 @@ def child_pages(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def build_forest(index: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
-    """``id, title, ..., root_id, depth, path`` and one array per carried column, root first.
-
-    ``path`` holds the sibling ranks from the root down; ordering by it is the
-    preorder.  Pages on or below a parent cycle reach no root and are left out
-    (see :func:`cycle_pages`).  Every round doubles the reach of each pointer,
-    so the frontier is empty after about log2(depth) rounds; a round that ends
-    no chain proves that only cycles are left.
+    """The index columns, ``root_id, depth, is_root, path, ids`` and one array per carried column, root first.
+
+    ``path`` holds the listing positions from the root down; ordering by it is
+    the preorder, with siblings in listing order.  Pages on or below a parent
+    cycle reach no root and are left out (see :func:`cycle_pages`).  Every
+    round doubles the reach of each pointer, so the frontier is empty after
+    about log2(depth) rounds; a round that ends no chain proves that only
+    cycles are left.
     """
     pages = store(dedupe_by_id(index), "forest-pages")
-    carried = {"path": F.col("sibling_rank").cast("int"), "ids": F.col("id"), **(carry or {})}
-    attached = attach_parent(pages).select("id", F.col("parent_id").alias("up"))
-    ranks = sibling_rank(attached.join(pages.select("pos", "id"), "id").withColumnRenamed("up", "parent_id"))
+    carried = {"path": F.col("pos"), "ids": F.col("id"), **(carry or {})}
+    own = pages.select("id", "parent_id", *(F.array(expr).alias(name) for name, expr in carried.items()))
+    present = pages.select(F.col("id").alias("parent_id"), F.lit(True).alias("_present"))
     links = store(
-        pages.drop("parent_id").join(ranks.select("id", F.col("parent_id").alias("up"), "sibling_rank"), "id").select(
-            "id", "up", *(F.array(expr).alias(name) for name, expr in carried.items())
+        spread_join(own, present, ["parent_id"], ["id"]).select(
+            "id", F.when(F.col("_present"), F.col("parent_id")).alias("up"), *carried
         ),
         "forest-links",
     )

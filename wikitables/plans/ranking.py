@@ -10,7 +10,7 @@ from .storage import store
 
 
 # Up to this many rows one task may number everything.
-SMALL_ROWS = 100_000
+SMALL_ROWS = 250_000
 
 
 def ranked(
@@ -30,11 +30,11 @@ def ranked(
     """
     group = group or []
     ordering = [*(F.col(g) for g in group), *(F.col(o) if isinstance(o, str) else o for o in order)]
-    placed = store(df.repartitionByRange(*ordering).withColumn("_part", F.spark_partition_id()), "ranked")
-    if placed.count() <= small_rows:
+    if df.count() <= small_rows:
         whole = W.partitionBy(*group).orderBy(*ordering)
-        return placed.drop("_part").withColumn(out, F.row_number().over(whole).cast("bigint"))
+        return df.withColumn(out, F.row_number().over(whole).cast("bigint"))
 
+    placed = store(df.repartitionByRange(*ordering).withColumn("_part", F.spark_partition_id()), "ranked")
     group_key = F.struct(*(F.col(g) for g in group)) if group else F.struct(F.lit(0).alias("_all"))
     keyed = placed.withColumn("_group", group_key)
     counts = keyed.groupBy("_part", "_group").agg(F.count(F.lit(1)).alias("_n"))
