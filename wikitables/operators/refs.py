@@ -150,7 +150,9 @@ def page_refs(pages: DataFrame, options: MarkdownOptions = MarkdownOptions()) ->
     ]
     if options.resolved_links:
         found.append(keys("link", extract_all(html, R.BARE_PAGE_LINK, 1, "i")))
-    return staged.select("id", F.explode(F.array_distinct(F.concat(*found))).alias("ref")).select("id", "ref.*")
+    # The outer form, because a plain explode would also filter on its input and so extract everything twice.
+    exploded = staged.select("id", F.explode_outer(F.array_distinct(F.concat(*found))).alias("ref"))
+    return exploded.where(F.col("ref").isNotNull()).select("id", "ref.*")
 
 
 def _title_targets(refs: DataFrame, index: DataFrame, overrides: DataFrame | None) -> DataFrame:
@@ -372,7 +374,8 @@ def pages_to_markdown(
 
 def image_manifest(converted: DataFrame) -> DataFrame:
     """One row per image reference: ``(page_id, pos, kind, container_id, name, slug_name)``."""
-    return converted.select(F.col("id").alias("page_id"), F.posexplode("images").alias("pos", "image")).select(
+    exploded = converted.select(F.col("id").alias("page_id"), F.posexplode_outer("images").alias("pos", "image"))
+    return exploded.where(F.col("image").isNotNull()).select(
         "page_id", "pos", "image.*", M.image_file(F.col("image.name")).alias("slug_name")
     )
 
