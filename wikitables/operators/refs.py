@@ -274,7 +274,7 @@ def with_refs(pages: DataFrame, rows: DataFrame, options: MarkdownOptions = Mark
     needs = matches(F.col("html"), _lookup_pattern(options), "i")
     found = rows.groupBy("id").agg(F.collect_list(F.struct("kind", "key", "value")).alias("refs"))
     nothing = F.array().cast(REF)
-    plain = spread_scan(pages.where(~needs)).withColumn("refs", nothing)
+    plain = pages.where(~needs).withColumn("refs", nothing)
     linked = pages.where(needs).join(found, "id", "left").withColumn("refs", F.coalesce("refs", nothing))
     return plain.unionByName(linked)
 
@@ -350,7 +350,7 @@ def pages_to_markdown(
     unless it shows a child list too long for one text; then its rows follow
     each other by ``part``.
     """
-    bodies = pages.select("id", "title", "html")
+    bodies = spread_scan(pages.select("id", "title", "html"))
     rows, parts = resolve_refs(bodies, index, users, options, overrides)
     long_lists = rows.where(F.col("value").contains(M.LIST_OPEN)).select("id").distinct()
     if long_lists.isEmpty():

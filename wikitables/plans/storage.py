@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# Size of one scan task by default.
+SPLIT_BYTES = 128 << 20
 # Fallback folders of local sessions, by application.
 _LOCAL_FOLDERS: dict[str, str | None] = {}
 
@@ -42,12 +46,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
-    """Give CPU-bound work enough tasks when a scan yields fewer than the cluster has cores.
+    """Give CPU-bound work enough tasks when the input files yield fewer than the cluster has cores.
 
-    A large table already has many more splits than cores and passes through
-    without a shuffle.
+    The number and size of the files decide, so nothing runs and nothing but
+    file metadata is read.  A large table has more splits than cores and passes
+    through without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
         return df
+    if files:
+        listed = spark.read.format("binaryFile").load([unquote(f) for f in files])
+        if (listed.agg(F.sum("length")).first()[0] or 0) >= cores * SPLIT_BYTES:
+            return df
     return df.repartition(cores * 2)

@@ -26,17 +26,22 @@ RAW_PAGE = T.StructType(
     ]
 )
 
+def _envelope(item: T.StructType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("space", T.StringType()),
+            T.StructField("results", T.ArrayType(item)),
+            T.StructField("start", T.LongType()),
+            T.StructField("limit", T.LongType()),
+            T.StructField("size", T.LongType()),
+            T.StructField("_links", T.StructType([T.StructField("next", T.StringType())])),
+        ]
+    )
+
+
 # One listing response: a page of results with its offset.
-ENVELOPE = T.StructType(
-    [
-        T.StructField("space", T.StringType()),
-        T.StructField("results", T.ArrayType(RAW_PAGE)),
-        T.StructField("start", T.LongType()),
-        T.StructField("limit", T.LongType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("_links", T.StructType([T.StructField("next", T.StringType())])),
-    ]
-)
+ENVELOPE = _envelope(RAW_PAGE)
+ENVELOPE_WITHOUT_BODY = _envelope(T.StructType([f for f in RAW_PAGE.fields if f.name != "body"]))
 
 USER = T.StructType(
     [

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_id
 from ..plans.skew import broadcast_if_small
-from ..schemas import ENVELOPE, SIDECAR, USER
+from ..schemas import ENVELOPE, ENVELOPE_WITHOUT_BODY, SIDECAR, USER
 
 
-def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """Listing responses, one JSON document per line."""
-    return spark.read.schema(ENVELOPE).json(path)
+def read_envelopes(spark: SparkSession, path: str, with_body: bool = True) -> DataFrame:
+    """Listing responses, one JSON document per line; without bodies these are not parsed at all."""
+    return spark.read.schema(ENVELOPE if with_body else ENVELOPE_WITHOUT_BODY).json(path)
 
 
 def envelope_cutoff(envelopes: DataFrame) -> DataFrame:
@@ -46,21 +46,20 @@ def flatten_page(envelopes: DataFrame, with_body: bool = True) -> DataFrame:
     """
     item = F.col("item")
     rows = envelopes.select("space", "start", "limit", F.posexplode("results").alias("_n", "item"))
+    body = [F.coalesce(item["body"]["storage"]["value"], F.lit("")).alias("body")] if with_body else []
     columns = [
         F.col("space"),
         (F.col("start") + F.col("_n")).alias("pos"),
         (F.floor(F.col("start") / F.col("limit")) + 1).cast("int").alias("api_page_number"),
         item["id"].alias("id"),
         item["title"].alias("title"),
-        F.coalesce(item["body"]["storage"]["value"], F.lit("")).alias("body"),
+        *body,
         item["version"]["number"].alias("version"),
         F.try_element_at(item["ancestors"], F.lit(-1))["id"].alias("parent_id"),
         timestamp(
             F.coalesce(_text(item["version"]["when"]), _text(item["history"]["lastUpdated"]["when"]))
         ).alias("modified_at"),
     ]
-    if not with_body:
-        del columns[5]
     return rows.select(*columns)
 
 
@@ -70,8 +69,8 @@ def scan_page_envelopes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_page_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """All pages without their bodies, which are pruned from the scan."""
-    return flatten_page(envelope_cutoff(read_envelopes(spark, path)), with_body=False)
+    """All pages without their bodies."""
+    return flatten_page(envelope_cutoff(read_envelopes(spark, path, with_body=False)), with_body=False)
 
 
 def scan_search_results(pages: DataFrame, space: str, since: Column) -> DataFrame:

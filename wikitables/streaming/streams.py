@@ -15,13 +15,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.index_ops import dedupe_by_id, rebuild_index, upsert_modified
 from ..operators.refs import MarkdownOptions, pages_to_markdown
 from ..plans.storage import store
-from ..schemas import ENVELOPE, META_COLUMNS, PAGE_INDEX
+from ..schemas import ENVELOPE, ENVELOPE_WITHOUT_BODY, META_COLUMNS, PAGE_INDEX
 from ..sources.readers import flatten_page
 from ..sources.sinks import latest_run, read_latest, write_run
 
 
-def _landing(spark: SparkSession, landing: str, files_per_batch: int | None) -> DataFrame:
-    reader = spark.readStream.schema(ENVELOPE)
+def _landing(spark: SparkSession, landing: str, files_per_batch: int | None, with_body: bool = False) -> DataFrame:
+    reader = spark.readStream.schema(ENVELOPE if with_body else ENVELOPE_WITHOUT_BODY)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(landing)
@@ -104,7 +104,7 @@ def stream_transform(
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Convert landed pages to Markdown; a page converted once is not converted again."""
-    pages = flatten_page(_landing(spark, landing, files_per_batch))
+    pages = flatten_page(_landing(spark, landing, files_per_batch, with_body=True))
     return (
         pages.writeStream.foreachBatch(
             lambda batch, batch_id: transform_batch(batch, batch_id, table, index, users, options)
