@@ -356,6 +356,21 @@ add(
     "v_md_files",
 )(lambda v: tree.sorted_site_tree(v.v_md_files))
 
+_CHAIN_FOREST = """steps(id, chain) AS (SELECT id, [id] FROM v_chains WHERE parent_id IS NULL
+ UNION ALL SELECT c.id, list_append(s.chain, c.id) FROM v_chains c JOIN steps s ON c.parent_id = s.id)"""
+
+
+def _chain_index(v: Views) -> DataFrame:
+    return v.v_chains.select("pos", "id", "title", "parent_id")
+
+
+add("deep_forest", cte(f"{_CHAIN_FOREST} SELECT id, CAST(len(chain) - 1 AS INT) AS depth, array_to_string(chain, '/') AS chain FROM steps"), "v_chains")(
+    lambda v: tree.build_forest(_chain_index(v)).select("id", "depth", F.array_join("ids", "/").alias("chain"))
+)
+add("cycle_pages", cte(f"{_CHAIN_FOREST} SELECT pos, id, title, parent_id FROM v_chains WHERE id NOT IN (SELECT id FROM steps)"), "v_chains")(
+    lambda v: (lambda i: tree.cycle_pages(i, tree.build_forest(i)))(store(_chain_index(v), "chains"))
+)
+
 # ---- references ---------------------------------------------------------------------------------------
 
 _DIMS = f"""lists AS (SELECT parent_id, string_agg({D.child_link('title')}, chr(10) ORDER BY pos) || chr(10) || chr(10) AS list FROM v_pages WHERE parent_id IS NOT NULL GROUP BY parent_id),
@@ -426,6 +441,23 @@ add(
     f"""SELECT id, CAST(i AS INT) AS ordinal, found[i + 1] AS text FROM (SELECT id, {D.extract_all('html', R.ANCHOR, 1, 'i')} AS found FROM v_storage), LATERAL (SELECT unnest(range(len(found))) AS i)""",
     "v_storage",
 )(lambda v: refs.match_ordinal(v.v_storage, R.ANCHOR))
+_TARGETED = f"""(SELECT s.id, t, d.targets[t] AS target, d.included[t] AS txt FROM (SELECT id, {D.macro_title(D.extract('html', R.INCLUDE_MACRO, 0, 'i'))} AS t FROM v_storage) s, dims d)"""
+add(
+    "resolve_includes",
+    cte(f"{_DIMS} SELECT id, t AS key, txt AS value FROM {_TARGETED} WHERE t <> '' AND target IS NOT NULL AND target <> id"),
+    "v_storage", "v_users",
+)(
+    lambda v: refs.resolve_refs(_storage(v), _page_index(v), v.v_users)[0].where(F.col("kind") == "include").select("id", "key", "value")
+)
+add(
+    "include_list",
+    f"SELECT id, chr(10) || chr(10) || '## ' || title || chr(10) || chr(10) || {D.join(D.include_items('html'), chr(10))} || chr(10) || chr(10) AS list FROM v_storage",
+    "v_storage",
+)(
+    lambda v: v.v_storage.select(
+        "id", refs.include_text(F.col("title"), F.array_join(refs.include_items(F.col("html")), "\n")).alias("list")
+    )
+)
 _CHILD = D.expand_children("s.html", "d.by_title", "d.own[s.id]")
 add("expand_children", _stage_sql(_CHILD), "v_storage", "v_users")(lambda v: refs.expand_children(_storage(v), _page_index(v)))
 add("expand_list_children", _stage_sql(D.expand_list_children("s.html", "d.own[s.id]")), "v_storage", "v_users")(

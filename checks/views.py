@@ -66,6 +66,8 @@ VIEWS: dict[str, str] = {
     "v_storage": _storage_sql(),
     "v_attachments": """SELECT p.id AS page_id, concat('Chart ', p.pos%9, '.png') AS filename, concat('bytes-', p.id) AS content FROM v_pages p WHERE p.url LIKE 'https%'
  UNION ALL SELECT p.id, concat('pic ', p.pos%9, '.png'), concat('inline-', p.id) FROM v_pages p WHERE p.url LIKE 'http:%'""",
+    "v_chains": """SELECT pos, id, title, CASE WHEN url LIKE 'https%' THEN lag(id) OVER (PARTITION BY left(url, 5), regexp_extract(url,'://([^/]+)',1) ORDER BY pos)
+ ELSE coalesce(lag(id) OVER (PARTITION BY left(url, 5), regexp_extract(url,'://([^/]+)',1) ORDER BY pos), max(id) OVER (PARTITION BY left(url, 5), regexp_extract(url,'://([^/]+)',1))) END AS parent_id, url FROM v_pages""",
     "v_html_files": """SELECT concat('out/', replace(regexp_extract(url,'://([^/]+)',1), '.', '/'), '/', page_id, '-page.html') AS path FROM pages""",
     "v_md_files": """SELECT concat('out/', replace(regexp_extract(url,'://([^/]+)',1), '.', '/'), '/', page_id, '-page.md') AS path FROM pages WHERE length(html) > 3000""",
     "v_sidecars": """SELECT concat('meta/', lpad(CAST(event_id AS {STR}), 12, '0'), '.meta.json') AS path, CAST(user_id AS {STR}) AS page_id, CAST(event_id AS INT) AS version, ts AS downloaded_at FROM events WHERE event_type = 'purchase'""",
@@ -75,6 +77,7 @@ _DEPENDS = {
     "v_current": ["v_pages", "v_history"],
     "v_storage": ["v_pages"],
     "v_attachments": ["v_pages"],
+    "v_chains": ["v_pages"],
 }
 _SPARK = {"STR": "STRING", "DIV": "DIV", "NTZ": "TIMESTAMP_NTZ", "MINBY": "min_by", "MAXBY": "max_by"}
 _DUCK = {"STR": "VARCHAR", "DIV": "//", "NTZ": "TIMESTAMP", "MINBY": "arg_min", "MAXBY": "arg_max"}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import page_status
 from ..plans.ranking import ranked
+from ..plans.skew import spread_join
 from ..schemas import INDEX_COLUMNS, META_COLUMNS
 
 # Up to here a limit is cheaper as a top-k on one task than as a distributed ranking.
@@ -304,14 +305,20 @@ def merge_sidecars(index: DataFrame, sidecars: DataFrame) -> tuple[DataFrame, Da
         .drop("_meta")
         .select(*index.columns)
     )
-    skipped = sidecars.join(index.select(F.col("id").alias("page_id")), "page_id", "left_anti")
-    return merged, skipped
+    known = index.select(F.col("id").alias("page_id"))
+    return merged, spread_join(sidecars, known, ["page_id"], ["path"], "left_anti")
 
 
 def sidecar_stats(index: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Sidecars of indexed pages and all others, counted per page before the join."""
     known = index.select(F.col("id").alias("page_id"), F.lit(True).alias("_known"))
-    return sidecars.join(known, "page_id", "left").agg(
-        F.count_if(F.col("_known").isNotNull()).alias("migrated"), F.count_if(F.col("_known").isNull()).alias("skipped")
+    counted = sidecars.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).join(known, "page_id", "left")
+
+    def total(rows: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rows, F.col("_n"))), F.lit(0))
+
+    return counted.agg(
+        total(F.col("_known").isNotNull()).alias("migrated"), total(F.col("_known").isNull()).alias("skipped")
     )
 
 

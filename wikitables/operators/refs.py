@@ -329,7 +329,7 @@ def split_long_lists(converted: DataFrame, parts: DataFrame) -> DataFrame:
         .withColumn("part", F.shiftleft(F.col("_n").cast("bigint") * 2 + 1, 32) + F.col("_row"))
     )
     texts = M.convert_plain(parts.select("parent_id", F.col("part").alias("_row"), F.col("text").alias("html")), "html")
-    lists = tokens.join(texts, ["parent_id", "_row"]).withColumn(
+    lists = spread_join(tokens, texts, ["parent_id", "_row"], ["id", "part"], "inner").withColumn(
         "images", F.lit(None).cast(converted.schema["images"].dataType)
     )
     columns = [*converted.columns, "part"]

@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.skew import spread_join
+
 RUNS = "runs"
 
 
@@ -124,7 +126,8 @@ def image_files(resolved: DataFrame, paths: DataFrame) -> DataFrame:
     Pages of one folder share its ``images`` folder; of several images with one
     name the first by page and position stays.
     """
-    placed = resolved.where("found").join(paths.select(F.col("id").alias("page_id"), "dir"), "page_id")
+    folders = paths.select(F.col("id").alias("page_id"), "dir")
+    placed = spread_join(resolved.where("found"), folders, ["page_id"], ["page_id", "pos"], "inner")
     named = placed.select(
         F.concat_ws("/", "dir", F.lit("images"), "slug_name").alias("path"), "page_id", "pos", "content"
     )
