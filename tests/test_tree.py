@@ -87,6 +87,19 @@ def test_site_tree(spark):
     ]
 
 
+def test_site_tree_orders_files_like_a_dictionary(spark, monkeypatch):
+    files = spark.createDataFrame([("Zoo.md",), ("apple.md",), ("Émile.md",), ("b/x.md",), ("Banana.md",)], "path string")
+    want = ["b", "x.md", "apple.md", "Banana.md", "Émile.md", "Zoo.md"]
+
+    def names(df):
+        return [r["line"].strip(" -*[/").split("]")[0].rstrip("/*") for r in df.orderBy("ordinal").collect()][1:]
+
+    assert names(tree.sorted_site_tree(files)) == want
+    assert names(tree.sorted_site_tree(files, "UTF8_BINARY")) == ["b", "x.md", "Banana.md", "Zoo.md", "apple.md", "Émile.md"]
+    monkeypatch.setattr(ranking.ranked, "__defaults__", (None, 0))
+    assert names(tree.sorted_site_tree(files)) == want
+
+
 def test_ranking_over_many_partitions(spark):
     """One group holds a third of the rows and spans partitions."""
     rows = spark.range(6000).select(

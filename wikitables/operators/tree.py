@@ -168,48 +168,54 @@ def page_html_path(index: DataFrame, ids: DataFrame, root: str) -> DataFrame:
     )
 
 
-def site_tree(files: DataFrame) -> DataFrame:
+def site_tree(files: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
     """The folder tree of file paths as an ordered bullet list, one row per line.
 
-    Folders come before files at every level.
+    Folders come before files at every level, in code unit order; files are
+    ordered by ``collation``.
     """
-    parts = F.split("path", "/")
-    exploded = files.select("path", parts.alias("parts"))
-    folder_step = lambda name: F.struct(F.lit(0).alias("kind"), name.alias("name"))
-    file_step = lambda name: F.struct(F.lit(1).alias("kind"), name.alias("name"))
+    def step(kind: int, folder: Column, file: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), folder.alias("folder"), F.collate(file, collation).alias("file"))
+
+    def folder_step(name: Column) -> Column:
+        return step(0, name, F.lit(""))
+
+    exploded = files.select("path", F.split("path", "/").alias("parts"))
+    file_name = F.element_at("parts", -1)
     file_lines = exploded.select(
         F.concat(
             F.transform(F.slice("parts", F.lit(1), F.size("parts") - 1), folder_step),
-            F.array(file_step(F.element_at("parts", -1))),
+            F.array(step(1, F.lit(""), file_name)),
         ).alias("key"),
+        F.col("path").alias("tie"),
         F.concat(
-            F.repeat(F.lit("  "), F.size("parts") - 1),
-            F.lit("- ["), F.element_at("parts", -1), F.lit("]("), F.col("path"), F.lit(")"),
+            F.repeat(F.lit("  "), F.size("parts") - 1), F.lit("- ["), file_name, F.lit("]("), F.col("path"), F.lit(")")
         ).alias("line"),
     )
     folders = (
         exploded.where(F.size("parts") > 1)
         .select(F.slice("parts", F.lit(1), F.size("parts") - 1).alias("folder"))
         .distinct()
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.size("folder")), lambda n: F.slice("folder", F.lit(1), n))).alias("folder"))
+        .select(F.transform(F.sequence(F.lit(1), F.size("folder")), lambda n: F.slice("folder", F.lit(1), n)).alias("above"))
+        .select(F.explode("above").alias("folder"))
         .distinct()
     )
     folder_lines = folders.select(
         F.transform("folder", folder_step).alias("key"),
+        F.lit("").alias("tie"),
         F.concat(
             F.repeat(F.lit("  "), F.size("folder") - 1), F.lit("- **"), F.element_at("folder", -1), F.lit("/**")
         ).alias("line"),
     )
-    lines = folder_lines.unionByName(file_lines)
-    return ranked(lines, ["key"], "ordinal").select("ordinal", "line")
+    return ranked(folder_lines.unionByName(file_lines), ["key", "tie"], "ordinal").select("ordinal", "line")
 
 
-def sorted_site_tree(files: DataFrame) -> DataFrame:
-    """The site tree below its heading: ordinal 0 is the heading line."""
+def sorted_site_tree(files: DataFrame, collation: str = "UNICODE") -> DataFrame:
+    """The site tree below its heading, files in dictionary order: ordinal 0 is the heading line."""
     heading = files.sparkSession.range(1).select(
         F.lit(0).cast("bigint").alias("ordinal"), F.lit(R.SITE_TREE_HEADING).alias("line")
     )
-    return heading.unionByName(site_tree(files))
+    return heading.unionByName(site_tree(files, collation))
 
 
 def nested_tree(forest: DataFrame) -> DataFrame:
