@@ -196,6 +196,12 @@ def test_both_engines_and_both_spellings_agree(spark):
     assert not any("\n\n\n\n" in text for text in mine.values())
 
 
+def test_long_blank_runs_take_one_pass(spark):
+    """Many blank lines after a marker must not multiply the ways to match."""
+    blank = " \n" * 1_000
+    assert run(spark, M.clean_markdown, f"**{blank}x", f"```{blank}x", f"# **{blank}x", f"*{blank}x") is not None
+
+
 def test_replacements_keep_dollars(spark):
     assert run(spark, lambda c: apply_rules(c, [("x", "", "(a)", r"$1\1")]), "a") == "$1a"
     assert {r[0] for r in R.HTML_RULES} >= {"h1", "p", "any_tag"}

@@ -146,3 +146,24 @@ def test_sync_twice(spark, tmp_path, no_users):
     assert sorted(r["id"] for r in sinks.read_latest(spark, f"{tables}/page_index", "S").collect()) == ["1", "2"]
     html = sinks.read_latest(spark, f"{tables}/html", "S").first()
     assert html["path"] == "out/S/1-page-1/2-page-2.html"
+    links = [r["line"] for r in sinks.read_latest(spark, f"{tables}/site_tree", "S").orderBy("ordinal").collect()]
+    assert links == ["# Documentation Links", "- **1-page-1/**", "  - [2-page-2.md](1-page-1/2-page-2.md)", "- [1-page-1.md](1-page-1.md)"]
+
+
+def test_sync_subtree_images_and_incremental(spark, tmp_path, no_users):
+    image = '<ac:image><ri:attachment ri:filename="A b.png" /></ac:image>'
+    landing = land(tmp_path / "in", "a.json", envelope(0, [page(1), page(2, parent=1, body=image)]), envelope(2, [page(3)], more=False))
+    tables = str(tmp_path / "tables")
+    files = spark.createDataFrame([("2", "A b.png", b"x")], "page_id string, filename string, content binary")
+
+    def sync(**options):
+        return sorted(r["id"] for r in sync_corpus(spark, SyncOptions("S", landing, tables, **options), no_users, files).collect())
+
+    with pytest.raises(ValueError, match="not in the tree"):
+        sync(now=NOW, page_id="77")
+    assert sync(now=NOW, page_id="1") == ["1", "2"]
+    images = sinks.read_latest(spark, f"{tables}/images", "S").collect()
+    assert [(r["path"], bytes(r["content"])) for r in images] == [("out/S/1-page-1/images/a-b.png", b"x")]
+    land(tmp_path / "in", "a.json", envelope(0, [page(1), page(2, version=5, when="2025-11-02T00:00:00Z", parent=1)], more=False))
+    assert sync(now=datetime(2025, 12, 1), mode="incremental") == ["2"]  # page 3 is queued, but its body is gone
+    assert sinks.read_latest(spark, f"{tables}/page_index", "S").count() == 3

@@ -149,14 +149,16 @@ ENTITIES: list[tuple[str, str]] = [
 
 BLANK_LINE_RULES: list[Rule] = [("blank_lines", "", r"\n{3,}", "\n\n")]
 
+# White space "with a line break in it" is written as blanks, line break, anything: the same
+# texts match, but in one pass instead of one per way to place the break.
 PATTERN_RULES: list[Rule] = [
-    ("bold_over_blank", "", r"\*\*\s*\n\s*\n\s*\*\*", ""),
+    ("bold_over_blank", "", r"\*\*[^\S\n]*\n[^\S\n]*\n\s*\*\*", ""),
     ("bold_line", "m", r"^\s*\*\*\s*$", ""),
     ("empty_header", "m", r"^#+\s*$", ""),
     ("empty_bold", "", r"\*\*\s+\*\*", " "),
     ("empty_italic", "", r"\*\s+\*", " "),
     ("empty_quote", "m", r"^>\s*$", ""),
-    ("empty_code", "", r"```\s*\n\s*```", ""),
+    ("empty_code", "", r"```[^\S\n]*\n\s*```", ""),
     ("short_rule", "m", r"^[-*_]\s*$", ""),
 ]
 
@@ -165,13 +167,13 @@ GENERAL_RULES: list[Rule] = [
     ("header_italic", "m", r"^#+\s*\*\s*$", ""),
     ("header_bold_underscore", "m", r"^#+\s*__\s*$", ""),
     ("header_italic_underscore", "m", r"^#+\s*_\s*$", ""),
-    ("header_bold_lines", "m", r"^(#+)\s*\*\*\s*\n+\s*\*\*\s*$", ""),
-    ("header_italic_lines", "m", r"^(#+)\s*\*\s*\n+\s*\*\s*$", ""),
+    ("header_bold_lines", "m", r"^(#+)\s*\*\*[^\S\n]*\n\s*\*\*\s*$", ""),
+    ("header_italic_lines", "m", r"^(#+)\s*\*[^\S\n]*\n\s*\*\s*$", ""),
     ("touching_bold", "", r"\*\*\s*\*\*", ""),
     ("touching_underscore", "", r"__\s*__", ""),
     ("italic_line", "m", r"^\s*\*\s*$", ""),
     ("underscore_line", "m", r"^\s*_\s*$", ""),
-    ("italic_over_lines", "", r"\*\s*\n+\s*\*", "\n\n"),
+    ("italic_over_lines", "", r"\*[^\S\n]*\n\s*\*", "\n\n"),
     ("empty_link", "", r"\[\s*\]\(\s*\)", ""),
     ("empty_item", "m", r"^[-*+]\s*$", ""),
     ("blank_lines", "", r"\n{4,}", "\n\n\n"),

@@ -17,11 +17,15 @@ from .sources import readers, sinks
 
 @dataclass(frozen=True)
 class SyncOptions:
+    """``mode`` is full or incremental (see :func:`update_index`); ``page_id`` narrows the run to one subtree."""
+
     space: str
     landing: str
     tables: str
     now: datetime
     root: str = "out"
+    mode: str = "full"
+    page_id: str | None = None
     force: bool = False
     limit: int | None = None
     page_size: int = 100
@@ -41,49 +45,73 @@ def first_index(listing: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def update_index(listing: DataFrame, index: DataFrame, now: datetime) -> DataFrame:
-    """The index after a full listing, or the old index when nothing changed."""
+def update_index(listing: DataFrame, index: DataFrame, now: datetime, mode: str = "full") -> DataFrame:
+    """The index after a listing, or the old index when nothing changed.
+
+    A full update removes pages the listing lacks.  An incremental one looks
+    only at pages modified since the day of the oldest index row and removes none.
+    """
     current = ix.dedupe_by_id(ix.page_metadata(listing))
-    changes = ix.diff_snapshots(current, index).where(F.col("change") != "unchanged")
+    if mode == "incremental":
+        since = index.select(F.min("indexed_at")).scalar()
+        current = ix.upsert_modified(index, ix.modified_since(current, since))
+    changes = ix.diff_snapshots(current, index, mode).where(F.col("change") != "unchanged")
     return index if changes.isEmpty() else ix.rebuild_index(current, index, now)
 
 
-def sync_corpus(spark: SparkSession, options: SyncOptions, users: DataFrame) -> DataFrame:
+def sync_corpus(
+    spark: SparkSession, options: SyncOptions, users: DataFrame, attachments: DataFrame | None = None
+) -> DataFrame:
     """Bring the state tables up to date and return this run's Markdown.
 
-    The download state is written only after the bodies and their Markdown.
+    Writes the tables page_tree, queue, html, markdown, images (when there are
+    ``attachments``) and site_tree, and last page_index: a page counts as
+    downloaded only after its body and Markdown are stored.
     """
     o = options
-    index_table, run_space = f"{o.tables}/page_index", o.space
-    listing = readers.scan_page_metadata(spark, o.landing).where(F.col("space") == o.space)
-    previous = sinks.read_latest(spark, index_table, run_space)
-    run_id = (sinks.latest_run(spark, index_table, run_space) or 0) + 1
-
-    fresh = first_index(listing, o.now) if previous is None else update_index(listing, previous, o.now)
-    index = store(fresh, "index")
+    index_table = f"{o.tables}/page_index"
+    run_id = (sinks.latest_run(spark, index_table, o.space) or 0) + 1
+    root = f"{o.root}/{o.space}"
+
+    def write(df: DataFrame, table: str) -> DataFrame:
+        sinks.write_run(df, f"{o.tables}/{table}", o.space, run_id, o.now)
+        return sinks.read_latest(spark, f"{o.tables}/{table}", o.space)
+
+    listing = store(readers.scan_page_metadata(spark, o.landing).where(F.col("space") == o.space), "listing")
+    previous = sinks.read_latest(spark, index_table, o.space)
+    index = store(
+        first_index(listing, o.now) if previous is None else update_index(listing, previous, o.now, o.mode), "index"
+    )
 
     forest = store(tree.with_names(index), "forest")
-    sinks.write_tree(forest, f"{o.tables}/page_tree", run_space, run_id, o.now)
-    paths = tree.page_paths(forest, f"{o.root}/{o.space}")
-    ordered = tree.flatten_preorder(forest.drop("pos")).withColumnRenamed("ordinal", "pos")
+    paths = tree.page_paths(forest, root)
+    sinks.write_tree(forest, f"{o.tables}/page_tree", o.space, run_id, o.now)
+    chosen = forest
+    if o.page_id is not None:
+        chosen = tree.find_subtree(forest, o.page_id)
+        if chosen.isEmpty():
+            raise ValueError(f"page {o.page_id} is not in the tree")
+
+    ordered = tree.flatten_preorder(chosen.drop("pos")).withColumnRenamed("ordinal", "pos").select(*META_COLUMNS)
     queue = ix.queue_status(ordered, index, o.force)
-    if o.limit:
-        queue = ix.limit_pages(queue, o.limit)
-    sinks.write_queue(queue, f"{o.tables}/queue", run_space, run_id, o.now)
-
-    plan = ix.download_plan(queue, paths, index, f"{o.root}/{o.space}", o.force)
+    queue = write(ix.limit_pages(queue, o.limit) if o.limit else queue, "queue")
+    plan = ix.download_plan(queue, paths, index, root, o.force)
     wanted = store(plan.where(F.col("action") != "skip").select("id"), "wanted")
+
     listed = readers.scan_page_envelopes(spark, o.landing).where(F.col("space") == o.space)
-    bodies = listed.join(wanted, "id", "left_semi").groupBy("id").agg(
-        F.max_by(F.struct("title", "version", F.col("body").alias("html")), "pos").alias("_page")
-    ).select("id", "_page.*")
-    sinks.write_run(sinks.html_files(bodies, paths), f"{o.tables}/html", run_space, run_id, o.now)
-    fetched = sinks.read_latest(spark, f"{o.tables}/html", run_space).select("id", "html").join(
-        index.select("id", "title", "version"), "id"
+    bodies = ix.dedupe_by_id(listed.join(wanted, "id", "left_semi").select("pos", "id", F.col("body").alias("html")))
+    html = write(sinks.html_files(bodies, paths), "html")
+    fetched = html.select("id", "html").join(index.select("id", "title", "version"), "id")
+
+    markdown = write(refs.pages_to_markdown(fetched, index, users, o.markdown), "markdown")
+    if attachments is not None:
+        resolved = refs.resolve_attachments(store(refs.image_manifest(markdown), "manifest"), attachments)
+        write(sinks.image_files(resolved, paths), "images")
+    done = store(ix.merge_download_state(index, fetched.select("id", "version"), o.now), "done")
+    stored = done.where(F.col("downloaded_at").isNotNull()).select("id")
+    files = paths.join(stored, "id", "left_semi").select(
+        F.regexp_replace(F.substring("path", len(root) + 2, 1 << 30), r"\.html$", ".md").alias("path")
     )
-
-    markdown = refs.pages_to_markdown(fetched, index, users, o.markdown)
-    sinks.write_run(markdown, f"{o.tables}/markdown", run_space, run_id, o.now)
-    done = ix.merge_download_state(index, fetched.select("id", "version"), o.now)
-    sinks.write_index(done, index_table, run_space, run_id, o.now, o.page_size)
-    return sinks.read_latest(spark, f"{o.tables}/markdown", run_space)
+    write(tree.sorted_site_tree(files), "site_tree")
+    sinks.write_index(done, index_table, o.space, run_id, o.now, o.page_size)
+    return markdown
