@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 # The white space of the contracts: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]"
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -41,3 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(column: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def word_blocks(data: bytes, size: int = 1 << 20):
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text as lists, each from about ``size`` bytes; bytes.split has that white space."""
+    at = 0
+    while at < len(data):
+        found = _BLANK.search(data, at + size)
+        end = found.start() if found else len(data)
+        yield data[at:end].split()
+        at = end

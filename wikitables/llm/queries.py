@@ -5,9 +5,11 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op9_packing
 from .sharding import op10_sharding
+from .simhash import op7_simhash
 
 QUERIES = {
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
+    "op7_simhash": (op7_simhash, None),
     "op9_packing": (op9_packing, None),
     "op10_sharding": (op10_sharding, None),
 }
