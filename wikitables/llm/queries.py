@@ -6,8 +6,10 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op9_packing
 from .sharding import op10_sharding
 from .simhash import op7_simhash
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_simhash": (op7_simhash, None),
     "op9_packing": (op9_packing, None),
