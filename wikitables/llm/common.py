@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def word_blocks(data: bytes, size: int = 1 << 20):
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as lists, each from about ``size`` bytes; bytes.split has that white space."""
     at = 0
     while at < len(data):
@@ -53,3 +56,16 @@ def word_blocks(data: bytes, size: int = 1 << 20):
         end = found.start() if found else len(data)
         yield data[at:end].split()
         at = end
+
+
+def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``size`` bytes each."""
+    lengths = pc.binary_length(texts).to_pylist()
+    at = held = 0
+    for i, n in enumerate(lengths):
+        held += n or 0
+        if held >= size:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(lengths):
+        yield at, len(lengths)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op5_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op9_packing
 from .sharding import op10_sharding
@@ -10,6 +11,7 @@ from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
+    "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_simhash": (op7_simhash, None),
     "op9_packing": (op9_packing, None),
