@@ -49,12 +49,14 @@ def classify(
         rows.groupBy("hash").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1),
         "copies",
     )
+    # Both joins shuffle at any size, as they will at scale; only the second moves texts.
     digest = F.sha2("bytes", 256).alias("text_sha256")
-    single = rows.join(groups, "hash", "left_anti").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest, "row"
+    thin = rows.select("hash", "id", "row", digest)
+    single = thin.join(groups.hint("merge"), "hash", "left_anti").select(
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "row"
     )
 
-    members = stored(rows.join(groups, "hash").select("hash", "id", "n", "row", "best", "size", "bytes"), "members")
+    members = stored(rows.join(groups.hint("merge"), "hash").select("hash", "id", "n", "row", "best", "size", "bytes"), "members")
     keepers = members.where(F.col("row") == F.col("best.row")).select("hash", F.col("bytes").alias("keeper"))
     compared = members.join(keepers, "hash").withColumn("same", F.col("bytes") == F.col("keeper"))
     collided = stored(compared.where(~F.col("same")).select("hash", "id", "n", "row", "bytes"), "collided")
