@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .fingerprints import op2_fingerprints
 from .html_extract import op4_html_extract
 from .packing import op9_packing
 from .sharding import op10_sharding
@@ -12,6 +13,7 @@ from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
+    "op2_fingerprints": (op2_fingerprints, None),
     "op4_html_extract": (op4_html_extract, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
