@@ -10,10 +10,12 @@ from .packing import op9_packing
 from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op2_fingerprints": (op2_fingerprints, None),
+    "op3_toxicity": (op3_toxicity, None),
     "op4_html_extract": (op4_html_extract, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
