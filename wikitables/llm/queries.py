@@ -7,6 +7,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .fingerprints import op2_fingerprints
 from .html_extract import op4_html_extract
 from .packing import op9_packing
+from .quality import op8_quality
 from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .substring_dedup import OP1_SQL, op1_substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_simhash": (op7_simhash, None),
+    "op8_quality": (op8_quality, None),
     "op9_packing": (op9_packing, None),
     "op10_sharding": (op10_sharding, None),
 }
