@@ -312,7 +312,7 @@ def templates(outline: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     broken = (
         members.select("pool", "vector", F.explode("above").alias("up"))
         .join(named, ["pool", "up"], "left")
-        .where("held is null")
+        .where("held is null and up <> 0")  # 0 is the page itself
         .select("pool", "vector")
     )
     valid = stored(

@@ -15,6 +15,7 @@ table gives an empty table; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -51,25 +52,27 @@ def balanced_map(sizes: dict[int, tuple[int, int]], shards: int, slots: int = SL
 def grown_map(shard_of: list[int], sizes: dict[int, tuple[int, int]]) -> list[int]:
     """The map edited for one more shard: slots move only into the new shard, the fullest shard giving first."""
     new = max(shard_of) + 1
-    held: dict[int, list[int]] = {s: [] for s in range(new)}
-    for slot, shard in enumerate(shard_of):
-        held[shard].append(slot)
     size = {v: sizes.get(v, (0, 0))[0] for v in range(len(shard_of))}
-    filled = {s: sum(size[v] for v in slots) for s, slots in held.items()}
+    held: dict[int, list[tuple[int, int]]] = {s: [] for s in range(new)}
+    for slot, shard in enumerate(shard_of):
+        held[shard].append((size[slot], slot))
+    filled = {s: sum(n for n, _ in slots) for s, slots in held.items()}
     for slots in held.values():
-        slots.sort(key=lambda v: size[v])
+        slots.sort()
     target, taken, out = sum(filled.values()) / (new + 1), 0, list(shard_of)
     heap = [(-filled[s], s) for s in held]
     heapq.heapify(heap)
     while heap:
         _, shard = heapq.heappop(heap)
-        if not held[shard]:
+        # The largest slot that leaves the giving shard, and the new one, at its share.
+        spare = min(filled[shard] - target, target - taken)
+        at = bisect_right(held[shard], (spare, len(shard_of))) - 1
+        if at < 0 or spare <= 0:
             continue
-        slot = held[shard].pop()
-        if taken + size[slot] <= target:
-            out[slot] = new
-            taken += size[slot]
-            filled[shard] -= size[slot]
+        given, slot = held[shard].pop(at)
+        out[slot] = new
+        taken += given
+        filled[shard] -= given
         heapq.heappush(heap, (-filled[shard], shard))
     return out
 
