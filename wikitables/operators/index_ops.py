@@ -17,9 +17,6 @@ from ..plans.ranking import ranked
 from ..plans.skew import spread_join
 from ..schemas import INDEX_COLUMNS, META_COLUMNS
 
-# Up to here a limit is cheaper as a top-k on one task than as a distributed ranking.
-TOP_K_ROWS = 100_000
-
 
 def given(col: Column) -> Column:
     """Null for the values that count as missing: null, 0 and the empty string."""
@@ -31,10 +28,8 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def limit_pages(df: DataFrame, n: int, order: str = "pos") -> DataFrame:
-    """The first ``n`` rows in listing order."""
-    if n <= TOP_K_ROWS:
-        return df.orderBy(order).limit(n)
-    return ranked(df, [order], "_rank").where(F.col("_rank") <= n).drop("_rank")
+    """The first ``n`` rows in listing order: each task sends on at most ``n``."""
+    return df.orderBy(order).limit(n)
 
 
 def pages_by_id(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -306,7 +301,7 @@ def merge_sidecars(index: DataFrame, sidecars: DataFrame) -> tuple[DataFrame, Da
         .select(*index.columns)
     )
     known = index.select(F.col("id").alias("page_id"))
-    return merged, spread_join(sidecars, known, ["page_id"], ["path"], "left_anti")
+    return merged, spread_join(sidecars, known, ["page_id"], "left_anti")
 
 
 def sidecar_stats(index: DataFrame, sidecars: DataFrame) -> DataFrame:

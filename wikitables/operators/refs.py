@@ -54,7 +54,7 @@ def page_by_title(index: DataFrame, refs: DataFrame, overrides: DataFrame | None
     titles = first_by_title(index)
     if overrides is not None:
         titles = titles.join(overrides, "title", "left_anti").unionByName(overrides.select("title", "id"))
-    return spread_join(refs, titles.withColumnRenamed("id", "target_id"), ["title"], ["id"])
+    return spread_join(refs, titles.withColumnRenamed("id", "target_id"), ["title"])
 
 
 def user_labels(users: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def resolve_users(refs: DataFrame, users: DataFrame) -> DataFrame:
         F.concat(F.lit("user-"), F.right(F.col("key"), F.lit(8)))
     )
     return (
-        spread_join(refs, user_labels(users), ["kind", "key"], ["id"])
+        spread_join(refs, user_labels(users), ["kind", "key"])
         .withColumn("label", F.concat(F.lit("@"), F.coalesce(F.col("label"), handle)))
     )
 
@@ -167,7 +167,7 @@ def resolve_children(refs: DataFrame, targets: DataFrame, index: DataFrame, part
     lists = child_lists(parts, inline_parts).withColumnRenamed("parent_id", "target_id")
     value = F.coalesce(F.col("list"), F.when(F.col("kind") == "children", F.lit(R.NO_CHILDREN)))
     return (
-        spread_join(titled.unionByName(own), lists, ["target_id"], ["id"])
+        spread_join(titled.unionByName(own), lists, ["target_id"])
         .select("id", "kind", "key", value.alias("value"))
         .where(F.col("value").isNotNull())
     )
@@ -221,7 +221,7 @@ def resolve_includes(
     if not whole.isEmpty():
         converted = convert_pages(whole, rows.where(F.col("kind") != "include"), options)
         texts = listed.unionByName(converted.select(F.col("id").alias("target_id"), F.col("html").alias("text")))
-    return spread_join(wanted, texts, ["target_id"], ["id"], "inner").select(
+    return spread_join(wanted, texts, ["target_id"], "inner").select(
         "id", F.lit("include").alias("kind"), F.col("title").alias("key"), include_text(F.col("title"), F.col("text")).alias("value")
     )
 
@@ -257,7 +257,7 @@ def _link_rows(links: DataFrame, index: DataFrame) -> DataFrame:
     """Values of the page links: the file each target is really stored under."""
     name = F.concat(F.col("id"), F.lit("-"), slugify50(F.col("title")), F.lit(".md"))
     files = index.select(F.col("id").alias("target_id"), name.alias("value"))
-    return spread_join(links, files, ["target_id"], ["id"], "inner").select("id", "kind", F.col("title").alias("key"), "value")
+    return spread_join(links, files, ["target_id"], "inner").select("id", "kind", F.col("title").alias("key"), "value")
 
 
 # ---- conversion --------------------------------------------------------------------
@@ -329,7 +329,7 @@ def split_long_lists(converted: DataFrame, parts: DataFrame) -> DataFrame:
         .withColumn("part", F.shiftleft(F.col("_n").cast("bigint") * 2 + 1, 32) + F.col("_row"))
     )
     texts = M.convert_plain(parts.select("parent_id", F.col("part").alias("_row"), F.col("text").alias("html")), "html")
-    lists = spread_join(tokens, texts, ["parent_id", "_row"], ["id", "part"], "inner").withColumn(
+    lists = spread_join(tokens, texts, ["parent_id", "_row"], "inner").withColumn(
         "images", F.lit(None).cast(converted.schema["images"].dataType)
     )
     columns = [*converted.columns, "part"]
@@ -411,11 +411,11 @@ def resolve_attachments(manifest: DataFrame, attachments: DataFrame) -> DataFram
     )
     files = attachments.withColumnRenamed("page_id", "container_id")
     hits = spread_join(
-        tried, files.select("container_id", "filename"), ["container_id", "filename"], ["page_id", "pos"], "left_semi"
+        tried, files.select("container_id", "filename"), ["container_id", "filename"], "left_semi"
     )
     won = hits.groupBy("page_id", "pos").agg(F.min_by("filename", "_try").alias("filename"))
     named = store(manifest.join(won, ["page_id", "pos"], "left"), "attachment-names")
-    return spread_join(named, files, ["container_id", "filename"], ["page_id", "pos"]).withColumn(
+    return spread_join(named, files, ["container_id", "filename"]).withColumn(
         "found", F.col("filename").isNotNull()
     )
 

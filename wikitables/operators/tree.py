@@ -23,14 +23,14 @@ from .index_ops import dedupe_by_id
 def attach_parent(index: DataFrame) -> DataFrame:
     """Each page with its parent's id, null where the parent is not in the index."""
     parents = index.select(F.col("id").alias("parent_id"), F.lit(True).alias("_present"))
-    joined = spread_join(index.select("pos", "id", "parent_id", "title"), parents, ["parent_id"], ["id"])
+    joined = spread_join(index.select("pos", "id", "parent_id", "title"), parents, ["parent_id"])
     return joined.select("pos", "id", "title", F.when(F.col("_present"), F.col("parent_id")).alias("parent_id"))
 
 
 def root_pages(index: DataFrame) -> DataFrame:
     """Pages without a parent, or whose parent is not in the index."""
     parents = index.select(F.col("id").alias("parent_id"))
-    return spread_join(index.select("pos", "id", "parent_id", "title"), parents, ["parent_id"], ["id"], "left_anti").select(
+    return spread_join(index.select("pos", "id", "parent_id", "title"), parents, ["parent_id"], "left_anti").select(
         "pos", "id", "title"
     )
 
@@ -44,7 +44,7 @@ def child_pages(index: DataFrame, ids: DataFrame) -> DataFrame:
     """Children of the given pages, in sibling order by ``pos``."""
     parents = ids.select(F.col("id").alias("parent_id")).distinct()
     children = index.where(F.col("parent_id").isNotNull()).select("parent_id", "pos", "id", "title")
-    return spread_join(children, parents, ["parent_id"], ["id"], "left_semi")
+    return spread_join(children, parents, ["parent_id"], "left_semi")
 
 
 def build_forest(index: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def build_forest(index: DataFrame, carry: dict[str, Column] | None = None) -> Da
     own = pages.select("id", "parent_id", *(F.array(expr).alias(name) for name, expr in carried.items()))
     present = pages.select(F.col("id").alias("parent_id"), F.lit(True).alias("_present"))
     links = store(
-        spread_join(own, present, ["parent_id"], ["id"]).select(
+        spread_join(own, present, ["parent_id"]).select(
             "id", F.when(F.col("_present"), F.col("parent_id")).alias("up"), *carried
         ),
         "forest-links",
@@ -74,11 +74,12 @@ def build_forest(index: DataFrame, carry: dict[str, Column] | None = None) -> Da
         if remaining in (0, open_links):
             break
         open_links = remaining
-        above = finished.unionByName(pending).select(
+        wanted = pending.select(F.col("up").alias("id")).distinct()
+        above = finished.unionByName(pending).join(wanted, "id", "left_semi").select(
             F.col("id").alias("up"), F.col("up").alias("_up"), *(F.col(n).alias(f"_{n}") for n in carried)
         )
         moved = store(
-            spread_join(pending, above, ["up"], ["id"], "inner").select(
+            spread_join(pending, above, ["up"], "inner").select(
                 "id", F.col("_up").alias("up"), *(F.concat(f"_{n}", n).alias(n) for n in carried)
             ),
             "forest-round",
@@ -86,13 +87,14 @@ def build_forest(index: DataFrame, carry: dict[str, Column] | None = None) -> Da
         finished = finished.unionByName(moved.where(F.col("up").isNull()))
         pending = moved.where(F.col("up").isNotNull())
 
-    return pages.join(finished.drop("up"), "id").select(
+    forest = pages.join(finished.drop("up"), "id").select(
         *pages.columns,
         F.col("ids")[0].alias("root_id"),
         (F.size("ids") - 1).alias("depth"),
         (F.size("ids") == 1).alias("is_root"),
         *carried,
     )
+    return store(forest, "forest")  # nearly every use of a forest reads it more than once
 
 
 def cycle_pages(index: DataFrame, forest: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def ancestors(index: DataFrame, forest: DataFrame, ids: DataFrame) -> DataFrame:
         .withColumn("_orphan", F.lit(True))
     )
     wanted = forest.join(ids.select("id").distinct(), "id", "left_semi").select("id", "root_id", "ids")
-    return spread_join(wanted, orphan_roots, ["root_id"], ["id"]).select(
+    return spread_join(wanted, orphan_roots, ["root_id"]).select(
         "id",
         F.when(F.col("_orphan"), F.array().cast("array<string>"))
         .otherwise(F.slice("ids", F.lit(1), F.size("ids") - 1))

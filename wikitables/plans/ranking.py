@@ -8,50 +8,33 @@ from pyspark.sql import functions as F
 
 from .storage import store
 
+# monotonically_increasing_id has the partition above these bits and the row within it below.
+_ROW_BITS = 33
 
-# Up to this many rows one task may number everything.
-SMALL_ROWS = 250_000
 
+def ranked(df: DataFrame, order: list[str | Column], out: str, group: list[str] | None = None) -> DataFrame:
+    """Add ``out``: the 1-based position of each row within ``group`` by ``order``, a total order within the group.
 
-def ranked(
-    df: DataFrame,
-    order: list[str | Column],
-    out: str,
-    group: list[str] | None = None,
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
-    """Add ``out``: the 1-based position of each row within ``group`` by ``order``.
-
-    The table is range-partitioned by (group, order), so a large group spans
-    many tasks.  Rows are numbered inside each partition and shifted by the
-    group's rows in earlier partitions.  Only the group a partition starts with
-    can reach back, so the shifts are at most one row per partition.
-    ``order`` must be a total order within the group.
+    The table is sorted once over range partitions and stored with each row's
+    place in its partition.  The rows of earlier partitions, one number per
+    partition, shift that to a place in the whole table; a group's first place
+    shifts it to a place in the group.  A group of any size spans tasks, and
+    the plan is the same for every size.
     """
     group = group or []
     ordering = [*(F.col(g) for g in group), *(F.col(o) if isinstance(o, str) else o for o in order)]
-    if df.count() <= small_rows:
-        whole = W.partitionBy(*group).orderBy(*ordering)
-        return df.withColumn(out, F.row_number().over(whole).cast("bigint"))
-
-    placed = store(df.repartitionByRange(*ordering).withColumn("_part", F.spark_partition_id()), "ranked")
-    group_key = F.struct(*(F.col(g) for g in group)) if group else F.struct(F.lit(0).alias("_all"))
-    keyed = placed.withColumn("_group", group_key)
-    counts = keyed.groupBy("_part", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    first = counts.groupBy("_part").agg(F.min("_group").alias("_group"))
-    # Groups that open a partition: at most one per partition, and they fill all partitions between their ends.
-    openers = first.select("_group").distinct()
-    running = W.partitionBy("_group").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shifts = (
-        counts.join(F.broadcast(openers), "_group", "left_semi")
-        .withColumn("_shift", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        .where(F.col("_shift") > 0)
-        .select("_part", "_group", "_shift")
+    sorted_rows = df.repartitionByRange(*ordering).sortWithinPartitions(*ordering)
+    placed = store(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn(
+        "_part", F.shiftright("_at", _ROW_BITS)
     )
-    within = W.partitionBy("_part", "_group").orderBy(*ordering)
-    return (
-        keyed.withColumn("_row", F.row_number().over(within))
-        .join(F.broadcast(shifts), ["_part", "_group"], "left")
-        .withColumn(out, (F.col("_row") + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint"))
-        .drop("_part", "_group", "_row", "_shift")
+    running = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(running, F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(offsets), "_part").withColumn(
+        "_place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     )
+    first = F.lit(0)
+    if group:
+        starts = numbered.groupBy(*(F.col(g).alias(f"_group_{g}") for g in group)).agg(F.min("_place").alias("_first"))
+        same = [F.col(g).eqNullSafe(F.col(f"_group_{g}")) for g in group]
+        numbered, first = numbered.join(starts, same), F.col("_first")
+    return numbered.select(*df.columns, (F.col("_place") - first + 1).cast("bigint").alias(out))

@@ -2,76 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# A key is hot when it owns more than 1/SHARES of the rows, so there are fewer than SHARES hot keys.
-SHARES = 1000
-# A key with no more rows than this is never worth splitting.
-MIN_HOT_ROWS = 1_000_000
-
-
-def hot_keys(
-    facts: DataFrame, keys: list[str], shares: int = SHARES, min_rows: int = MIN_HOT_ROWS
-) -> list[tuple]:
-    """The keys (null included) owning more than ``1/shares`` of the rows: ``(*key, salts)``.
-
-    Rows are counted on the map side, and at most ``shares`` keys can qualify,
-    so the result is small whatever the data.
-    """
-    total = facts.count()
-    if total <= min_rows:
-        return []
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
-    top = counts.orderBy(F.col("_n").desc()).limit(shares).collect()
-    return [(*(row[k] for k in keys), math.ceil(row["_n"] * shares / total)) for row in top if row["_n"] * shares > total]
 
 
-def spread_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    keys: list[str],
-    row_key: list[str],
-    how: str = "left",
-    shares: int = SHARES,
-    min_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
+def spread_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``facts`` with ``dim`` (at most one row per key) on ``keys``.
 
-    Rows of a hot key are spread over many tasks by a salt taken from
-    ``row_key``, and the single dimension row of that key is repeated once per
-    salt.  Without hot keys this is the plain join.  ``facts`` is read once
-    more to find the hot keys, so pass a stored table or a cheap scan.
+    One equi-join at every size: whether ``dim`` is broadcast is left to its
+    size in bytes, and adaptive execution splits the partition of a hot or null
+    key of ``facts``, repeating only that key's single ``dim`` row.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    hot = hot_keys(facts, keys, shares, min_rows)
-    if not hot:
-        return facts.join(dim, keys, how)
-    hot_columns = [f"_hot_{k}" for k in keys]
-    schema = T.StructType(
-        [T.StructField(h, facts.schema[k].dataType) for h, k in zip(hot_columns, keys)]
-        + [T.StructField("_salts", T.IntegerType())]
-    )
-    salts = F.broadcast(facts.sparkSession.createDataFrame(hot, schema))
-
-    def with_salts(df: DataFrame) -> DataFrame:
-        same = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, hot_columns)]
-        return df.join(salts, same, "left").drop(*hot_columns)
-
-    spread = F.pmod(F.xxhash64(*row_key), F.col("_salts")).cast("int")
-    salted = with_salts(facts).withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
-    repeated = (
-        with_salts(dim)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def broadcast_if_small(dim: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a narrow dimension for broadcast once its row count is known to be small."""
-    return F.broadcast(dim) if dim.count() <= max_rows else dim
+    return facts.join(dim, keys, how)

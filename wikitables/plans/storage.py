@@ -8,7 +8,6 @@ Catalyst sees the true size of what it joins.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from urllib.parse import unquote
 
@@ -18,23 +17,16 @@ from pyspark.sql import functions as F
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 # Size of one scan task by default.
 SPLIT_BYTES = 128 << 20
-# Fallback folders of local sessions, by application.
-_LOCAL_FOLDERS: dict[str, str | None] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    Only a local master may fall back to a folder of this machine.
-    """
+    """The shared folder for intermediate tables; a local session without the setting uses its warehouse."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        app = spark.sparkContext.applicationId
-        folder = _LOCAL_FOLDERS.setdefault(app, None) or tempfile.mkdtemp(prefix="wikitables-")
-        _LOCAL_FOLDERS[app] = folder
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

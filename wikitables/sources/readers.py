@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_id
-from ..plans.skew import broadcast_if_small
 from ..schemas import ENVELOPE, ENVELOPE_WITHOUT_BODY, SIDECAR, USER
 
 
@@ -15,15 +14,19 @@ def read_envelopes(spark: SparkSession, path: str, with_body: bool = True) -> Da
     return spark.read.schema(ENVELOPE if with_body else ENVELOPE_WITHOUT_BODY).json(path)
 
 
-def envelope_cutoff(envelopes: DataFrame) -> DataFrame:
+def listing_ends(envelopes: DataFrame) -> DataFrame:
+    """Per space the start of the response that ends its listing, the first that is short or names no next page."""
+    terminal = (F.size("results") < F.col("limit")) | F.col("_links.next").isNull()
+    return envelopes.groupBy("space").agg(F.min(F.when(terminal, F.col("start"))).alias("_end"))
+
+
+def envelope_cutoff(envelopes: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Drop the responses after the one that ends a listing.
 
-    A listing ends at its first response that is short or names no next page.
+    ``ends`` are its :func:`listing_ends`; pass them to read the responses only once.
     """
-    terminal = (F.size("results") < F.col("limit")) | F.col("_links.next").isNull()
-    ends = envelopes.groupBy("space").agg(F.min(F.when(terminal, F.col("start"))).alias("_end"))
     return (
-        envelopes.join(broadcast_if_small(ends), "space", "left")
+        envelopes.join(listing_ends(envelopes) if ends is None else ends, "space", "left")
         .where(F.col("_end").isNull() | (F.col("start") <= F.col("_end")))
         .drop("_end")
     )
@@ -34,8 +37,9 @@ def _text(value: Column) -> Column:
 
 
 def timestamp(value: Column) -> Column:
-    """ISO-8601 text as a UTC timestamp without zone, whatever the session's time zone."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.to_timestamp(value).cast("timestamp_ntz"))
+    """ISO-8601 text as a UTC timestamp without zone, whatever the session's time zone: its distance from the epoch."""
+    seconds = (F.unix_micros(F.to_timestamp(value)).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def flatten_page(envelopes: DataFrame, with_body: bool = True) -> DataFrame:
@@ -63,14 +67,14 @@ def flatten_page(envelopes: DataFrame, with_body: bool = True) -> DataFrame:
     return rows.select(*columns)
 
 
-def scan_page_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """All pages of the landed listings, bodies included."""
-    return flatten_page(envelope_cutoff(read_envelopes(spark, path)))
+def scan_page_envelopes(spark: SparkSession, path: str, ends: DataFrame | None = None) -> DataFrame:
+    """All pages of the landed listings, bodies included; ``ends`` as for :func:`envelope_cutoff`."""
+    return flatten_page(envelope_cutoff(read_envelopes(spark, path), ends))
 
 
-def scan_page_metadata(spark: SparkSession, path: str) -> DataFrame:
+def scan_page_metadata(spark: SparkSession, path: str, ends: DataFrame | None = None) -> DataFrame:
     """All pages without their bodies."""
-    return flatten_page(envelope_cutoff(read_envelopes(spark, path, with_body=False)), with_body=False)
+    return flatten_page(envelope_cutoff(read_envelopes(spark, path, with_body=False), ends), with_body=False)
 
 
 def scan_search_results(pages: DataFrame, space: str, since: Column) -> DataFrame:
@@ -101,11 +105,14 @@ def scan_user_cache(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _tree_path(root: str) -> Column:
+def _tree_path(spark: SparkSession, root: str) -> Column:
     """Path below ``root`` of the file a row was read from."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(folder)
     path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    marker = "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    return F.substring_index(path, marker, -1)
+    # Without scheme and host, which the two spell differently.
+    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    return F.substring(plain, len(full.toUri().getPath().rstrip("/")) + 2, 1 << 30)
 
 
 def _listed(files: DataFrame, skip: tuple[str, ...]) -> DataFrame:
@@ -119,20 +126,20 @@ def _listed(files: DataFrame, skip: tuple[str, ...]) -> DataFrame:
 def scan_html_tree(spark: SparkSession, root: str) -> DataFrame:
     """Stored page bodies: ``(path, id, html)``."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(root, wholetext=True)
-    found = _listed(files.select(_tree_path(root).alias("path"), F.col("value").alias("html")), ("images",))
+    found = _listed(files.select(_tree_path(spark, root).alias("path"), F.col("value").alias("html")), ("images",))
     return found.select("path", file_id(F.substring_index("path", "/", -1)).alias("id"), "html")
 
 
 def scan_markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     """Paths of the Markdown files; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    return _listed(files.select(_tree_path(root).alias("path")), ("images", "links"))
+    return _listed(files.select(_tree_path(spark, root).alias("path")), ("images", "links"))
 
 
 def scan_attachments(spark: SparkSession, root: str) -> DataFrame:
     """Attachments stored as ``<page id>/<file name>``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.split(_tree_path(root), "/")
+    path = F.split(_tree_path(spark, root), "/")
     return files.select(
         F.element_at(path, -2).alias("page_id"), F.element_at(path, -1).alias("filename"), F.col("content")
     )
@@ -145,7 +152,7 @@ def scan_meta_sidecars(spark: SparkSession, root: str) -> DataFrame:
         .option("multiLine", "true").json(root)
     )
     rows = files.select(
-        _tree_path(root).alias("path"),
+        _tree_path(spark, root).alias("path"),
         F.col("pageId").alias("page_id"),
         "version",
         timestamp(F.col("modifiedDate")).alias("modified_at"),

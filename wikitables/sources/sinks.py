@@ -127,7 +127,7 @@ def image_files(resolved: DataFrame, paths: DataFrame) -> DataFrame:
     name the first by page and position stays.
     """
     folders = paths.select(F.col("id").alias("page_id"), "dir")
-    placed = spread_join(resolved.where("found"), folders, ["page_id"], ["page_id", "pos"], "inner")
+    placed = spread_join(resolved.where("found"), folders, ["page_id"], "inner")
     named = placed.select(
         F.concat_ws("/", "dir", F.lit("images"), "slug_name").alias("path"), "page_id", "pos", "content"
     )

@@ -77,13 +77,14 @@ def sync_corpus(
         sinks.write_run(df, f"{o.tables}/{table}", o.space, run_id, o.now)
         return sinks.read_latest(spark, f"{o.tables}/{table}", o.space)
 
-    listing = store(readers.scan_page_metadata(spark, o.landing).where(F.col("space") == o.space), "listing")
+    ends = store(readers.listing_ends(readers.read_envelopes(spark, o.landing, with_body=False)), "listing-ends")
+    listing = store(readers.scan_page_metadata(spark, o.landing, ends).where(F.col("space") == o.space), "listing")
     previous = sinks.read_latest(spark, index_table, o.space)
     index = store(
         first_index(listing, o.now) if previous is None else update_index(listing, previous, o.now, o.mode), "index"
     )
 
-    forest = store(tree.with_names(index), "forest")
+    forest = tree.with_names(index)
     paths = tree.page_paths(forest, root)
     sinks.write_tree(forest, f"{o.tables}/page_tree", o.space, run_id, o.now)
     chosen = forest
@@ -98,7 +99,7 @@ def sync_corpus(
     plan = ix.download_plan(queue, paths, index, root, o.force)
     wanted = store(plan.where(F.col("action") != "skip").select("id"), "wanted")
 
-    listed = readers.scan_page_envelopes(spark, o.landing).where(F.col("space") == o.space)
+    listed = readers.scan_page_envelopes(spark, o.landing, ends).where(F.col("space") == o.space)
     bodies = ix.dedupe_by_id(listed.join(wanted, "id", "left_semi").select("pos", "id", F.col("body").alias("html")))
     html = write(sinks.html_files(bodies, paths), "html")
     fetched = html.select("id", "html").join(index.select("id", "title", "version"), "id")
