@@ -426,11 +426,10 @@ add(
     "child_lists",
     f"SELECT parent_id, string_agg({D.child_link('title')}, chr(10) ORDER BY pos) || chr(10) || chr(10) AS list FROM v_tree WHERE parent_id IS NOT NULL GROUP BY parent_id",
     "v_tree",
-)(lambda v: refs.child_lists(refs.child_list_parts(v.v_tree)))
+)(lambda v: refs.child_lists(v.v_tree))
 add(
     "assemble_page",
-    """SELECT id, part, string_agg(s, '; ' ORDER BY pos) AS text FROM (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS pos, event_type AS s,
- CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 1000 AS INT) AS part FROM events) GROUP BY id, part""",
+    "SELECT CAST(user_id AS VARCHAR) AS id, string_agg(event_type, '; ' ORDER BY event_id) AS text FROM events GROUP BY 1",
 )(
     lambda v: refs.assemble_page(
         v.events.select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("pos"), F.col("event_type").alias("s")), "; "
@@ -447,7 +446,7 @@ add(
     cte(f"{_DIMS} SELECT id, t AS key, txt AS value FROM {_TARGETED} WHERE t <> '' AND target IS NOT NULL AND target <> id"),
     "v_storage", "v_users",
 )(
-    lambda v: refs.resolve_refs(_storage(v), _page_index(v), v.v_users)[0].where(F.col("kind") == "include").select("id", "key", "value")
+    lambda v: refs.resolve_refs(_storage(v), _page_index(v), v.v_users).where(F.col("kind") == "include").select("id", "key", "value")
 )
 add(
     "include_list",
@@ -464,7 +463,7 @@ add("expand_list_children", _stage_sql(D.expand_list_children("s.html", "d.own[s
     lambda v: refs.expand_list_children(_storage(v), _page_index(v))
 )
 add("expand_includes", _stage_sql(D.let(_KNOWN, lambda k: D.fill_includes(D.mark_includes("s.html", k), k))), "v_storage", "v_users")(
-    lambda v: refs.expand_includes(_storage(v), _page_index(v))
+    lambda v: refs.expand_includes(_storage(v), _page_index(v), v.v_users)
 )
 add("include_items", f"SELECT id, {D.join(D.include_items('html'), chr(10))} AS items FROM v_storage", "v_storage")(
     lambda v: v.v_storage.select("id", F.array_join(refs.include_items(F.col("html")), "\n").alias("items"))
@@ -520,7 +519,7 @@ _CONVERTED = f"""{_DIMS},
  s10 AS (SELECT id, title, {D.fill_includes('html', 'known')} AS html FROM s9),
  s11 AS (SELECT id, title, {D.finish('html')} AS html FROM s10)"""
 _NAME = f"(id || '-' || {D.slug50('title')})"
-_MARKDOWN = f"""SELECT id, CAST(0 AS BIGINT) AS part, {_NAME} || '.md' AS file,
+_MARKDOWN = f"""SELECT id, {_NAME} || '.md' AS file,
  {D.unescape(f"({D.front_matter(D.unslug(_NAME), 'id')} || chr(10) || chr(10) || html)")} AS markdown FROM s11"""
 
 

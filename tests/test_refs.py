@@ -1,6 +1,5 @@
 """Reference resolution and the corpus conversion."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from wikitables.operators import refs
@@ -27,9 +26,9 @@ def make(spark, *rows):
 def bodies(df):
     """Markdown without its front matter, by page."""
     out = {}
-    for r in df.orderBy("id", "part").collect():
-        text = r["markdown"].split("---\n\n", 1)[-1] if r["part"] == 0 else r["markdown"]
-        out[r["id"]] = out.get(r["id"], "") + text
+    for r in df.collect():
+        assert r["id"] not in out
+        out[r["id"]] = r["markdown"].split("---\n\n", 1)[-1]
     return out
 
 
@@ -89,19 +88,53 @@ def test_overrides_win(spark, no_users):
     assert got["3"] == "## Useful\n\n- two\n"
 
 
-@pytest.mark.parametrize("inline_parts", [64, 0])
-def test_long_child_lists_come_as_rows(spark, no_users, monkeypatch, inline_parts):
-    """A list beyond the inline limit is split over rows that join to the same lines."""
-    monkeypatch.setattr(refs.child_list_parts, "__defaults__", (None, 4))
+def test_long_child_list(spark, no_users):
+    """More than 64,000 children: one page, one text, all children in order."""
+    index = spark.range(1, 65_500).select(
+        F.col("id").alias("pos"), F.col("id").cast("string").alias("id"), F.concat(F.lit("Page "), "id").alias("title"), F.lit("0").alias("parent_id")
+    )
+    top = make(spark, ("0", "Top", None, "<p>before</p>" + LIST + "<p>after</p>"))
+    row = refs.pages_to_markdown(top, index.unionByName(top.drop("html")), no_users).collect()
+    lines = [line for line in row[0]["markdown"].split("---\n\n", 1)[1].split("\n") if line]
+    assert len(row) == 1 and lines == ["before", *[f"- [Page {n}](page-{n}.md)" for n in range(1, 65_500)], "after"]
+
+
+def test_private_use_characters(spark, no_users):
+    """Icon fonts use the characters that fence includes meanwhile."""
+    odd = "\ue000x\ue001 \ue002\ue003 \ue005"
+    pages = make(
+        spark,
+        ("1", f"T {odd}", None, f"{odd} one"),
+        ("2", "Reader", "1", f'{odd}<ac:image><ri:attachment ri:filename="a{odd}.png" /></ac:image>' + include(f"T {odd}") + include(f"No {odd}")),
+        ("3", "Lists", None, children(f"T {odd}") + include("Reader")),
+        ("4", f"Child {odd}", "3", "x"),
+        ("5", "Parent", None, children("Lists")),
+    )
+    df = convert(pages, no_users)
+    got = bodies(df)
+    assert got["1"] == f"{odd} one\n"
+    assert got["2"].startswith(odd + f"![a{odd}.png](images/") and f"## T {odd}\n\n{odd} one" in got["2"]
+    assert got["5"].startswith(f"- [Child {odd}](") and "## Reader" in got["3"]
+    assert df.where("id = '2'").first()["images"][0]["name"] == f"a{odd}.png"
+
+
+def test_page_included_whole_keeps_its_references(spark):
+    users = spark.createDataFrame([("k", "ann", "Ann")], "user_key string, username string, display_name string")
     pages = make(
-        spark, ("0", "Top", None, "<p>before</p>" + LIST + "<p>after</p>"),
-        *[(str(n), f"Page {n}", "0", "x") for n in range(1, 12)],
+        spark,
+        ("1", "Whole", None, '<p>by <ac:link><ri:user ri:username="ann" /></ac:link></p>' + LIST),
+        ("2", "Below", "1", "x"),
+        ("3", "Reader", None, include("Whole")),
     )
-    df = convert(pages, no_users, inline_parts=inline_parts)
-    assert df.where("id = '0'").count() == (1 if inline_parts else 5)
-    lines = [line for line in bodies(df)["0"].split("\n") if line]
-    assert lines == ["before", *[f"- [Page {n}](page-{n}.md)" for n in range(1, 12)], "after"]
-    assert df.select("id").distinct().count() == 12
+    assert "by @Ann\n\n- [Below](below.md)" in bodies(convert(pages, users))["3"]
+    html = {r["id"]: r["html"] for r in refs.expand_includes(pages, pages.drop("html"), users).collect()}
+    assert "by @Ann\n\n- [Below](below.md)" in html["3"]
+
+
+def test_equal_page_ids(spark, no_users):
+    pages = make(spark, ("1", "Home", None, LIST + "a"), ("2", "Sub", "1", "b"))
+    twice = pages.unionByName(pages.where("id = '1'"))
+    assert refs.pages_to_markdown(twice, pages.drop("html"), no_users).count() == 3
 
 
 def test_front_matter_and_file(spark, no_users):
@@ -134,7 +167,6 @@ def test_crlf_and_filter_on_result(spark, no_users):
     assert df.where(F.col("markdown").contains("b")).count() == 1
 
 
-def test_assemble_in_rows(spark):
+def test_assemble_in_parts(spark):
     pieces = spark.range(10).select(F.lit("p").alias("id"), "id").toDF("id", "pos").withColumn("s", F.col("pos").cast("string"))
-    got = [r["text"] for r in refs.assemble_page(pieces, ",", size=4).orderBy("part").collect()]
-    assert got == ["0,1,2,3", "4,5,6,7", "8,9"]
+    assert [tuple(r) for r in refs.assemble_page(pieces, ",", size=4).collect()] == [("p", "0,1,2,3,4,5,6,7,8,9")]

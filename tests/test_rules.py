@@ -1,6 +1,8 @@
 """Hand-derived results of the text rules and functions."""
 
 import random
+import re
+import time
 
 import duckdb
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import duck as D
 from wikitables.functions import rules as R
 from wikitables.functions import text as T
-from wikitables.functions.regex import apply_rules
+from wikitables.functions.regex import apply_rules, rewrite_spans
 from wikitables.operators import markdown as M
 from wikitables.operators.refs import attachment_candidates, include_items
 
@@ -205,3 +207,53 @@ def test_long_blank_runs_take_one_pass(spark):
 def test_replacements_keep_dollars(spark):
     assert run(spark, lambda c: apply_rules(c, [("x", "", "(a)", r"$1\1")]), "a") == "$1a"
     assert {r[0] for r in R.HTML_RULES} >= {"h1", "p", "any_tag"}
+
+
+def macro(name, inner="", title=None):
+    parameter = f'<ac:parameter ac:name="title">{title}</ac:parameter>' if title else ""
+    return f'<ac:structured-macro ac:name="{name}">{parameter}<ac:rich-text-body>{inner}</ac:rich-text-body></ac:structured-macro>'
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (macro("panel", "A" + macro("panel", "B" + macro("panel", "C") + "D") + "E") + "F", "ABC\n\nD\n\nE\n\nF"),
+        ('<ac:structured-macro ac:name="info" />KEEP1' + macro("toc") + "END", "<!-- Confluence Macro: info -->\n\nKEEP1<!-- Table of Contents -->\n\nEND"),
+        ('<ac:structured-macro ac:name="note"/>KEEP2' + macro("note", "n"), "<!-- Confluence Macro: note -->\n\nKEEP2> **Note:** n\n\n"),
+        (
+            '<ac:structured-macro ac:name="code" />KEEP3<ac:structured-macro ac:name="code"><ac:plain-text-body><![CDATA[a<ac:structured-macro ac:name="x">b]]></ac:plain-text-body></ac:structured-macro>',
+            '<!-- Confluence Macro: code -->\n\nKEEP3```\na<ac:structured-macro ac:name="x">b\n```\n\n',
+        ),
+        (macro("info", "in " + macro("warning", macro("excerpt", "x")), "T"), "[i] T\n\nin > **Warning:** x\n\n"),
+        ("a</ac:structured-macro>b" + '<ac:structured-macro ac:name="panel">open', 'a</ac:structured-macro>b<ac:structured-macro ac:name="panel">open'),
+    ],
+)
+def test_macros_at_any_depth(spark, html, want):
+    assert spark.createDataFrame([(html,)], "t string").select(M.convert_macros(F.col("t"))).first()[0] == want
+
+
+def test_table_macros_nest(spark):
+    html = macro("table-filter", macro("note", "n") + "<table/>") + '<ac:structured-macro ac:name="table" />' + macro("note", "m")
+    want = macro("note", "n") + "<table/>\n\n" + macro("note", "m")
+    assert spark.createDataFrame([(html,)], "t string").select(M.unwrap_tables(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<style>", "<td>", "<table>", '<ac:structured-macro ac:name="code">', "<![CDATA["])
+def test_unclosed_spans_take_linear_time(spark, piece):
+    """A megabyte of openings without closings; the quadratic search took minutes."""
+    text = piece * (1_000_000 // len(piece)) if "ac:" not in piece else piece * 2_000
+    started = time.time()
+    df = spark.createDataFrame([("a" + text,)], "t string")
+    for stage in (M.drop_scripts, M.flatten_cell_lists, M.tables_to_markdown, M.unwrap_tables, M.convert_macros):
+        assert df.select(stage(F.col("t"))).first()[0].startswith("a")
+    assert time.time() - started < 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_equal_the_lazy_pattern(spark, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choices(["<td a>", "<td>", "</td>", "</TD>", "x", "\n", "<"], k=rng.randrange(12))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    span = rewrite_spans(F.col("t"), R.CELL_OPEN, R.CELL_CLOSE, lambda s: F.concat(F.lit("["), s, F.lit("]")), "i")
+    for r in df.select("t", span.alias("got")).collect():
+        assert r["got"] == re.sub(r"(?is)<td[^>]*>.*?</td>", lambda m: f"[{m[0]}]", r["t"])

@@ -27,6 +27,9 @@ DROP_RULES: list[Rule] = [
     ("comment", "", r"<!--[\s\S]*?-->", ""),
 ]
 
+# The same as openings and closings of spans: (opening, closing, flags).
+DROPPED_SPANS = [(r"<script[^>]*>", "</script>", "i"), (r"<style[^>]*>", "</style>", "i"), ("<!--", "-->", "")]
+
 TABLE_MACRO_RULES: list[Rule] = [
     (
         "table_macro",
@@ -42,6 +45,24 @@ CODE_LANGUAGE = r'<ac:parameter[^>]*ac:name="language"[^>]*>(.*?)</ac:parameter>
 INFO_MACRO = r'<ac:structured-macro[^>]*ac:name="info"[^>]*>([\s\S]*?)</ac:structured-macro>'
 INFO_TITLE = r'<ac:parameter[^>]*ac:name="title"[^>]*>([\s\S]*?)</ac:parameter>'
 INFO_BODY = r"<ac:rich-text-body>([\s\S]*?)</ac:rich-text-body>"
+# Tags of macros, and CDATA, whose content is text; without an end it reaches to the end.
+MACRO_TAG = r"<!\[CDATA\[.*?(?:\]\]>|\z)|</?ac:structured-macro[^>]*>"
+MACRO_NAME = r'ac:name="([^"]*)"'
+# The body of one macro whose inner macros may still stand: from its first opening to its last closing.
+MACRO_BODY = r"<ac:rich-text-body>([\s\S]*)</ac:rich-text-body>"
+CODE_BODY = r"^(.*?)<ac:plain-text-body><!\[CDATA\[(.*?)\]\]></ac:plain-text-body>"
+# What stands before and after the body of a macro.
+BODY_MACROS = {"warning": ("> **Warning:** ", "\n\n"), "note": ("> **Note:** ", "\n\n"), "panel": ("", "\n\n"), "excerpt": ("", "\n\n")}
+MARKER_MACROS = {
+    "toc": "<!-- Table of Contents -->\n\n",
+    "contentbylabel": "<!-- Content by Label -->\n\n",
+    "livesearch": "<!-- Live Search -->\n\n",
+    "jira": "<!-- Jira Issues -->\n\n",
+    "recently-updated": "<!-- Recently Updated Pages -->\n\n",
+    "popular-labels": "<!-- Popular Labels -->\n\n",
+}
+OTHER_MACRO = ("<!-- Confluence Macro: ", " -->\n\n")
+TABLE_MACROS = ("table", "table-filter")
 
 BODY_MACRO_RULES: list[Rule] = [
     ("warning", "is", r'<ac:structured-macro[^>]*ac:name="warning"[^>]*>.*?<ac:rich-text-body>(.*?)</ac:rich-text-body>.*?</ac:structured-macro>', "> **Warning:** \\1\n\n"),
@@ -81,6 +102,7 @@ INCLUDE_NOT_FOUND = ("<!-- Include: ", " (page not found) -->\n\n")
 
 # Table cells holding lists.
 TABLE_CELL = r"<td([^>]*)>([\s\S]*?)</td>"
+CELL_OPEN, CELL_CLOSE = r"<td[^>]*>", "</td>"
 LIST_OPEN = r"<ul[^>]*>|<ol[^>]*>"
 LIST_ITEM = r"<li[^>]*>([\s\S]*?)</li>"
 ANY_TAG = r"<[^>]+>"
@@ -91,6 +113,7 @@ CELL_LIST_RULES: list[Rule] = [
 
 # Tables: the first row is the header, cells are single lines.
 TABLE = r"<table[^>]*>[\s\S]*?</table>"
+TABLE_OPEN, TABLE_CLOSE = r"<table[^>]*>", "</table>"
 TABLE_ROW = r"<tr[^>]*>([\s\S]*?)</tr>"
 TABLE_ROW_CELL = r"<t[hd](?:\s[^>]*)?>([\s\S]*?)</t[hd]>"
 TABLE_CELL_RULES: list[Rule] = [

@@ -6,25 +6,43 @@ tables take the resolved texts as map columns (see :mod:`.refs`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.regex import EXOTIC, apply_rules, extract, extract_all, java, matches, replace_all, rewrite, trim_ws
+from ..functions.regex import (
+    EXOTIC, apply_rules, extract, extract_all, java, matches, replace_all, rewrite, rewrite_spans, trim_ws,
+)
 from ..functions.text import child_link, container_id, let, slugify, split_extension, text_decode, url_basename
 from ..plans.storage import spread_scan
 
-# Private-use characters fence what is put in place after the text rules have run.
+# Private-use characters fence what is put in place after the text rules have run.  A page's own such characters are
+# escaped by others meanwhile, so no text of a page can look like a fence.
 INCLUDE_OPEN, INCLUDE_CLOSE = "\ue000", "\ue001"
-LIST_OPEN, LIST_CLOSE = "\ue002", "\ue003"
+ESCAPE = "\ue002"
+ESCAPED = {ESCAPE: "\ue005", INCLUDE_OPEN: "\ue003", INCLUDE_CLOSE: "\ue004"}
 INCLUDE_TOKEN = f"{INCLUDE_OPEN}([^{INCLUDE_CLOSE}]*){INCLUDE_CLOSE}"
-LIST_TOKEN = f"{LIST_OPEN}([^{LIST_CLOSE}]*){LIST_CLOSE}"
 
 
 def normalize_newlines(text: Column) -> Column:
     return apply_rules(text, R.PREPARE_RULES)
 
 
+def escape_fences(text: Column) -> Column:
+    """The page's own fence characters as pairs of others."""
+    for own, other in ESCAPED.items():  # the escape itself first
+        text = F.replace(text, F.lit(own), F.lit(ESCAPE + other))
+    return text
+
+
+def unescape_fences(text: Column) -> Column:
+    for own, other in reversed(ESCAPED.items()):
+        text = F.replace(text, F.lit(ESCAPE + other), F.lit(own))
+    return text
+
+
 # ---- table cells and tables -------------------------------------------------
 
 
@@ -48,7 +66,7 @@ def flatten_cell_lists(html: Column) -> Column:
         return F.when(matches(inner, R.LIST_OPEN, "i") & (F.size(items) > 0), flat).otherwise(tag)
 
     return let(
-        html, lambda x: F.when(matches(x, "<td", "i"), rewrite(x, R.TABLE_CELL, cell, "i")).otherwise(x)
+        html, lambda x: F.when(matches(x, "<td", "i"), rewrite_spans(x, R.CELL_OPEN, R.CELL_CLOSE, cell, "i")).otherwise(x)
     )
 
 
@@ -74,7 +92,7 @@ def tables_to_markdown(html: Column) -> Column:
         )
         return F.when(F.size(rows) == 0, tag).otherwise(F.concat(F.lit("\n\n"), body, F.lit("\n\n")))
 
-    return let(html, lambda x: F.when(matches(x, "<table", "i"), rewrite(x, R.TABLE, table, "i")).otherwise(x))
+    return let(html, lambda x: F.when(matches(x, "<table", "i"), rewrite_spans(x, R.TABLE_OPEN, R.TABLE_CLOSE, table, "i")).otherwise(x))
 
 
 def trim_table_cells(text: Column) -> Column:
@@ -93,39 +111,104 @@ def trim_table_cells(text: Column) -> Column:
 # ---- macros -----------------------------------------------------------------
 
 
+def fold_macros(html: Column, paired: Callable[..., Column], alone: Callable[[Column], Column]) -> Column:
+    """Rebuild macros from the inside out, at any depth, in one pass over their tags.
+
+    ``paired(tag, inner, closing)`` is the text of a macro whose inner macros
+    are rebuilt already, ``alone(tag)`` that of a self-closing one.  Tags in
+    CDATA are text, and so are tags without partner.
+    """
+    regex = java(R.MACRO_TAG, "is")
+    gaps = F.split(html, regex, -1)
+    steps = F.zip_with(
+        F.regexp_extract_all(html, F.lit(regex), F.lit(0)),
+        F.slice(gaps, F.lit(2), F.size(gaps)),
+        lambda tag, gap: F.struct(tag.alias("tag"), gap.alias("gap")),
+    )
+
+    def frame(tag: Column, text: Column) -> Column:
+        return F.array(F.struct(tag.alias("tag"), text.alias("text")))
+
+    def step(frames: Column, x: Column) -> Column:
+        tag, gap, size = x["tag"], x["gap"], F.size(frames)
+        top, below = F.element_at(frames, -1), F.try_element_at(frames, F.lit(-2))
+        opening, closing = tag.startswith("<a") | tag.startswith("<A"), tag.startswith("</")
+
+        def on_top(text: Column) -> Column:
+            return F.concat(F.slice(frames, F.lit(1), size - 1), frame(top["tag"], F.concat(top["text"], text, gap)))
+
+        shut = F.concat(
+            F.slice(frames, F.lit(1), F.greatest(size - 2, F.lit(0))),
+            frame(below["tag"], F.concat(below["text"], paired(top["tag"], top["text"], tag), gap)),
+        )
+        return (
+            F.when(opening & tag.endswith("/>"), on_top(alone(tag)))
+            .when(opening, F.concat(frames, frame(tag, gap)))
+            .when(closing & (size > 1), shut)
+            .otherwise(on_top(tag))
+        )
+
+    left = F.aggregate(steps, frame(F.lit(""), gaps[0]), step)
+    return F.array_join(F.transform(left, lambda f: F.concat(f["tag"], f["text"])), "")
+
+
+def _macro_name(tag: Column) -> Column:
+    return F.lower(extract(tag, R.MACRO_NAME, 1, "i"))
+
+
 def unwrap_tables(html: Column) -> Column:
-    """Table macros give way to the table they hold."""
-    return apply_rules(html, R.TABLE_MACRO_RULES)
+    """Table macros give way to the table they hold; a self-closing one holds none."""
+
+    def paired(tag: Column, inner: Column, closing: Column) -> Column:
+        body = F.concat(extract(inner, R.MACRO_BODY, 1, "i"), F.lit("\n\n"))
+        is_table = _macro_name(tag).isin(*R.TABLE_MACROS) & matches(inner, R.MACRO_BODY, "i")
+        return F.when(is_table, body).otherwise(F.concat(tag, inner, closing))
 
+    def alone(tag: Column) -> Column:
+        return F.when(_macro_name(tag).isin(*R.TABLE_MACROS), F.lit("")).otherwise(tag)
 
-def _code_block(tag: Column) -> Column:
-    language = extract(extract(tag, R.CODE_MACRO, 1, "is"), R.CODE_LANGUAGE, 1, "is")
-    return F.concat(F.lit("```"), language, F.lit("\n"), extract(tag, R.CODE_MACRO, 2, "is"), F.lit("\n```\n\n"))
+    some_table = "|".join(f'ac:name="{name}"' for name in R.TABLE_MACROS)
+    return let(html, lambda x: F.when(matches(x, some_table, "i"), fold_macros(x, paired, alone)).otherwise(x))
 
 
-def _info_panel(tag: Column) -> Column:
-    inner = extract(tag, R.INFO_MACRO, 1, "is")
+def _marker(tag: Column) -> Column:
+    text = F.concat(F.lit(R.OTHER_MACRO[0]), extract(tag, R.MACRO_NAME, 1, "i"), F.lit(R.OTHER_MACRO[1]))
+    name = _macro_name(tag)
+    for known, marker in R.MARKER_MACROS.items():
+        text = F.when(name == known, F.lit(marker)).otherwise(text)
+    return text
+
+
+def _code_block(inner: Column) -> Column:
+    language = extract(extract(inner, R.CODE_BODY, 1, "is"), R.CODE_LANGUAGE, 1, "is")
+    return F.concat(F.lit("```"), language, F.lit("\n"), extract(inner, R.CODE_BODY, 2, "is"), F.lit("\n```\n\n"))
+
+
+def _info_panel(inner: Column) -> Column:
     title = trim_ws(extract(inner, R.INFO_TITLE, 1, "i"))
     return F.concat(
         F.when(title == "", "").otherwise(F.concat(F.lit("[i] "), title, F.lit("\n\n"))),
-        trim_ws(extract(inner, R.INFO_BODY, 1, "i")),
+        trim_ws(extract(inner, R.MACRO_BODY, 1, "i")),
         F.lit("\n\n"),
     )
 
 
 def convert_macros(html: Column) -> Column:
-    """Code, info, warning, note, panel, excerpt and marker macros.
+    """Code, info, warning, note, panel, excerpt and marker macros, nested to any depth.
 
-    The body macros run twice, which unwraps a panel inside a panel.
+    A macro without the body its kind needs leaves a marker.
     """
 
-    def convert(x: Column) -> Column:
-        x = let(x, lambda y: rewrite(y, R.CODE_MACRO, _code_block, "is"))
-        x = let(x, lambda y: rewrite(y, R.INFO_MACRO, _info_panel, "is"))
-        x = apply_rules(x, R.BODY_MACRO_RULES + R.BODY_MACRO_RULES)
-        return apply_rules(x, R.MARKER_MACRO_RULES)
+    def paired(tag: Column, inner: Column, closing: Column) -> Column:
+        name, with_body = _macro_name(tag), matches(inner, R.MACRO_BODY, "i")
+        text = _marker(tag)
+        for kind, (before, after) in R.BODY_MACROS.items():
+            body = F.concat(F.lit(before), extract(inner, R.MACRO_BODY, 1, "i"), F.lit(after))
+            text = F.when((name == kind) & with_body, body).otherwise(text)
+        text = F.when(name == "info", _info_panel(inner)).otherwise(text)
+        return F.when((name == "code") & matches(inner, R.CODE_BODY, "is"), _code_block(inner)).otherwise(text)
 
-    return _where_macros(html, convert)
+    return _where_macros(html, lambda x: fold_macros(x, paired, _marker))
 
 
 def _where_macros(html: Column, convert) -> Column:
@@ -245,18 +328,18 @@ def link_images(html: Column) -> Column:
     return let(html, lambda x: F.when(matches(x, "<ac:image|<img", "i"), both(x)).otherwise(x))
 
 
-def image_refs(html: Column, page_id: Column) -> Column:
-    """The image references of a text in order: ``array<struct(kind, container_id, name)>``."""
+def image_refs(html: Column, page_id: Column, named: Callable[[Column], Column] = lambda name: name) -> Column:
+    """The image references of a text in order: ``array<struct(kind, container_id, name)>``; ``named`` restores a name."""
     storage = F.transform(
         extract_all(html, R.STORAGE_IMAGE, 1, "i"),
-        lambda name: F.struct(F.lit("storage").alias("kind"), page_id.alias("container_id"), name.alias("name")),
+        lambda name: F.struct(F.lit("storage").alias("kind"), page_id.alias("container_id"), named(name).alias("name")),
     )
     inline = F.transform(
         extract_all(html, R.INLINE_IMAGE, 0, "i"),
         lambda tag: F.struct(
             F.lit("inline").alias("kind"),
             container_id(tag, page_id).alias("container_id"),
-            url_basename(extract(tag, R.INLINE_IMAGE, 1, "i")).alias("name"),
+            named(url_basename(extract(tag, R.INLINE_IMAGE, 1, "i"))).alias("name"),
         ),
     )
     return F.concat(storage, inline)
@@ -265,8 +348,16 @@ def image_refs(html: Column, page_id: Column) -> Column:
 # ---- text rules -----------------------------------------------------------------
 
 
-def drop_scripts(html: Column, wide: bool = True) -> Column:
-    return apply_rules(html, R.DROP_RULES, wide)
+def drop_scripts(html: Column) -> Column:
+    """Scripts, styles and comments go."""
+
+    def drop(text: Column, opening: str, closing: str, flags: str) -> Column:
+        nothing = lambda _: F.lit("")
+        return let(text, lambda x: F.when(matches(x, closing, flags), rewrite_spans(x, opening, closing, nothing, flags)).otherwise(x))
+
+    for span in R.DROPPED_SPANS:
+        html = drop(html, *span)
+    return html
 
 
 def strip_layout(html: Column, wide: bool = True) -> Column:
@@ -298,7 +389,7 @@ def final_unescape(text: Column) -> Column:
 
 def strip_page(text: Column) -> Column:
     """The stages before tables: scripts, styles, comments, layout and time tags."""
-    return strip_layout(drop_scripts(text, wide=False), wide=False)
+    return strip_layout(drop_scripts(text), wide=False)
 
 
 def finish_page(df: DataFrame, column: str) -> DataFrame:

@@ -24,9 +24,8 @@ from ..plans.storage import spread_scan, store
 from . import markdown as M
 from .tree import child_pages
 
-# Children per row of a child list, and how many such rows may stand inside one page text.
-LIST_PART = 1000
-INLINE_PARTS = 64
+# Pieces that one task joins before the parts of a text are joined.
+PART = 1000
 
 REF = "array<struct<kind string, key string, value string>>"
 
@@ -35,7 +34,6 @@ REF = "array<struct<kind string, key string, value string>>"
 class MarkdownOptions:
     base_url: str = ""
     resolved_links: bool = False
-    inline_parts: int = INLINE_PARTS
 
 
 # ---- dimensions -----------------------------------------------------------------
@@ -81,33 +79,32 @@ def resolve_users(refs: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def child_list_parts(index: DataFrame, parents: DataFrame | None = None, size: int = LIST_PART) -> DataFrame:
-    """Child lists in rows of at most ``size`` children: ``(parent_id, part, text)``."""
-    children = index.where(F.col("parent_id").isNotNull()).select("parent_id", "pos", "id", "title")
-    if parents is not None:
-        children = child_pages(children, parents)
-    numbered = ranked(children, ["pos", "id"], "_rank", ["parent_id"])
-    line = F.struct(F.col("_rank"), child_link(F.col("title")).alias("line"))
-    return (
-        numbered.groupBy("parent_id", F.expr(f"cast((_rank - 1) div {size} as int)").alias("part"))
-        .agg(F.array_sort(F.collect_list(line)).alias("_lines"))
-        .select("parent_id", "part", F.array_join(F.transform("_lines", lambda s: s["line"]), "\n").alias("text"))
-    )
-
+def assemble_page(pieces: DataFrame, sep: str, size: int = PART) -> DataFrame:
+    """Join the ordered pieces ``(id, pos, s)`` of each text: ``(id, text)``.
 
-def child_lists(parts: DataFrame, inline_parts: int = INLINE_PARTS) -> DataFrame:
-    """The text of each child list; a longer list is a token that stands for its rows."""
-    short = F.col("part") < inline_parts
-    n_parts = F.max("part") + 1
-    text = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.when(short, F.struct("part", "text")))), lambda s: s["text"]), "\n"
+    Runs of ``size`` pieces are joined first, so a text of very many pieces is
+    joined by many tasks, and its last task sees a part of the rows.
+    """
+    numbered = ranked(pieces, ["pos"], "_rank", ["id"])
+    parts = (
+        numbered.groupBy("id", F.expr(f"(_rank - 1) div {size}").alias("_part"))
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", "s"))).alias("_pieces"))
+        .select("id", "_part", F.array_join(F.transform("_pieces", lambda p: p["s"]), sep).alias("_text"))
     )
-    token = F.concat(
-        F.lit(M.LIST_OPEN), F.col("parent_id"), F.lit("|"), n_parts.cast("string"), F.lit(M.LIST_CLOSE)
+    return parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_part", "_text"))).alias("_parts")).select(
+        "id", F.array_join(F.transform("_parts", lambda p: p["_text"]), sep).alias("text")
     )
-    return parts.groupBy("parent_id").agg(
-        F.concat(F.when(n_parts <= inline_parts, text).otherwise(token), F.lit("\n\n")).alias("list")
+
+
+def child_lists(index: DataFrame, parents: DataFrame | None = None, size: int = PART) -> DataFrame:
+    """The child list of each parent, or of the given ones: ``(parent_id, list)``."""
+    children = index.where(F.col("parent_id").isNotNull()).select("parent_id", "pos", "id", "title")
+    if parents is not None:
+        children = child_pages(children, parents)
+    lines = children.select(
+        F.col("parent_id").alias("id"), F.struct("pos", "id").alias("pos"), child_link(F.col("title")).alias("s")
     )
+    return assemble_page(lines, "\n", size).select(F.col("id").alias("parent_id"), F.concat("text", F.lit("\n\n")).alias("list"))
 
 
 # ---- references of the pages ------------------------------------------------------
@@ -160,11 +157,14 @@ def _title_targets(refs: DataFrame, index: DataFrame, overrides: DataFrame | Non
     return page_by_title(index, titled, overrides).where(F.col("target_id").isNotNull())
 
 
-def resolve_children(refs: DataFrame, targets: DataFrame, index: DataFrame, parts: DataFrame, inline_parts: int) -> DataFrame:
+def resolve_children(refs: DataFrame, targets: DataFrame, index: DataFrame) -> DataFrame:
     """Values of the child list references, titled ones and the pages' own."""
+    listed = targets.where(F.col("kind") == "children").select(F.col("target_id").alias("id")).unionByName(
+        refs.where(F.col("kind") == "self").select("id")
+    )
     titled = targets.where(F.col("kind") == "children").select("id", "kind", F.col("title").alias("key"), "target_id")
     own = refs.where(F.col("kind") == "self").select("id", "kind", "key", F.col("id").alias("target_id"))
-    lists = child_lists(parts, inline_parts).withColumnRenamed("parent_id", "target_id")
+    lists = child_lists(index, listed).withColumnRenamed("parent_id", "target_id")
     value = F.coalesce(F.col("list"), F.when(F.col("kind") == "children", F.lit(R.NO_CHILDREN)))
     return (
         spread_join(titled.unionByName(own), lists, ["target_id"])
@@ -232,25 +232,21 @@ def resolve_refs(
     users: DataFrame,
     options: MarkdownOptions = MarkdownOptions(),
     overrides: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """All resolved references ``(id, kind, key, value)`` and the rows of the child lists used."""
+) -> DataFrame:
+    """All resolved references ``(id, kind, key, value)``."""
     refs = store(page_refs(pages, options), "refs")
     targets = store(_title_targets(refs, index, overrides), "targets")
     user_refs = refs.where(F.col("kind").isin("username", "userkey"))
     user_rows = resolve_users(user_refs, users).select(
         "id", "kind", "key", F.substring("label", 2, 1 << 30).alias("value")
     )
-    listed = targets.where(F.col("kind") == "children").select(F.col("target_id").alias("id")).unionByName(
-        refs.where(F.col("kind") == "self").select("id")
-    )
-    parts = store(child_list_parts(index, listed), "child-lists")
-    rows = user_rows.unionByName(resolve_children(refs, targets, index, parts, options.inline_parts))
+    rows = user_rows.unionByName(resolve_children(refs, targets, index))
     if options.resolved_links:
         rows = rows.unionByName(_link_rows(targets.where(F.col("kind") == "link"), index))
     rows = store(rows, "resolved")
     if targets.where(F.col("kind") == "include").isEmpty():
-        return rows, parts
-    return rows.unionByName(store(resolve_includes(targets, pages, rows, options), "included")), parts
+        return rows
+    return rows.unionByName(store(resolve_includes(targets, pages, rows, options), "included"))
 
 
 def _link_rows(links: DataFrame, index: DataFrame) -> DataFrame:
@@ -269,10 +265,16 @@ def _of_kind(refs: Column, kind: str) -> Column:
     )
 
 
-def with_refs(pages: DataFrame, rows: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
-    """Pages with their resolved references in ``refs``; pages without any skip the join."""
+def with_refs(
+    pages: DataFrame, rows: DataFrame, options: MarkdownOptions = MarkdownOptions(), escaped: bool = False
+) -> DataFrame:
+    """Pages with their resolved references in ``refs``; pages without any skip the join.
+
+    ``escaped`` escapes keys and values as the page texts are (see :func:`M.escape_fences`).
+    """
     needs = matches(F.col("html"), _lookup_pattern(options), "i")
-    found = rows.groupBy("id").agg(F.collect_list(F.struct("kind", "key", "value")).alias("refs"))
+    fields = [M.escape_fences(F.col(c)).alias(c) if escaped else F.col(c) for c in ("key", "value")]
+    found = rows.groupBy("id").agg(F.collect_set(F.struct("kind", *fields)).alias("refs"))
     nothing = F.array().cast(REF)
     plain = pages.where(~needs).withColumn("refs", nothing)
     linked = pages.where(needs).join(found, "id", "left").withColumn("refs", F.coalesce("refs", nothing))
@@ -285,7 +287,7 @@ def insert_refs(df: DataFrame, options: MarkdownOptions = MarkdownOptions()) ->
     Adds ``includes``, the texts to fill in after the table stage.
     """
     bound = F.struct(
-        M.flatten_cell_lists(M.normalize_newlines(F.col("html"))).alias("html"),
+        M.flatten_cell_lists(M.normalize_newlines(M.escape_fences(F.col("html")))).alias("html"),
         *(_of_kind(F.col("refs"), kind).alias(kind) for kind in ("username", "userkey", "children", "self", "include", "link")),
     )
 
@@ -303,37 +305,11 @@ def insert_refs(df: DataFrame, options: MarkdownOptions = MarkdownOptions()) ->
 
 def convert_pages(pages: DataFrame, rows: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
     """Markdown bodies in ``html`` and image references in ``images``."""
-    staged = insert_refs(with_refs(pages, rows, options), options)
+    staged = insert_refs(with_refs(pages, rows, options, escaped=True), options)
     staged = staged.withColumns(
-        {"html": M.link_images(F.col("html")), "images": M.image_refs(F.col("html"), F.col("id"))}
+        {"html": M.link_images(F.col("html")), "images": M.image_refs(F.col("html"), F.col("id"), M.unescape_fences)}
     )
-    return M.convert_plain(staged, "html", F.col("includes")).drop("includes")
-
-
-def split_long_lists(converted: DataFrame, parts: DataFrame) -> DataFrame:
-    """Give each row of a long child list its own output row: ``part`` orders the rows of a page.
-
-    Rows are addressed by (list, row), so a list of any length spreads over as
-    many tasks as it has rows.
-    """
-    others = [c for c in converted.columns if c not in ("html", "images")]
-    gaps = (
-        converted.select(*others, "images", F.posexplode(F.split("html", M.LIST_TOKEN, -1)).alias("_n", "html"))
-        .withColumn("part", F.shiftleft(F.col("_n").cast("bigint") * 2, 32))
-        .withColumn("images", F.when(F.col("_n") == 0, F.col("images")))
-    )
-    tokens = (
-        converted.select(*others, F.posexplode(extract_all(F.col("html"), M.LIST_TOKEN, 1)).alias("_n", "_token"))
-        .withColumn("parent_id", F.substring_index("_token", "|", 1))
-        .withColumn("_row", F.explode(F.sequence(F.lit(0), F.substring_index("_token", "|", -1).cast("int") - 1)))
-        .withColumn("part", F.shiftleft(F.col("_n").cast("bigint") * 2 + 1, 32) + F.col("_row"))
-    )
-    texts = M.convert_plain(parts.select("parent_id", F.col("part").alias("_row"), F.col("text").alias("html")), "html")
-    lists = spread_join(tokens, texts, ["parent_id", "_row"], "inner").withColumn(
-        "images", F.lit(None).cast(converted.schema["images"].dataType)
-    )
-    columns = [*converted.columns, "part"]
-    return gaps.select(*columns).unionByName(lists.select(*columns))
+    return M.convert_plain(staged, "html", F.col("includes")).drop("includes").withColumn("html", M.unescape_fences(F.col("html")))
 
 
 def pages_to_markdown(
@@ -343,29 +319,19 @@ def pages_to_markdown(
     options: MarkdownOptions = MarkdownOptions(),
     overrides: DataFrame | None = None,
 ) -> DataFrame:
-    """Markdown of the whole corpus: ``(id, part, file, markdown, images)``.
+    """Markdown of the whole corpus: ``(id, file, markdown, images)``, one row per page.
 
     ``pages`` has ``id, title, html``; ``index`` has ``pos, id, title,
-    parent_id`` of every page of the space.  A page is one row with part 0,
-    unless it shows a child list too long for one text; then its rows follow
-    each other by ``part``.
+    parent_id`` of every page of the space.
     """
     bodies = spread_scan(pages.select("id", "title", "html"))
-    rows, parts = resolve_refs(bodies, index, users, options, overrides)
-    long_lists = rows.where(F.col("value").contains(M.LIST_OPEN)).select("id").distinct()
-    if long_lists.isEmpty():
-        converted = convert_pages(bodies, rows, options).withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        short = convert_pages(bodies.join(long_lists, "id", "left_anti"), rows, options)
-        long = store(convert_pages(bodies.join(long_lists, "id", "left_semi"), rows, options), "long-pages")
-        converted = short.withColumn("part", F.lit(0).cast("bigint")).unionByName(split_long_lists(long, parts))
+    converted = convert_pages(bodies, resolve_refs(bodies, index, users, options, overrides), options)
     name = F.concat(F.col("id"), F.lit("-"), slugify50(F.col("title")))
     head = F.concat(
         front_matter(unslugify(name), F.col("id"), page_url(options.base_url, F.col("id"))), F.lit("\n\n")
     )
-    text = F.when(F.col("part") == 0, F.concat(head, F.col("html"))).otherwise(F.col("html"))
     return converted.select(
-        "id", "part", F.concat(name, F.lit(".md")).alias("file"), M.final_unescape(text).alias("markdown"), "images"
+        "id", F.concat(name, F.lit(".md")).alias("file"), M.final_unescape(F.concat(head, F.col("html"))).alias("markdown"), "images"
     )
 
 
@@ -441,24 +407,18 @@ def _own_list(refs: Column) -> Column:
 
 def _with_children(pages: DataFrame, index: DataFrame, stage) -> DataFrame:
     refs = store(page_refs(pages), "refs")
-    targets = _title_targets(refs, index, None)
-    listed = targets.where(F.col("kind") == "children").select(F.col("target_id").alias("id")).unionByName(
-        refs.where(F.col("kind") == "self").select("id")
-    )
-    parts = store(child_list_parts(index, listed), "child-lists")
-    rows = store(resolve_children(refs, targets, index, parts, INLINE_PARTS), "resolved")
+    targets = store(_title_targets(refs, index, None), "targets")
+    rows = store(resolve_children(refs, targets, index), "resolved")
     return with_refs(pages.select("id", "html"), rows).select("id", stage(F.col("html"), F.col("refs")).alias("html"))
 
 
-def expand_includes(pages: DataFrame, index: DataFrame) -> DataFrame:
+def expand_includes(pages: DataFrame, index: DataFrame, users: DataFrame) -> DataFrame:
     """``(id, html)`` with the ``include`` macros replaced by what they include."""
-    refs = store(page_refs(pages), "refs")
-    targets = store(_title_targets(refs, index, None), "targets")
-    included = resolve_includes(targets, pages, refs.select("*", F.lit("").alias("value")).limit(0))
-    rows = store(included, "included")
+    rows = resolve_refs(pages, index, users).where(F.col("kind") == "include")
 
     def stage(html: Column, known: Column) -> Column:
-        return let(known, lambda k: M.fill_includes(M.mark_includes(html, k), k))
+        marked = let(known, lambda k: M.fill_includes(M.mark_includes(M.escape_fences(html), k), k))
+        return M.unescape_fences(marked)
 
     return with_refs(pages.select("id", "html"), rows).select(
         "id", stage(F.col("html"), _of_kind(F.col("refs"), "include")).alias("html")
@@ -490,17 +450,3 @@ def link_pages(pages: DataFrame, index: DataFrame, resolved: bool = False) -> Da
 def match_ordinal(pages: DataFrame, pattern: str, group: int = 1, flags: str = "i") -> DataFrame:
     """Every match of a pattern with its number within the page: ``(id, ordinal, text)``."""
     return pages.select("id", F.posexplode(extract_all(F.col("html"), pattern, group, flags)).alias("ordinal", "text"))
-
-
-def assemble_page(pieces: DataFrame, sep: str, size: int = LIST_PART) -> DataFrame:
-    """Join ordered pieces ``(id, pos, s)`` of each text: ``(id, part, text)``.
-
-    A text of more than ``size`` pieces comes as several rows, so that no task
-    gathers an unbounded group.
-    """
-    numbered = ranked(pieces, ["pos"], "_rank", ["id"])
-    return (
-        numbered.groupBy("id", F.expr(f"cast((_rank - 1) div {size} as int)").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "s"))).alias("_pieces"))
-        .select("id", "part", F.array_join(F.transform("_pieces", lambda p: p["s"]), sep).alias("text"))
-    )

@@ -105,19 +105,13 @@ def write_html(pages: DataFrame, paths: DataFrame, root: str) -> DataFrame:
 
 
 def markdown_files(markdown: DataFrame, paths: DataFrame) -> DataFrame:
-    """Markdown rows with the path of their file; rows of one file follow each other by ``part``."""
-    return markdown.join(paths.select("id", "dir"), "id").select(
-        F.concat_ws("/", "dir", "file").alias("path"), "id", "part", "markdown"
-    )
+    """Markdown rows with the path of their file."""
+    return markdown.join(paths.select("id", "dir"), "id").select(F.concat_ws("/", "dir", "file").alias("path"), "id", "markdown")
 
 
 def write_markdown(markdown: DataFrame, paths: DataFrame, root: str) -> DataFrame:
-    """One file per page; a page of several rows becomes ``name.part.md`` files beside the first."""
-    files = markdown_files(markdown, paths)
-    path = F.when(F.col("part") == 0, F.col("path")).otherwise(
-        F.concat(F.regexp_replace("path", r"\.md$", ""), F.lit("."), F.col("part").cast("string"), F.lit(".md"))
-    )
-    return write_files(files.select(path.alias("path"), F.col("markdown").alias("content")), root)
+    """One file per page."""
+    return write_files(markdown_files(markdown, paths).select("path", F.col("markdown").alias("content")), root)
 
 
 def image_files(resolved: DataFrame, paths: DataFrame) -> DataFrame:
