@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from wikitables.plans.storage import checkpoint_folder, store
 from wikitables.schemas import INDEX_COLUMNS, META_COLUMNS
 from wikitables.sources import readers, sinks
 from wikitables.streaming import streams
-from wikitables.sync import SyncOptions, sync_corpus
+from wikitables.sync import SyncOptions, current_table, migrate_sidecars, sync_corpus, transform_stored
 
 from . import duck as D
 from .views import QueryFn, Views, duck_with
@@ -673,17 +674,17 @@ add("scan_attachments", "SELECT page_id, filename, content FROM v_attachments",
         _written(v.v_attachments.select(F.concat_ws("/", "page_id", "filename").alias("path"), "content"), _scratch(v, "files")),
     )
 )
-add("scan_meta_sidecars", "SELECT path, page_id, version, downloaded_at FROM v_sidecars", "v_sidecars")(
-    lambda v: readers.scan_meta_sidecars(
-        v.pages.sparkSession,
-        _written(
-            v.v_sidecars.select("path", F.to_json(F.struct(
-                F.col("page_id").alias("pageId"), "version",
-                F.date_format("downloaded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("downloadedAt"),
-            )).alias("content")),
-            _scratch(v, "tree"),
-        ),
-    ).drop("modified_at")
+def _sidecar_tree(v: Views) -> str:
+    state = F.to_json(F.struct(
+        F.col("page_id").alias("pageId"), "version",
+        F.date_format("downloaded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("modifiedDate"),
+        F.date_format("downloaded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("downloadedAt"),
+    ))
+    return _written(v.v_sidecars.select("path", state.alias("content")), _scratch(v, "tree"))
+
+
+add("scan_meta_sidecars", "SELECT path, page_id, version, downloaded_at AS modified_at, downloaded_at FROM v_sidecars", "v_sidecars")(
+    lambda v: readers.scan_meta_sidecars(v.pages.sparkSession, _sidecar_tree(v))
 )
 
 
@@ -745,7 +746,7 @@ _FRESH = f"SELECT n AS pos, id, title, version, parent_id, modified_at, {_NOW_SQ
 @add("stream_index_ingest", cte(f"{_LISTED} {_FRESH.format(page=f'CAST(n // {PAGE_SIZE} + 1 AS INT)')}"), "v_pages", "v_current")
 def _stream_ingest(v: Views) -> DataFrame:
     spark, table = v.pages.sparkSession, _scratch(v, "ingested")
-    streams.stream_index_ingest(spark, _land(v), _scratch(v, "progress"), table, NOW, files_per_batch=1).awaitTermination()
+    streams.stream_index_ingest(spark, _land(v), _scratch(v, "progress"), table, SPACE, NOW, files_per_batch=1).awaitTermination()
     return spark.read.parquet(table)
 
 
@@ -766,9 +767,9 @@ def _page_markdown_sql(source: str) -> str:
 def _stream_transform(v: Views) -> DataFrame:
     spark, table = v.pages.sparkSession, _scratch(v, "converted")
     streams.stream_transform(
-        spark, _land(v), _scratch(v, "progress"), table, store(_page_index(v), "page-index"), store(v.v_users, "users"), files_per_batch=2
+        spark, _land(v), _scratch(v, "progress"), table, SPACE, store(_page_index(v), "page-index"), store(v.v_users, "users"), files_per_batch=2
     ).awaitTermination()
-    return spark.read.parquet(table).select("id", "markdown")
+    return streams.read_transformed(spark, table).select("id", "markdown")
 
 
 @add("sync_corpus", cte(f"{_LISTED} {_page_markdown_sql('listed')}"), "v_pages", "v_current")
@@ -776,3 +777,23 @@ def _sync(v: Views) -> DataFrame:
     spark = v.pages.sparkSession
     options = SyncOptions(space=SPACE, landing=_land(v), tables=_scratch(v, "tables"), now=NOW)
     return sync_corpus(spark, options, v.v_users).select("id", "markdown")
+
+
+@add("transform_stored", cte(f"{_LISTED} {_page_markdown_sql('listed')}"), "v_pages", "v_current")
+def _transform_stored(v: Views) -> DataFrame:
+    """All Markdown after a sync and a limited second conversion: runs of changes read as one table."""
+    spark = v.pages.sparkSession
+    options = SyncOptions(space=SPACE, landing=_land(v), tables=_scratch(v, "tables"), now=NOW)
+    sync_corpus(spark, options, v.v_users)
+    transform_stored(spark, replace(options, force=True, limit=25), v.v_users)
+    return current_table(spark, options, "markdown").select("id", "markdown")
+
+
+@add("migrate_sidecars", f"""SELECT i.id, coalesce(s.version, i.downloaded_version) AS downloaded_version, coalesce(s.downloaded_at, i.downloaded_at) AS downloaded_at FROM v_index i
+ LEFT JOIN (SELECT page_id, arg_max(version, path) AS version, arg_max(downloaded_at, path) AS downloaded_at FROM v_sidecars GROUP BY page_id) s ON s.page_id = i.id""", "v_index", "v_sidecars")
+def _migrate_sidecars(v: Views) -> DataFrame:
+    spark = v.pages.sparkSession
+    options = SyncOptions(space=SPACE, landing="", tables=_scratch(v, "tables"), now=NOW)
+    sinks.write_index(v.v_index.select(*INDEX_COLUMNS), f"{options.tables}/page_index", SPACE, 1, NOW)
+    migrate_sidecars(spark, options, _sidecar_tree(v))
+    return sinks.read_latest(spark, f"{options.tables}/page_index", SPACE).select("id", "downloaded_version", "downloaded_at")

@@ -1,6 +1,7 @@
 """Readers, writers, streams and the sync job over small landed files."""
 
 import json
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -10,7 +11,7 @@ from wikitables.operators.refs import MarkdownOptions
 from wikitables.plans import storage
 from wikitables.sources import readers, sinks
 from wikitables.streaming import streams
-from wikitables.sync import SyncOptions, sync_corpus
+from wikitables.sync import SyncOptions, current_table, sync_corpus, transform_stored
 
 NOW = datetime(2025, 11, 1)
 
@@ -119,12 +120,12 @@ def test_streams(spark, tmp_path, no_users):
 
     raw = str(tmp_path / "raw")
     for _ in range(2):
-        streams.stream_index_ingest(spark, landing, str(tmp_path / "p2"), raw, NOW).awaitTermination()
+        streams.stream_index_ingest(spark, landing, str(tmp_path / "p2"), raw, "S", NOW).awaitTermination()
     assert spark.read.parquet(raw).count() == 4
 
     index = readers.scan_page_metadata(spark, landing).select("pos", "id", "title", "parent_id").dropDuplicates(["id"])
     out = str(tmp_path / "md")
-    streams.stream_transform(spark, landing, str(tmp_path / "p3"), out, index, no_users, files_per_batch=1).awaitTermination()
+    streams.stream_transform(spark, landing, str(tmp_path / "p3"), out, "S", index, no_users, files_per_batch=1).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["1", "2", "3"]
 
 
@@ -167,3 +168,83 @@ def test_sync_subtree_images_and_incremental(spark, tmp_path, no_users):
     land(tmp_path / "in", "a.json", envelope(0, [page(1), page(2, version=5, when="2025-11-02T00:00:00Z", parent=1)], more=False))
     assert sync(now=datetime(2025, 12, 1), mode="incremental") == ["2"]  # page 3 is queued, but its body is gone
     assert sinks.read_latest(spark, f"{tables}/page_index", "S").count() == 3
+
+
+def test_current_tables_and_stored_transforms(spark, tmp_path, no_users):
+    """Runs of changes read as one corpus; limited conversions go on; one page alone; deleted pages are gone."""
+    landing = land(tmp_path / "in", "a.json", envelope(0, [page(1), page(2, parent=1)]), envelope(2, [page(3)], more=False))
+    options = SyncOptions("S", landing, str(tmp_path / "tables"), NOW)
+    bodies = lambda: {r["id"]: r["markdown"].rsplit("---\n\n", 1)[1] for r in current_table(spark, options, "markdown").collect()}
+    sync_corpus(spark, options, no_users)
+    sync_corpus(spark, options, no_users)
+    assert bodies() == {"1": "b\n", "2": "b\n", "3": "b\n"}
+    assert transform_stored(spark, options, no_users).count() == 0
+    assert [r["id"] for r in transform_stored(spark, replace(options, force=True, limit=1), no_users).collect()] == ["1"]
+    assert [r["id"] for r in transform_stored(spark, replace(options, force=True, page_id="1", subtree=False), no_users).collect()] == ["1"]
+    assert sorted(r["id"] for r in transform_stored(spark, replace(options, force=True, page_id="1"), no_users).collect()) == ["1", "2"]
+    land(tmp_path / "in", "a.json", envelope(0, [page(1), page(2, version=2, parent=1, body="<b>new</b>")], more=False))
+    sync_corpus(spark, replace(options, now=datetime(2025, 12, 1)), no_users)
+    assert bodies() == {"1": "b\n", "2": "**new**\n"}
+    assert {r["id"] for r in current_table(spark, options, "html").collect()} == {"1", "2"}
+
+
+def test_newest_version_wins_and_spaces_stay_apart(spark, tmp_path, no_users):
+    landing = land(
+        tmp_path / "in", "a.json",
+        envelope(0, [page(7, version=9, body="<p>nine</p>"), page(1)], limit=300),
+        envelope(250, [page(7, version=5, body="<p>five</p>")], limit=300), envelope(0, [page(99)], space="T", more=False),
+    )
+    table, progress = str(tmp_path / "index"), str(tmp_path / "progress")
+    streams.stream_index_upsert(spark, landing, progress, table, "S", NOW).awaitTermination()
+    assert {r["id"]: r["version"] for r in sinks.read_latest(spark, table, "S").collect()} == {"1": 1, "7": 9}
+    land(tmp_path / "in", "b.json", envelope(0, [page(7, version=3, when="2030-01-01T00:00:00Z"), page(1, version=2)], limit=2))
+    streams.stream_index_upsert(spark, landing, progress, table, "S", NOW).awaitTermination()
+    assert {r["id"]: r["version"] for r in sinks.read_latest(spark, table, "S").collect()} == {"1": 2, "7": 9}
+    raw = str(tmp_path / "raw")
+    streams.stream_index_ingest(spark, landing, str(tmp_path / "p2"), raw, "T", NOW).awaitTermination()
+    assert [r["id"] for r in spark.read.parquet(raw).collect()] == ["99"]
+    index = spark.createDataFrame([(0, "7", "Page 7", None)], "pos long, id string, title string, parent_id string")
+    out = str(tmp_path / "md")
+    for k, force in enumerate((False, True)):
+        streams.stream_transform(spark, landing, str(tmp_path / f"p3{k}"), out, "S", index, no_users, force=force).awaitTermination()
+        got = {r["id"]: r["markdown"].rsplit("---\n\n", 1)[1] for r in streams.read_transformed(spark, out).collect()}
+        assert got == {"1": "b\n", "7": "nine\n"}
+
+
+def test_edited_page_is_converted_again_only_by_force(spark, tmp_path, no_users):
+    index = spark.createDataFrame([(0, "1", "Page 1", None)], "pos long, id string, title string, parent_id string")
+    for force, want in ((False, "old\n"), (True, "new\n")):
+        folder, out, progress = tmp_path / f"in{force}", str(tmp_path / f"md{force}"), str(tmp_path / f"p{force}")
+        for name, version, body in (("a.json", 1, "<p>old</p>"), ("b.json", 2, "<p>new</p>")):
+            landing = land(folder, name, envelope(0, [page(1, version=version, body=body)], limit=1))
+            streams.stream_transform(spark, landing, progress, out, "S", index, no_users, force=force).awaitTermination()
+        assert [r["markdown"].rsplit("---\n\n", 1)[1] for r in streams.read_transformed(spark, out).collect()] == [want]
+
+
+def test_repeated_folder_names(spark, tmp_path):
+    root = str(tmp_path / "out")
+    files = spark.createDataFrame([("1-a.html", "x"), ("SP/out/1-a.html", "y"), ("out/2-b.html", "z")], "path string, content string")
+    assert sinks.write_files(files, root).count() == 3
+    for spelled in (root, f"file://{root}/"):
+        assert {r["path"]: r["html"] for r in readers.scan_html_tree(spark, spelled).collect()} == {"1-a.html": "x", "SP/out/1-a.html": "y", "out/2-b.html": "z"}
+
+
+def test_timestamps_in_the_hour_that_comes_twice(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([("2025-11-02T05:30:00Z",), ("2025-11-02T06:30:00.5Z",), ("2025-03-09T03:30:00-04:00",), (None,)], "t string")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r[0] for r in df.select(readers.timestamp(F.col("t"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [datetime(2025, 11, 2, 5, 30), datetime(2025, 11, 2, 6, 30, 0, 500_000), datetime(2025, 3, 9, 7, 30), None]
+
+
+def test_files_need_a_shared_root_on_a_cluster(spark):
+    class Frame:
+        class sparkSession:  # noqa: N801
+            class sparkContext:  # noqa: N801
+                master = "yarn"
+
+    with pytest.raises(ValueError, match="shared file system"):
+        sinks.write_files(Frame(), "/tmp/out")

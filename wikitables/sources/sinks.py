@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -56,6 +57,20 @@ def read_latest(spark: SparkSession, table: str, space: str) -> DataFrame | None
     return None if run_id is None else spark.read.parquet(f"{table}/space={space}/run={run_id}")
 
 
+def read_current(spark: SparkSession, table: str, space: str, key: str = "id") -> DataFrame | None:
+    """The state a table of changes has after all finished runs: each key's row of its newest run, with ``run``.
+
+    Only keys and run numbers are shuffled to find the newest rows.
+    """
+    runs = read_runs(spark, table, space)
+    if runs is None:
+        return None
+    numbers = sorted(r["run_id"] for r in runs.select("run_id").collect())  # one per run
+    rows = spark.read.option("basePath", f"{table}/space={space}").parquet(*(f"{table}/space={space}/run={n}" for n in numbers))
+    newest = rows.groupBy(key).agg(F.max("run").alias("run"))
+    return rows.join(newest, [key, "run"], "left_semi")
+
+
 def write_index(index: DataFrame, table: str, space: str, run_id: int, now: datetime, page_size: int = 100) -> DataFrame:
     return write_run(index, table, space, run_id, now, page_size)
 
@@ -73,9 +88,14 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
     """Write each row ``(path, content)`` to a file below ``root``; returns ``(path, bytes)``.
 
     Every task writes its own rows, through whichever file system ``root``
-    names.  Writing is idempotent, so a repeated task does no harm.  The action
-    runs when the result is used.
+    names; without a scheme that is the local disk, which only a local session
+    may use.  A file is written under a name of its own and then renamed, so
+    what has its final name is whole, and a repeated task does no harm.  The
+    action runs when the result is used.
     """
+    if "://" not in root and not df.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError(f"name a shared file system for {root}, such as hdfs:// or file:// on a shared disk")
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
         folders: set[str] = set()
@@ -87,8 +107,10 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
                 if folder not in folders:
                     fs.create_dir(folder, recursive=True)
                     folders.add(folder)
-                with fs.open_output_stream(target) as out:
+                unfinished = f"{folder}/_{uuid.uuid4().hex}"
+                with fs.open_output_stream(unfinished) as out:
                     out.write(content)
+                fs.move(unfinished, target)
                 sizes.append(len(content))
             yield pd.DataFrame({"path": batch["path"], "bytes": sizes})
 
@@ -125,7 +147,9 @@ def image_files(resolved: DataFrame, paths: DataFrame) -> DataFrame:
     named = placed.select(
         F.concat_ws("/", "dir", F.lit("images"), "slug_name").alias("path"), "page_id", "pos", "content"
     )
-    return named.groupBy("path").agg(F.min_by("content", F.struct("page_id", "pos")).alias("content"))
+    # Names choose; contents move once, to the winners.
+    won = named.groupBy("path").agg(F.min(F.struct("page_id", "pos")).alias("_first")).select("path", "_first.*")
+    return named.join(won, ["path", "page_id", "pos"], "left_semi").select("path", "content")
 
 
 def write_images(resolved: DataFrame, paths: DataFrame, root: str) -> DataFrame:

@@ -12,26 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index_ops import dedupe_by_id, rebuild_index, upsert_modified
+from ..operators.index_ops import rebuild_index, upsert_modified
 from ..operators.refs import MarkdownOptions, pages_to_markdown
 from ..plans.storage import store
 from ..schemas import ENVELOPE, ENVELOPE_WITHOUT_BODY, META_COLUMNS, PAGE_INDEX
-from ..sources.readers import flatten_page
+from ..sources.readers import envelope_cutoff, flatten_page, listing_ends, read_envelopes
 from ..sources.sinks import latest_run, read_latest, write_run
 
 
-def _landing(spark: SparkSession, landing: str, files_per_batch: int | None, with_body: bool = False) -> DataFrame:
+def _pages(spark: SparkSession, landing: str, space: str, files_per_batch: int | None, with_body: bool = False) -> DataFrame:
+    """The landed pages of a space, up to the end of its listing as landed when the stream starts."""
     reader = spark.readStream.schema(ENVELOPE if with_body else ENVELOPE_WITHOUT_BODY)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(landing)
+    ends = store(listing_ends(read_envelopes(spark, landing, with_body=False)), "listing-ends")
+    landed = reader.json(landing).where(F.col("space") == space)
+    return flatten_page(envelope_cutoff(landed, ends), with_body)
 
 
 def stream_index_ingest(
-    spark: SparkSession, landing: str, checkpoint: str, table: str, now: datetime, files_per_batch: int | None = None
+    spark: SparkSession, landing: str, checkpoint: str, table: str, space: str, now: datetime, files_per_batch: int | None = None
 ) -> StreamingQuery:
-    """Append the index rows of every landed listing exactly once."""
-    rows = flatten_page(_landing(spark, landing, files_per_batch), with_body=False).select(
+    """Append the index rows of every landed listing of a space exactly once."""
+    rows = _pages(spark, landing, space, files_per_batch).select(
         *META_COLUMNS,
         F.lit(now).cast("timestamp_ntz").alias("indexed_at"),
         F.col("api_page_number").alias("page_number"),
@@ -44,19 +47,36 @@ def stream_index_ingest(
     )
 
 
+def newest_by_id(pages: DataFrame) -> DataFrame:
+    """One row per id: the highest version, then the latest modification, then the last position."""
+    rest = [c for c in pages.columns if c != "id"]
+    age = F.struct(F.coalesce("version", F.lit(0)).alias("version"), "modified_at", "pos")
+    return pages.groupBy("id").agg(F.max_by(F.struct(*rest), age).alias("_newest")).select(
+        *("id" if c == "id" else F.col(f"_newest.{c}").alias(c) for c in pages.columns)
+    )
+
+
 def upsert_batch(batch: DataFrame, batch_id: int, table: str, space: str, now: datetime) -> None:
     """Merge one batch of listed pages into the newest run and write it as run ``batch_id + 1``.
 
-    A batch that was already merged is skipped, so repeating it is harmless.
+    A page never goes back to an older version than the index has, whatever the
+    order in which listings land.  A batch that was already merged is skipped,
+    so repeating it is harmless.
     """
     spark = batch.sparkSession
     done = latest_run(spark, table, space)
     if done is not None and done > batch_id:
         return
-    modified = dedupe_by_id(batch.select(*META_COLUMNS))
     index = read_latest(spark, table, space)
     if index is None:
         index = spark.createDataFrame([], PAGE_INDEX)
+    known = index.select("id", F.col("version").alias("_known"))
+    modified = (
+        newest_by_id(batch.select(*META_COLUMNS))
+        .join(known, "id", "left")
+        .where(F.col("_known").isNull() | (F.coalesce("version", F.lit(0)) >= F.col("_known")))
+        .select(*META_COLUMNS)
+    )
     current = upsert_modified(index, modified)
     write_run(rebuild_index(current, index, now), table, space, batch_id + 1, now)
 
@@ -71,43 +91,51 @@ def stream_index_upsert(
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Keep the index current: every batch of changed pages becomes a new run of the table."""
-    pages = flatten_page(_landing(spark, landing, files_per_batch), with_body=False).where(F.col("space") == space)
     return (
-        pages.writeStream.foreachBatch(lambda batch, batch_id: upsert_batch(batch, batch_id, table, space, now))
+        _pages(spark, landing, space, files_per_batch)
+        .writeStream.foreachBatch(lambda batch, batch_id: upsert_batch(batch, batch_id, table, space, now))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def transform_batch(
-    batch: DataFrame, batch_id: int, table: str, index: DataFrame, users: DataFrame, options: MarkdownOptions
+    batch: DataFrame, batch_id: int, table: str, index: DataFrame, users: DataFrame, options: MarkdownOptions, force: bool = False
 ) -> None:
-    """Convert the pages of one batch that no earlier batch has converted."""
+    """Convert the pages of one batch, without ``force`` only those that no earlier batch has converted."""
     spark = batch.sparkSession
-    pages = store(batch.select("id", "title", F.col("body").alias("html"), "pos"), "batch").groupBy("id").agg(
-        F.max_by(F.struct("title", "html"), "pos").alias("_page")
-    ).select("id", "_page.*")
-    if batch_id > 0:
+    listed = batch.select("id", "title", F.col("body").alias("html"), "version", "modified_at", "pos")
+    pages = newest_by_id(store(listed, "batch")).select("id", "title", "html")
+    if batch_id > 0 and not force:
         done = spark.read.parquet(table).where(F.col("batch") < batch_id).select("id")
         pages = pages.join(done, "id", "left_anti")
     markdown = pages_to_markdown(pages, index, users, options)
     markdown.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
 
+def read_transformed(spark: SparkSession, table: str) -> DataFrame:
+    """The Markdown of each page from its newest batch."""
+    rows = spark.read.parquet(table)
+    newest = rows.groupBy("id").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["id", "batch"], "left_semi")
+
+
 def stream_transform(
     spark: SparkSession,
     landing: str,
     checkpoint: str,
     table: str,
+    space: str,
     index: DataFrame,
     users: DataFrame,
     options: MarkdownOptions = MarkdownOptions(),
     files_per_batch: int | None = None,
+    force: bool = False,
 ) -> StreamingQuery:
-    """Convert landed pages to Markdown; a page converted once is not converted again."""
-    pages = flatten_page(_landing(spark, landing, files_per_batch, with_body=True))
+    """Convert landed pages of a space to Markdown; without ``force`` a page converted once is not converted again."""
+    pages = _pages(spark, landing, space, files_per_batch, with_body=True)
     return (
         pages.writeStream.foreachBatch(
-            lambda batch, batch_id: transform_batch(batch, batch_id, table, index, users, options)
+            lambda batch, batch_id: transform_batch(batch, batch_id, table, index, users, options, force)
         )
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

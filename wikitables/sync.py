@@ -17,7 +17,10 @@ from .sources import readers, sinks
 
 @dataclass(frozen=True)
 class SyncOptions:
-    """``mode`` is full or incremental (see :func:`update_index`); ``page_id`` narrows the run to one subtree."""
+    """``mode`` is full or incremental (see :func:`update_index`).
+
+    ``page_id`` narrows the run to one page and, with ``subtree``, all below it.
+    """
 
     space: str
     landing: str
@@ -26,12 +29,31 @@ class SyncOptions:
     root: str = "out"
     mode: str = "full"
     page_id: str | None = None
+    subtree: bool = True
     force: bool = False
     limit: int | None = None
     page_size: int = 100
     markdown: refs.MarkdownOptions = field(default_factory=refs.MarkdownOptions)
 
 
+# The state tables of a job; all share one count of runs.
+TABLES = ("page_index", "page_tree", "queue", "html", "markdown", "images", "site_tree")
+
+
+def next_run(spark: SparkSession, o: SyncOptions) -> int:
+    return 1 + max(sinks.latest_run(spark, f"{o.tables}/{table}", o.space) or 0 for table in TABLES)
+
+
+def _chosen(forest: DataFrame, o: SyncOptions) -> DataFrame:
+    """The part of the forest a run is about."""
+    if o.page_id is None:
+        return forest
+    chosen = tree.find_subtree(forest, o.page_id) if o.subtree else forest.where(F.col("id") == o.page_id)
+    if chosen.isEmpty():
+        raise ValueError(f"page {o.page_id} is not in the tree")
+    return chosen
+
+
 def first_index(listing: DataFrame, now: datetime) -> DataFrame:
     """Index rows of a first listing: nothing has been fetched yet."""
     return ix.dedupe_by_id(
@@ -70,7 +92,7 @@ def sync_corpus(
     """
     o = options
     index_table = f"{o.tables}/page_index"
-    run_id = (sinks.latest_run(spark, index_table, o.space) or 0) + 1
+    run_id = next_run(spark, o)
     root = f"{o.root}/{o.space}"
 
     def write(df: DataFrame, table: str) -> DataFrame:
@@ -87,11 +109,7 @@ def sync_corpus(
     forest = tree.with_names(index)
     paths = tree.page_paths(forest, root)
     sinks.write_tree(forest, f"{o.tables}/page_tree", o.space, run_id, o.now)
-    chosen = forest
-    if o.page_id is not None:
-        chosen = tree.find_subtree(forest, o.page_id)
-        if chosen.isEmpty():
-            raise ValueError(f"page {o.page_id} is not in the tree")
+    chosen = _chosen(forest, o)
 
     ordered = tree.flatten_preorder(chosen.drop("pos")).withColumnRenamed("ordinal", "pos").select(*META_COLUMNS)
     queue = ix.queue_status(ordered, index, o.force)
@@ -116,3 +134,52 @@ def sync_corpus(
     write(tree.sorted_site_tree(files), "site_tree")
     sinks.write_index(done, index_table, o.space, run_id, o.now, o.page_size)
     return markdown
+
+
+def current_table(spark: SparkSession, options: SyncOptions, table: str) -> DataFrame | None:
+    """The html or markdown table as it stands: the newest row of each page that the index still has."""
+    rows = sinks.read_current(spark, f"{options.tables}/{table}", options.space)
+    index = sinks.read_latest(spark, f"{options.tables}/page_index", options.space)
+    return rows if rows is None or index is None else rows.join(index.select("id"), "id", "left_semi")
+
+
+def transform_stored(spark: SparkSession, options: SyncOptions, users: DataFrame) -> DataFrame:
+    """Convert stored bodies that have no Markdown, or an older one; with ``force`` all of them.
+
+    ``page_id``, ``subtree`` and ``limit`` narrow the run, the limit in listing
+    order over what is left to do, so limited runs go on where the last one
+    ended.  Returns the Markdown written.
+    """
+    o = options
+    index = sinks.read_latest(spark, f"{o.tables}/page_index", o.space)
+    html = current_table(spark, o, "html")
+    if index is None or html is None:
+        raise ValueError(f"nothing is stored for space {o.space}")
+    pending = html.select("id", "run")
+    done = current_table(spark, o, "markdown")
+    if done is not None and not o.force:
+        made = done.select("id", F.col("run").alias("_made"))
+        pending = pending.join(made, "id", "left").where(F.col("_made").isNull() | (F.col("_made") < F.col("run")))
+    if o.page_id is not None:
+        pending = pending.join(_chosen(tree.build_forest(index), o).select("id"), "id", "left_semi")
+    listed = pending.join(index.select("id", "pos", "title"), "id").select("id", "pos", "title")
+    wanted = store(ix.limit_pages(listed, o.limit) if o.limit else listed, "pending")
+    pages = html.select("id", "html").join(wanted.select("id", "title"), "id")
+    table = f"{o.tables}/markdown"
+    run_id = next_run(spark, o)
+    sinks.write_run(refs.pages_to_markdown(pages, index, users, o.markdown), table, o.space, run_id, o.now)
+    return sinks.read_latest(spark, table, o.space)
+
+
+def migrate_sidecars(spark: SparkSession, options: SyncOptions, root: str) -> DataFrame:
+    """Take the download state from the sidecar files below ``root`` into a new run of the index.
+
+    Returns the sidecars of pages that the index does not have.
+    """
+    o, table = options, f"{options.tables}/page_index"
+    index = sinks.read_latest(spark, table, o.space)
+    if index is None:
+        raise ValueError(f"no index is stored for space {o.space}")
+    merged, skipped = ix.merge_sidecars(index, store(readers.scan_meta_sidecars(spark, root), "sidecars"))
+    sinks.write_index(merged, table, o.space, next_run(spark, o), o.now, o.page_size)
+    return skipped
