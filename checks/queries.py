@@ -719,22 +719,31 @@ def _page_files(v: Views) -> DataFrame:
     return tree.page_paths(tree.with_names(_page_index(v)), ROOT)
 
 
-add("write_html", cte(f"{_PATHS} SELECT t.child_dir || '.html' AS path, CAST(strlen(p.html) AS BIGINT) AS bytes FROM paths t JOIN v_pages p ON p.id = t.id"), "v_pages")(
-    lambda v: sinks.write_html(_id_pages(v), _page_files(v), _scratch(v, "files"))
+def _read_back(v: Views, write) -> DataFrame:
+    """What ``write(root)`` has written: the path, size and checksum of each file."""
+    root = _scratch(v, "files")
+    write(root).agg(F.sum("bytes")).collect()
+    spark = v.pages.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(readers._tree_path(spark, root).alias("path"), F.col("length").alias("bytes"), F.md5("content").alias("content"))
+
+
+add("write_html", cte(f"{_PATHS} SELECT t.child_dir || '.html' AS path, CAST(strlen(p.html) AS BIGINT) AS bytes, md5(p.html) AS content FROM paths t JOIN v_pages p ON p.id = t.id"), "v_pages")(
+    lambda v: _read_back(v, lambda root: sinks.write_html(_id_pages(v), _page_files(v), root))
 )
 add(
     "write_markdown",
-    cte(f"{_CONVERTED}, {_PATHS} SELECT t.child_dir || '.md' AS path, CAST(strlen(m.markdown) AS BIGINT) AS bytes FROM ({_MARKDOWN}) m JOIN paths t ON t.id = m.id"),
+    cte(f"{_CONVERTED}, {_PATHS} SELECT t.child_dir || '.md' AS path, CAST(strlen(m.markdown) AS BIGINT) AS bytes, md5(m.markdown) AS content FROM ({_MARKDOWN}) m JOIN paths t ON t.id = m.id"),
     "v_storage", "v_users",
-)(lambda v: sinks.write_markdown(_corpus(v), _page_files(v), _scratch(v, "files")))
+)(lambda v: _read_back(v, lambda root: sinks.write_markdown(_corpus(v), _page_files(v), root)))
 add(
     "write_images",
-    cte(f"""{_CONVERTED}, {_MANIFEST}, {_RESOLVED}, {_PATHS} SELECT path, CAST(strlen(content) AS BIGINT) AS bytes FROM (
+    cte(f"""{_CONVERTED}, {_MANIFEST}, {_RESOLVED}, {_PATHS} SELECT path, CAST(strlen(content) AS BIGINT) AS bytes, md5(content) AS content FROM (
  SELECT t.dir || '/images/' || r.slug_name AS path, arg_min(r.content, r.page_id || ' ' || lpad(CAST(r.pos AS VARCHAR), 9, '0')) AS content FROM resolved r JOIN paths t ON t.id = r.page_id WHERE r.found GROUP BY ALL)"""),
     "v_storage", "v_users", "v_attachments",
 )(
-    lambda v: sinks.write_images(
-        refs.resolve_attachments(store(_manifest(v), "manifest"), v.v_attachments), _page_files(v), _scratch(v, "files")
+    lambda v: _read_back(
+        v, lambda root: sinks.write_images(refs.resolve_attachments(store(_manifest(v), "manifest"), v.v_attachments), _page_files(v), root)
     )
 )
 
@@ -750,11 +759,11 @@ def _stream_ingest(v: Views) -> DataFrame:
     return spark.read.parquet(table)
 
 
-@add("stream_index_upsert", cte(f"{_LISTED} SELECT id, title, version, parent_id, modified_at FROM listed"), "v_pages", "v_current")
+@add("stream_index_upsert", cte(f"{_LISTED} SELECT n AS pos, id, title, version, parent_id, modified_at, {_NOW_SQL} AS indexed_at, CAST(NULL AS INT) AS downloaded_version, CAST(NULL AS TIMESTAMP) AS downloaded_at FROM listed"), "v_pages", "v_current")
 def _stream_upsert(v: Views) -> DataFrame:
     spark, table = v.pages.sparkSession, _scratch(v, "upserted")
     streams.stream_index_upsert(spark, _land(v), _scratch(v, "progress"), table, SPACE, NOW, files_per_batch=2).awaitTermination()
-    return sinks.read_latest(spark, table, SPACE).select("id", "title", "version", "parent_id", "modified_at")
+    return sinks.read_latest(spark, table, SPACE).drop("page_number")
 
 
 def _page_markdown_sql(source: str) -> str:

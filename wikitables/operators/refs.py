@@ -1,9 +1,9 @@
 """Resolving what pages refer to: users, page titles, child lists, includes and attachments.
 
 References leave the page bodies as thin rows ``(id, kind, key)``, are joined
-with their dimension tables, and come back as one small array per page.  Bodies
-without references are never shuffled, and bodies with references only once.
-A key referred to by very many pages is salted (:mod:`wikitables.plans.skew`).
+with their dimension tables, and come back as one array per page.  Bodies are
+scanned once to find the references and once, with one join, to convert them.
+A key referred to by very many pages is split (:mod:`wikitables.plans.skew`).
 """
 
 from __future__ import annotations
@@ -265,20 +265,14 @@ def _of_kind(refs: Column, kind: str) -> Column:
     )
 
 
-def with_refs(
-    pages: DataFrame, rows: DataFrame, options: MarkdownOptions = MarkdownOptions(), escaped: bool = False
-) -> DataFrame:
-    """Pages with their resolved references in ``refs``; pages without any skip the join.
+def with_refs(pages: DataFrame, rows: DataFrame, escaped: bool = False) -> DataFrame:
+    """Pages with their resolved references in ``refs``: one scan of the bodies, and one shuffle unless the references are few.
 
     ``escaped`` escapes keys and values as the page texts are (see :func:`M.escape_fences`).
     """
-    needs = matches(F.col("html"), _lookup_pattern(options), "i")
     fields = [M.escape_fences(F.col(c)).alias(c) if escaped else F.col(c) for c in ("key", "value")]
     found = rows.groupBy("id").agg(F.collect_set(F.struct("kind", *fields)).alias("refs"))
-    nothing = F.array().cast(REF)
-    plain = pages.where(~needs).withColumn("refs", nothing)
-    linked = pages.where(needs).join(found, "id", "left").withColumn("refs", F.coalesce("refs", nothing))
-    return plain.unionByName(linked)
+    return pages.join(found, "id", "left").withColumn("refs", F.coalesce("refs", F.array().cast(REF)))
 
 
 def insert_refs(df: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
@@ -305,7 +299,7 @@ def insert_refs(df: DataFrame, options: MarkdownOptions = MarkdownOptions()) ->
 
 def convert_pages(pages: DataFrame, rows: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
     """Markdown bodies in ``html`` and image references in ``images``."""
-    staged = insert_refs(with_refs(pages, rows, options, escaped=True), options)
+    staged = insert_refs(with_refs(pages, rows, escaped=True), options)
     staged = staged.withColumns(
         {"html": M.link_images(F.col("html")), "images": M.image_refs(F.col("html"), F.col("id"), M.unescape_fences)}
     )
@@ -442,7 +436,7 @@ def link_pages(pages: DataFrame, index: DataFrame, resolved: bool = False) -> Da
     refs = store(page_refs(pages, options), "refs")
     links = store(_title_targets(refs, index, None).where(F.col("kind") == "link"), "targets")
     rows = store(_link_rows(links, index), "resolved")
-    return with_refs(pages.select("id", "html"), rows, options).select(
+    return with_refs(pages.select("id", "html"), rows).select(
         "id", M.link_pages(F.col("html"), _of_kind(F.col("refs"), "link")).alias("html")
     )
 
