@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 from array import array
 from collections.abc import Iterator
 
@@ -134,25 +135,32 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the transition of ``state`` by ``byte``."""
         guesses, ended = [], None
-        children, token_at = self.children, self.token_at
-        for pending, before, node in self.states[state]:
+        children, token_at, stable = self.children, self.token_at, self.stable
+        for guess in self.states[state]:
+            pending, before, node = guess
             node = children[node].get(byte)
             if node is None:
                 continue
             if children[node]:
                 guesses.append((pending, before, node))
-            token = token_at[node]
-            if ended is None and token >= 0 and self._may_follow(before, token):
-                ended = ((*pending, token), token, 0)
-        if guesses:
+            if ended is None:
+                token = token_at[node]
+                if token >= 0:
+                    kept = stable.get((before, token))
+                    if kept or kept is None and self._may_follow(before, token):
+                        ended = ((*pending, token), token, 0)
+        if not guesses:
+            emitted, key = ended[0], (((), ended[1], 0),)
+        elif not guesses[0][0]:  # the guess under way longest has nothing pending, so nothing is agreed on
             guesses.append(ended)
+            emitted, key = (), tuple(guesses)
+        else:
             out = min(len(g[0]) for g in guesses)
             while out and any(g[0][:out] != ended[0][:out] for g in guesses):
                 out -= 1
+            guesses.append(ended)
             emitted = ended[0][:out]
-            key = tuple((pending[out:], before, node) for pending, before, node in guesses) if out else tuple(guesses)
-        else:
-            emitted, key = ended[0], (((), ended[1], 0),)
+            key = tuple([(pending[out:], before, node) for pending, before, node in guesses])
         target = self.number.get(key)
         if target is None:
             target = self.number[key] = len(self.states)
@@ -212,6 +220,16 @@ class BpeEncoder(ChunkMemory):
             out[-1].append(self._piece(piece))
         return list(map(b"".join, out))
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # The tables are very many small objects without cycles, which the collector would walk again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return super().encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
     def decode(self, ids: bytes) -> Iterator[str]:
         """The text of the ids, in parts that end with whole characters."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")

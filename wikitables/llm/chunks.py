@@ -50,10 +50,12 @@ class ChunkMemory:
             return self.whole(text)
         out = [self.whole(first)]
         for at in range(0, len(rest), REMEMBERED // 4):
-            part = self._ids(rest[at : at + REMEMBERED // 4])
-            if part is None:
+            part = rest[at : at + REMEMBERED // 4]
+            found = list(map(self.known.get, part))
+            ids = b"".join(found) if None not in found else self._ids(part)
+            if ids is None:
                 return self.whole(text)
-            out.append(part)
+            out.append(ids)
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
