@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table, whole_text
 
@@ -47,6 +48,8 @@ MIN_WEIGHT = 1.0
 # Lengths of the beginnings of words.
 PREFIXES = range(3, 8)
 THRESHOLD = 0.3
+# Words whose reading a worker remembers.
+REMEMBERED = 200_000
 
 # Classes of the lexical transducer's output.
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, BREAK = "ITGNRQB"
@@ -69,25 +72,20 @@ class Grammar:
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
-        self._read: dict[str, tuple[str, float] | None] = {}
+        self._known: dict[str, tuple[str, float] | None] = {}
 
     def read(self, word: str) -> tuple[str, float] | None:
         """The lexical transducer: the class and weight it writes for a word, None for nothing."""
-        if word in self._read:
-            return self._read[word]
         if word in _QUOTES:
-            out = (QUOTE, 0.0)
-        elif word in _BREAKS:
-            out = (BREAK, 0.0)
-        else:
-            nodes = [word, *(word[:n] + "*" for n in PREFIXES if n < len(word))]
-            weight = max(self.weights.get(n, 0.0) for n in nodes)
-            closed = _CLASS_OF.get(word)
-            out = (INSULT, weight) if weight > 0 and closed is None else (closed, 0.0) if closed else None
-        if len(self._read) >= 500_000:
-            self._read.clear()
-        self._read[word] = out
-        return out
+            return QUOTE, 0.0
+        if word in _BREAKS:
+            return BREAK, 0.0
+        closed = _CLASS_OF.get(word)
+        if closed:
+            return closed, 0.0
+        nodes = [word, *(word[:n] + "*" for n in PREFIXES if n < len(word))]
+        weight = max(self.weights.get(n, 0.0) for n in nodes)
+        return (INSULT, weight) if weight > 0 else None
 
     def clause(self, symbols: list[tuple[int, str, float]]) -> float:
         """The score of a clause from its (place, class, weight) in order."""
@@ -110,13 +108,16 @@ class Grammar:
     def features(self, text: str) -> tuple[float, float, float]:
         """Of all clauses: the sum, the most, and the sum per hundred words, as logarithms."""
         words = _TOKEN.findall(text.lower())
-        read = self._read
-        for new in set(words).difference(read):
-            self.read(new)
+        known = self._known
+        new = set(words).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(words)
+        known.update((w, self.read(w)) for w in new)
         total = most = 0.0
         symbols: list[tuple[int, str, float]] = []
         matched = False
-        for place, out in enumerate([read.get(w) or self.read(w) for w in words] if len(read) < 400_000 else map(self.read, words)):
+        for place, out in enumerate(map(known.__getitem__, words)):
             if out is None:
                 continue
             kind, weight = out
@@ -184,17 +185,18 @@ def learn_weights(training: DataFrame) -> dict[str, float]:
     return out
 
 
-def featured(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``rows`` has columns carried and text; carried and the features f0, f1, f2 remain."""
+def featured(rows: DataFrame, weights: dict[str, float], text_col: str = "text") -> DataFrame:
+    """``rows`` has the column carried, whose field ``text_col`` is scored; it and the features f0, f1, f2 remain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(weights)
         for batch in batches:
-            made = np.array([grammar.features(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1, 3)
+            texts = batch.column("carried").field(text_col)
+            made = np.array([grammar.features(t.as_py() or "") for t in texts], np.float64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("carried"), *(pa.array(made[:, k]) for k in range(3))], ["carried", "f0", "f1", "f2"])
 
-    carried = rows.schema["carried"].dataType.simpleString()
-    return rows.select("carried", "text").mapInArrow(run, f"carried {carried}, f0 double, f1 double, f2 double")
+    schema = T.StructType([rows.schema["carried"], *(T.StructField(f"f{k}", T.DoubleType()) for k in range(3))])
+    return rows.select("carried").mapInArrow(run, schema)
 
 
 def fit_curve(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -220,7 +222,7 @@ def train(
     """The grammar's weights and the curve."""
     training = training_rows(docs, labels, id_col, text_col, label_col, rows)
     weights = learn_weights(training)
-    held = training.where("fold = 3").select(F.struct(F.col("toxic").alias("toxic")).alias("carried"), "text")
+    held = training.where("fold = 3").select(F.struct("toxic", "text").alias("carried"))
     found = featured(held, weights).select(F.col("carried.toxic").alias("toxic"), "f0", "f1", "f2").toPandas()
     return weights, fit_curve(found[["f0", "f1", "f2"]].to_numpy(), (found["toxic"] > 0).to_numpy(float))
 
@@ -228,11 +230,12 @@ def train(
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
     """carried, a struct of the columns ``carry``, and score of every document."""
     weights, beta = model
-    rows = docs.select(F.struct(*(F.col(c) for c in carry)).alias("carried"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.struct(*(F.col(c) for c in dict.fromkeys([*carry, text_col]))).alias("carried"))
     power = F.lit(float(beta[3]))
     for k in range(3):
         power = power + F.col(f"f{k}") * float(beta[k])
-    return featured(rows, weights).select("carried", (1 / (1 + F.exp(-power))).alias("score"))
+    kept = F.struct(*(F.col("carried")[c].alias(c) for c in carry)).alias("carried")
+    return featured(rows, weights, text_col).select(kept, (1 / (1 + F.exp(-power))).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
