@@ -1,6 +1,7 @@
 """Readers, writers, streams and the sync job over small landed files."""
 
 import json
+import os
 from dataclasses import replace
 from datetime import datetime
 
@@ -175,8 +176,11 @@ def test_current_tables_and_stored_transforms(spark, tmp_path, no_users):
     landing = land(tmp_path / "in", "a.json", envelope(0, [page(1), page(2, parent=1)]), envelope(2, [page(3)], more=False))
     options = SyncOptions("S", landing, str(tmp_path / "tables"), NOW)
     bodies = lambda: {r["id"]: r["markdown"].rsplit("---\n\n", 1)[1] for r in current_table(spark, options, "markdown").collect()}
+    folder = storage.checkpoint_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     sync_corpus(spark, options, no_users)
     sync_corpus(spark, options, no_users)
+    assert set(os.listdir(folder)) <= before  # intermediate tables are gone
     assert bodies() == {"1": "b\n", "2": "b\n", "3": "b\n"}
     assert transform_stored(spark, options, no_users).count() == 0
     assert [r["id"] for r in transform_stored(spark, replace(options, force=True, limit=1), no_users).collect()] == ["1"]

@@ -9,6 +9,9 @@ Catalyst sees the true size of what it joins.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 # Size of one scan task by default.
 SPLIT_BYTES = 128 << 20
+# Tables of the job that runs in this thread, if it drops them at its end.
+_STORED: ContextVar[list[str] | None] = ContextVar("stored", default=None)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -29,10 +34,27 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
+@contextmanager
+def tables_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables stored inside when the block ends; its results must be written elsewhere by then."""
+    paths: list[str] = []
+    token = _STORED.set(paths)
+    try:
+        yield
+    finally:
+        _STORED.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table below the checkpoint folder and read it back."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    paths = _STORED.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

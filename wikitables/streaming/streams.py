@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index_ops import rebuild_index, upsert_modified
 from ..operators.refs import MarkdownOptions, pages_to_markdown
-from ..plans.storage import store
+from ..plans.storage import store, tables_dropped
 from ..schemas import ENVELOPE, ENVELOPE_WITHOUT_BODY, META_COLUMNS, PAGE_INDEX
 from ..sources.readers import envelope_cutoff, flatten_page, listing_ends, read_envelopes
 from ..sources.sinks import latest_run, read_latest, write_run
@@ -104,12 +104,13 @@ def transform_batch(
     """Convert the pages of one batch, without ``force`` only those that no earlier batch has converted."""
     spark = batch.sparkSession
     listed = batch.select("id", "title", F.col("body").alias("html"), "version", "modified_at", "pos")
-    pages = newest_by_id(store(listed, "batch")).select("id", "title", "html")
-    if batch_id > 0 and not force:
-        done = spark.read.parquet(table).where(F.col("batch") < batch_id).select("id")
-        pages = pages.join(done, "id", "left_anti")
-    markdown = pages_to_markdown(pages, index, users, options)
-    markdown.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    with tables_dropped(spark):
+        pages = newest_by_id(store(listed, "batch")).select("id", "title", "html")
+        if batch_id > 0 and not force:
+            done = spark.read.parquet(table).where(F.col("batch") < batch_id).select("id")
+            pages = pages.join(done, "id", "left_anti")
+        markdown = pages_to_markdown(pages, index, users, options)
+        markdown.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
 
 def read_transformed(spark: SparkSession, table: str) -> DataFrame:

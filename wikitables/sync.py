@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import index_ops as ix
 from .operators import refs, tree
-from .plans.storage import store
+from .plans.storage import store, tables_dropped
 from .schemas import META_COLUMNS
 from .sources import readers, sinks
 
@@ -88,9 +88,14 @@ def sync_corpus(
 
     Writes the tables page_tree, queue, html, markdown, images (when there are
     ``attachments``) and site_tree, and last page_index: a page counts as
-    downloaded only after its body and Markdown are stored.
+    downloaded only after its body and Markdown are stored.  Intermediate
+    tables are deleted at the end.
     """
-    o = options
+    with tables_dropped(spark):
+        return _sync(spark, options, users, attachments)
+
+
+def _sync(spark: SparkSession, o: SyncOptions, users: DataFrame, attachments: DataFrame | None) -> DataFrame:
     index_table = f"{o.tables}/page_index"
     run_id = next_run(spark, o)
     root = f"{o.root}/{o.space}"
@@ -150,7 +155,11 @@ def transform_stored(spark: SparkSession, options: SyncOptions, users: DataFrame
     order over what is left to do, so limited runs go on where the last one
     ended.  Returns the Markdown written.
     """
-    o = options
+    with tables_dropped(spark):
+        return _transform(spark, options, users)
+
+
+def _transform(spark: SparkSession, o: SyncOptions, users: DataFrame) -> DataFrame:
     index = sinks.read_latest(spark, f"{o.tables}/page_index", o.space)
     html = current_table(spark, o, "html")
     if index is None or html is None:
