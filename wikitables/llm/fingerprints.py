@@ -6,7 +6,7 @@
    Windows of very low entropy, such as ruled lines, come last.
 2. In each run of RUN neighbouring windows the most improbable, leftmost
    one gets a vote.  Windows with VOTES votes, or the most of their text, are
-   the text's features.
+   the text's features.  A short text's features are all its small pieces.
 3. Features enter Bloom filters of BITS bits by HASHES hashes, FILL features to
    a filter; a fingerprint is the chain of its filters.
 4. Two filters are alike by their common bits, less those that chance gives, as
@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import slices, stored, table, whole_text
 
 WINDOW = 32
+# A text with fewer bytes has too few windows to choose from: all its pieces of PIECE bytes are its features.
+SHORT, PIECE = 128, 8
 # Neighbouring windows that vote for one of them.
 RUN = 64
 LEVELS = 1000
@@ -88,13 +90,13 @@ def levels(data: np.ndarray) -> np.ndarray:
     return LEVELS - total * LEVELS // int(_TERMS[WINDOW])
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes with RUN zeros after each, where each text starts, and which windows lie inside one text."""
+def _joined(texts: list[bytes], least: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes with RUN zeros after each, where each text starts, and which windows lie inside one text of ``least`` bytes or more."""
     data = np.frombuffer(b"".join(x for t in texts for x in (t, bytes(RUN))), np.uint8)
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths + RUN) - lengths - RUN
     mark = np.zeros(len(data) + 1, np.int32)
-    long = lengths >= WINDOW
+    long = lengths >= least
     mark[starts[long]] = 1
     mark[(starts + lengths - WINDOW + 1)[long]] = -1
     return data, starts, np.cumsum(mark[: len(data) - WINDOW + 1]) > 0
@@ -138,10 +140,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each feature in order."""
-    short = [k for k, t in enumerate(texts) if 0 < len(t) < WINDOW]  # the whole text is its feature
-    owner = [np.array(short, np.int64)]
-    hashes = [np.array([int.from_bytes(hashlib.blake2b(texts[k], digest_size=8).digest(), "little") for k in short], _U)]
-    data, starts, inside = _joined(texts)
+    owner, hashes = [np.empty(0, np.int64)], [np.empty(0, _U)]
+    for k, text in enumerate(texts):
+        if 0 < len(text) < SHORT:
+            padded = np.frombuffer(text.ljust(PIECE, b"\0"), np.uint8)
+            pieces = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, PIECE)).view(_U)[:, 0]
+            owner.append(np.full(len(pieces), k))
+            hashes.append(_mixed(pieces + _U(len(text) if len(text) < PIECE else 0)))
+    data, starts, inside = _joined(texts, SHORT)
     # The place in the low bits makes the leftmost of equals the least.
     key = (np.where(inside, rank[levels(data)], LEVELS + 1) << 32) | np.arange(len(inside))
     least, step = np.append(key, np.full(RUN, np.iinfo(np.int64).max)), 1
