@@ -303,8 +303,8 @@ add("root_pages", "SELECT pos, id, title FROM v_pages WHERE parent_id IS NULL OR
 add("sibling_rank", "SELECT pos, id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY pos, id) AS sibling_rank FROM v_tree", "v_tree")(
     lambda v: tree.sibling_rank(v.v_tree)
 )
-add("child_pages", "SELECT parent_id, pos, id, title FROM v_tree WHERE parent_id IN (SELECT concat('C', c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING')", "v_tree")(
-    lambda v: tree.child_pages(v.v_tree, v.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("id")))
+add("child_pages", "SELECT parent_id, pos, id, title FROM v_tree WHERE parent_id IN (SELECT concat('C', c_custkey) FROM customer)", "v_tree")(
+    lambda v: tree.child_pages(v.v_tree, v.customer.select(F.concat(F.lit("C"), F.col("c_custkey")).alias("id")))
 )
 add("build_forest", cte(f"{_RANKS} SELECT id, parent_id, root_id, depth, depth = 0 AS is_root, array_to_string(path, '.') AS path FROM forest"), "v_tree")(
     lambda v: _path_text(tree.build_forest(v.v_tree)).select("id", "parent_id", "root_id", "depth", "is_root", "path")
