@@ -1,6 +1,7 @@
 """Exact, near and substring deduplication against plain loops."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -204,3 +205,42 @@ def test_anchors_depend_on_the_window_alone():
             assert 0 <= begin[0] - before < end[0] - before <= 20
             places.add((int(begin[0] - before), int(end[0] - before)))
         assert len(places) == 1
+
+
+def jaccard(one, other):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in (t.split() for t in (one, other)))
+    return len(a & b) / len(a | b)
+
+
+def test_near_stage_links_by_similarity(stored_docs, no_docs):
+    """The pipeline's stage against all pairs: copies edited in a few words go, texts alike by less stay."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    texts = []
+    for k in range(40):
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(30, 300))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, len(base) // 40, len(base) // 25, len(base) // 12):
+            other = list(base)
+            for at in rng.sample(range(len(base)), edits):
+                other[at] = f"e{rng.randrange(9000)}"
+            texts.append(" ".join(other))
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if root(i) != root(j) and jaccard(texts[i], texts[j]) >= 0.8:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    wanted = {i for i in range(len(texts)) if root(i) == i}
+    assert 40 < len(wanted) < 200
+    rows = [*enumerate(texts), (1000, ""), (1001, None), (None, texts[0])]
+    docs = stored_docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").collect()}
+    assert kept == wanted | {1000}
+    assert corpus_pipeline.near_dedup(docs.sparkSession, no_docs, "").count() == 0
