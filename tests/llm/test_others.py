@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -70,6 +71,17 @@ def test_article():
     assert html_extract.main_text(html_extract.parse('<p>a<p>b <a href="x>y">l</a> <div class=sidebar>no</div> 1 < 2 & 3 <p cla'), {}) == "a\nb l\n1 < 2 & 3"
 
 
+def test_names_that_tell_of_layout_or_headings_drop_nothing():
+    read = lambda source: html_extract.main_text(html_extract.parse(source), {})
+    for names in ("no-sidebar", "hentry comments-open", "layoutWithSidebar", "search-results has-sidebar"):
+        for tag in ("body", "article", "main", "html"):
+            assert read(f'<{tag} class="{names}"><h2 id="related-work">Related</h2><p>text<h2 id=search>Search</h2></{tag}>') == "Related\ntext\nSearch"
+    assert read("<div class=layoutWithSidebar><p>a</p><div class=left-sidebar>b</div><p class=page-search-area>c</p><div id=commentForm>d</div></div>") == "a\nc"
+    source = "<body><div class=widget><p>all there is</p></div><nav>n</nav></body>"
+    batch = pa.RecordBatch.from_pylist([{"carried": 1, "html": source, "slots": []}])
+    assert [b.column("text").to_pylist() for b in html_extract._extract(iter([batch]))] == [["all there is"]]
+
+
 @pytest.mark.parametrize("piece", ["<script>", "<!--", "<td>", "<p>", "<div>", '<a "', "<b><p>", "</div>", "<a b='"])
 def test_broken_markup_is_read_in_linear_time(piece):
     html_extract.parse(piece * (500_000 // len(piece)))

@@ -14,8 +14,10 @@ extracted.  Hosts with fewer than MIN_PAGES pages share one template.
 
 Names carry what vectors can't: an article or main element outweighs any
 amount of text, and menus, headers, footers, sidebars, notices, adverts, forms
-and comments are known by tag, role or class wherever they are.  A page that
-has none of its host's slots is read from its own article, or else its body.
+and comments are known by tag, role, or the first or last word of a class or id
+wherever they are; a page without other text is read without these names.  A
+page that has none of its host's slots is read from its own article, or else
+its body.
 
 Defined results: null or empty html gives an empty text; pages without a host
 share one; equal page ids are pages of their own; broken and cut markup is read
@@ -73,6 +75,10 @@ _DROPPED_NAMES = frozenset(
     "login share sharing social related recommended widget comment comments commentlist reply replies respond disqus pagination pager toolbar "
     "search form skip".split()
 )
+# These are never dropped by name: their names tell of the page or of the text below.
+_KEPT_TAGS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+# A name with one of these tells what a layout has or lacks: no-sidebar, comments-open.
+_STATES = frozenset("no not without has have with hide show is open opened closed enabled disabled".split())
 
 
 class Page:
@@ -102,14 +108,24 @@ def _place(parent: int, tag: str, names: str) -> int:
     return place
 
 
-def _is_dropped(tag: str, names: str, role: str, inside_article: bool) -> bool:
-    if tag in _DROPPED_TAGS or role.lower() in _DROPPED_ROLES or tag == "header" and not inside_article:
-        return True
-    words = {w.lower() for w in _WORD.findall(names)}
-    return bool(words & _DROPPED_NAMES) or "header" in words and not inside_article
+def _is_dropped(tag: str, role: str, inside_article: bool) -> bool:
+    return tag in _DROPPED_TAGS or role.lower() in _DROPPED_ROLES or tag == "header" and not inside_article
 
 
-def parse(source: str) -> Page:
+def _is_named(tag: str, names: str, inside_article: bool) -> bool:
+    """Whether a class or id begins or ends with a listed word."""
+    if tag in _KEPT_TAGS:
+        return False
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        ends = {*words[:1], *words[-1:]}
+        if (ends & _DROPPED_NAMES or "header" in ends and not inside_article) and not _STATES & set(words):
+            return True
+    return False
+
+
+def parse(source: str, by_name: bool = True) -> Page:
+    """``by_name``: whether blocks are dropped by class and id."""
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]
     pieces: list[str] = []
@@ -196,7 +212,7 @@ def parse(source: str) -> Page:
                     names += (" " if names else "") + value
         parent = stack[-1][1]
         inside = page.article[parent]
-        dropped = page.dropped[parent] or _is_dropped(tag, names, role, inside)
+        dropped = page.dropped[parent] or _is_dropped(tag, role, inside) or by_name and _is_named(tag, names, inside)
         if dropped == page.dropped[parent] and (tag in _INLINE or len(stack) > DEPTH):
             element = parent
         else:
@@ -252,8 +268,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(batch.column("html")):
             texts = []
             for source, slots in zip(batch.column("html")[lo:hi], batch.column("slots")[lo:hi], strict=True):
-                page = parse(source.as_py())
-                texts.append(main_text(page, {s["place"]: s["score"] for s in slots.as_py() or ()}))
+                html, scores = source.as_py(), {s["place"]: s["score"] for s in slots.as_py() or ()}
+                # What is dropped by name is the text of a page that has no other.
+                texts.append(main_text(parse(html), scores) or main_text(parse(html, by_name=False), scores))
             yield pa.RecordBatch.from_arrays([batch.column("carried")[lo:hi], pa.array(texts, pa.string())], ["carried", "text"])
 
 
