@@ -111,6 +111,24 @@ def test_template_finds_the_main_slot(spark, tmp_path):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_slots_beside_the_main_slot(spark, tmp_path):
+    """Title, lead and both bodies of a container without article; links beside them stay out; of two articles both are kept."""
+    rows, wanted = [], {}
+    for k in range(5):
+        links = "".join(f"<a href=x>see page {k} {n}</a> " for n in range(5))
+        body = "".join(f"<p>Sentence {n} of {k}.</p>" for n in range(4 + k))
+        parts = f"<h1>Title {k}</h1><p class=lead>Lead {k}.</p><div class=body>{body}</div><div class=more><p>More {k}.</p></div><div class=tags>{links}</div>"
+        rows.append(page("a.org", k, f"<body><div class=top>Same line</div><div class=content>{parts}</div><div class=end>End line</div></body>"))
+        wanted[k] = "\n".join([f"Title {k}", f"Lead {k}.", *(f"Sentence {n} of {k}." for n in range(4 + k)), f"More {k}."])
+        two = f"<div class=left><article class=one><p>One {k}</article></div><div class=right><article class=two><p>Two {k}</article></div>"
+        rows.append(page("b.org", 10 + k, f"<body><div class=top>Same line</div>{two}</body>"))
+        wanted[10 + k] = f"One {k}\nTwo {k}"
+    path = f"{tmp_path}/pages"
+    spark.createDataFrame(rows, "page_id long, url string, html string, host string, row int").write.parquet(path)
+    found = html_extract.extract_pages(spark.read.parquet(path)).collect()
+    assert {r["carried"]["page_id"]: r["text"] for r in found} == wanted
+
+
 def test_shards(hard_docs, hard, no_docs, spark, tmp_path):
     found = sharding.shard_documents(hard_docs, 4, slots=64, folder=str(tmp_path / "map")).collect()
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in found if r["doc_id"] is not None) == sorted(

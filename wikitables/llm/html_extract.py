@@ -10,7 +10,9 @@ own belong to such classes too: valid classes nest into the host's template.  Ev
 the template, and text is counted to the innermost valid token above it.  The
 slot with most text that is not a link, outside of menus, adverts and the like,
 is the host's main slot.  Of a page the blocks below its main slot are
-extracted.  Hosts with fewer than MIN_PAGES pages share one template.
+extracted, and with them the other slots of the element that holds it, such as
+title and lead, if that is not the body and they are not mostly links; of
+articles, all.  Hosts with fewer than MIN_PAGES pages share one template.
 
 Names carry what vectors can't: an article or main element outweighs any
 amount of text, and menus, headers, footers, sidebars, notices, adverts, forms
@@ -90,6 +92,8 @@ class Page:
         self.place: list[int] = [0]
         self.dropped: list[bool] = [False]
         self.article: list[bool] = [False]
+        # Whether it is the page, html or body.
+        self.whole: list[bool] = [True]
         # (element, text, code points in links) of each block.
         self.blocks: list[tuple[int, str, int]] = []
 
@@ -220,6 +224,7 @@ def parse(source: str, by_name: bool = True) -> Page:
             page.parent.append(parent)
             page.place.append(_place(page.place[parent], tag, names))
             page.dropped.append(dropped)
+            page.whole.append(tag in ("html", "body"))
             page.article.append(inside or tag in ("article", "main") or role == "main")
         stack.append((tag, element))
         links += tag == "a"
@@ -232,11 +237,11 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-OUTLINE = "row long, place long, above array<long>, count long, chars long, article boolean, dropped boolean"
+OUTLINE = "row long, place long, above array<long>, count long, chars long, linked long, article boolean, dropped boolean"
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and token: how often it occurs, the tokens above it and its text outside of links."""
+    """Per page and token: how often it occurs, the tokens above it and its text outside of and in links."""
     for batch in batches:
         for lo, hi in slices(batch.column("html")):
             rows = []
@@ -252,14 +257,15 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             above.append(page.place[up])
                             up = page.parent[up]
                         own = page.article[e] and (e == 0 or not page.article[page.parent[e]])
-                        found[place] = [row, place, above, 1, 0, own, page.dropped[e]]
+                        found[place] = [row, place, above, 1, 0, 0, own, page.dropped[e]]
                 for element, text, linked in page.blocks:
                     found[page.place[element]][4] += max(len(text) - linked, 0)
+                    found[page.place[element]][5] += min(len(text), linked)
                 rows += found.values()
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "place", "above", "count", "chars", "article", "dropped"]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "place", "above", "count", "chars", "linked", "article", "dropped"]
             )
 
 
@@ -268,19 +274,31 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(batch.column("html")):
             texts = []
             for source, slots in zip(batch.column("html")[lo:hi], batch.column("slots")[lo:hi], strict=True):
-                html, scores = source.as_py(), {s["place"]: s["score"] for s in slots.as_py() or ()}
+                html, known = source.as_py(), slots.as_py() or ()
+                scores, links = {s["place"]: s["score"] for s in known}, {s["place"] for s in known if s["links"]}
                 # What is dropped by name is the text of a page that has no other.
-                texts.append(main_text(parse(html), scores) or main_text(parse(html, by_name=False), scores))
+                texts.append(main_text(parse(html), scores, links) or main_text(parse(html, by_name=False), scores, links))
             yield pa.RecordBatch.from_arrays([batch.column("carried")[lo:hi], pa.array(texts, pa.string())], ["carried", "text"])
 
 
-def main_text(page: Page, slots: dict[int, float]) -> str:
-    """The blocks below the best of the slots that the page has."""
+def main_text(page: Page, slots: dict[int, float], links: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks below the best of the slots that the page has, and of its container's other slots but those of links."""
     there = [(slots.get(place, 0.0), -e) for e, place in enumerate(page.place) if not page.dropped[e]]
     score, best = max(there)
+    if score >= ARTICLE_SCORE:
+        places, container = {place for place in page.place if slots.get(place) == score}, 0
+    else:
+        places, container = {page.place[-best]}, page.parent[-best]
+    beside = container > 0 and score > 0 and not page.whole[container]
     main = [False] * len(page.parent)
+    under, linked = [False] * len(page.parent), [False] * len(page.parent)
     for e, up in enumerate(page.parent):
-        main[e] = up >= 0 and main[up] or (page.place[e] == page.place[-best] if score > 0 else page.article[e])
+        main[e] = up >= 0 and main[up] or (page.place[e] in places if score > 0 else page.article[e])
+        if beside:
+            under[e] = e == container or up >= 0 and under[up]
+            linked[e] = page.place[e] in links if page.place[e] in slots else up >= 0 and linked[up]
+    if beside:
+        main = [m or u and not n for m, u, n in zip(main, under, linked, strict=True)]
     if not any(main[e] for e, _, _ in page.blocks):
         main = [True] * len(page.parent)
     return "\n".join(text for e, text, _ in page.blocks if main[e])
@@ -299,6 +317,7 @@ def templates(outline: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             F.count(F.lit(1)).alias("pages"),
             F.max("count").alias("most"),
             F.sum("chars").alias("chars"),
+            F.sum("linked").alias("linked"),
             F.max("article").alias("article"),
             F.max("dropped").alias("dropped"),
         ),
@@ -314,6 +333,7 @@ def templates(outline: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             F.sum("pages").alias("pages"),
             F.max("most").alias("most"),
             F.sum("chars").alias("chars"),
+            F.sum("linked").alias("linked"),
             F.max("article").alias("article"),
             F.max("dropped").alias("dropped"),
         ),
@@ -321,7 +341,7 @@ def templates(outline: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     )
     whole = grouped.where("place = 0").select("pool", F.col("pages").alias("all"))
     # Tokens of one vector are a class; it takes two tokens, once a page, on half of the pages.
-    frequent = stored(grouped.join(whole, "pool").where("most = 1 and 2 * pages >= all").drop("all", "chars"), "frequent")
+    frequent = stored(grouped.join(whole, "pool").where("most = 1 and 2 * pages >= all").drop("all", "chars", "linked"), "frequent")
     large = frequent.groupBy("pool", "vector").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(frequent.join(large, ["pool", "vector"], "left_semi"), "classes")
     # Classes nest: all tokens above a class's tokens, at most as many as a page is deep, belong to large classes.
@@ -336,20 +356,20 @@ def templates(outline: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         members.join(broken, ["pool", "vector"], "left_anti").select("pool", "place", "article", "dropped", F.size("above").alias("depth")), "valid"
     )
     # Text goes to the innermost valid token at or above its place.
-    lines = grouped.where("chars > 0 and not dropped").select(
-        "pool", F.col("place").alias("line"), "chars", F.explode(F.concat(F.array("place"), "above")).alias("place")
+    lines = grouped.where("chars + linked > 0 and not dropped").select(
+        "pool", F.col("place").alias("line"), "chars", "linked", F.explode(F.concat(F.array("place"), "above")).alias("place")
     )
     slot = (
         lines.join(valid, ["pool", "place"])
         .groupBy("pool", "line")
-        .agg(F.max("chars").alias("chars"), F.max(F.struct("depth", "place", "dropped")).alias("slot"))
+        .agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max(F.struct("depth", "place", "dropped")).alias("slot"))
         .where("not slot.dropped")
         .groupBy("pool", F.col("slot.place").alias("place"))
-        .agg(F.sum("chars").cast("double").alias("score"))
+        .agg(F.sum("chars").cast("double").alias("score"), F.sum("linked").cast("double").alias("linked"))
     )
-    articles = valid.where("article and not dropped").select("pool", "place", F.lit(ARTICLE_SCORE).alias("score"))
-    best = slot.unionByName(articles).groupBy("pool", "place").agg(F.max("score").alias("score"))
-    slots = stored(best.groupBy("pool").agg(F.collect_list(F.struct("place", "score")).alias("slots")), "templates")
+    articles = valid.where("article and not dropped").select("pool", "place", F.lit(ARTICLE_SCORE).alias("score"), F.lit(0.0).alias("linked"))
+    best = slot.unionByName(articles).groupBy("pool", "place").agg(F.max("score").alias("score"), F.max("linked").alias("linked"))
+    slots = stored(best.groupBy("pool").agg(F.collect_list(F.struct("place", "score", (F.col("linked") > F.col("score")).alias("links"))).alias("slots")), "templates")
     return hosts.join(slots, "pool", "left").select("host", "slots")
 
 
