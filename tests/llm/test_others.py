@@ -37,6 +37,19 @@ def test_fingerprints_depend_on_the_text_alone():
     assert 0.3 < fingerprints.likeness(alone[7], half) < 0.8 and fingerprints.likeness(alone[6], alone[7]) < 0.1
 
 
+def test_edited_short_texts_are_near():
+    """Texts of 60 to 600 bytes, some of two-byte characters, keep half of their features with their first half; strangers none."""
+    rng = np.random.default_rng(5)
+    rank = rng.permutation(1001)
+    for n in range(60, 600, 20):
+        for letters in ("abcdefghijklmnop ", "абвгдежзиклмн "):
+            text, other = ("".join(rng.choice(list(letters), n)) for _ in range(2))
+            for following in (other, "".join(rng.choice(list("qrstuvwxyz"), n))):
+                edited = fingerprints.edited_text(text, following)
+                one, two, strange = fingerprints.fingerprints([t.encode() for t in (text, edited, other)], rank)
+                assert fingerprints.likeness(one, two) > 0.15 and fingerprints.likeness(one, strange) < 0.1, n
+
+
 def test_chain(stored_docs, hard_docs, hard, no_docs):
     found = fingerprints.fingerprint_chain(hard_docs).collect()
     assert len(found) == len(hard)

@@ -6,7 +6,7 @@
    Windows of very low entropy, such as ruled lines, come last.
 2. In each run of RUN neighbouring windows the most improbable, leftmost
    one gets a vote.  Windows with VOTES votes, or the most of their text, are
-   the text's features.  A short text's features are all its small pieces.
+   the text's features.  All small pieces of a short text are features, too.
 3. Features enter Bloom filters of BITS bits by HASHES hashes, FILL features to
    a filter; a fingerprint is the chain of its filters.
 4. Two filters are alike by their common bits, less those that chance gives, as
@@ -42,8 +42,9 @@ from pyspark.sql import functions as F
 from .common import slices, stored, table, whole_text
 
 WINDOW = 32
-# A text with fewer bytes has too few windows to choose from: all its pieces of PIECE bytes are its features.
-SHORT, PIECE = 128, 8
+# A text with fewer than SHORT bytes has no windows to choose from: all its pieces of PIECE bytes are its features.
+# One with fewer than SMALL has few of them: its pieces are features as well as the chosen windows.
+SHORT, SMALL, PIECE = 128, 512, 8
 # Neighbouring windows that vote for one of them.
 RUN = 64
 LEVELS = 1000
@@ -142,7 +143,7 @@ def _features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(text, hash) of each feature in order."""
     owner, hashes = [np.empty(0, np.int64)], [np.empty(0, _U)]
     for k, text in enumerate(texts):
-        if 0 < len(text) < SHORT:
+        if 0 < len(text) < SMALL:
             padded = np.frombuffer(text.ljust(PIECE, b"\0"), np.uint8)
             pieces = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, PIECE)).view(_U)[:, 0]
             owner.append(np.full(len(pieces), k))
