@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .collocations import OP11_SQL, op11_collocations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .fill_in_middle import OP12_SQL, op12_fill_in_middle
 from .fingerprints import op2_fingerprints
 from .html_extract import op4_html_extract
+from .mixing import OP13_SQL, op13_mixing
 from .packing import op9_packing
 from .quality import op8_quality
 from .sharding import op10_sharding
@@ -24,4 +27,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_packing": (op9_packing, None),
     "op10_sharding": (op10_sharding, None),
+    "op11_collocations": (op11_collocations, OP11_SQL),
+    "op12_fill_in_middle": (op12_fill_in_middle, OP12_SQL),
+    "op13_mixing": (op13_mixing, OP13_SQL),
 }
