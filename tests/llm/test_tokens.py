@@ -24,9 +24,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(JSON)
 
 
 def odd_texts(n, seed):
@@ -103,3 +101,19 @@ def test_queries_hash(spark, tmp_path, stored_docs, hard, reference):
     for i, t in hard:
         ids = np.array(reference.encode_ordinary(t or ""), "<u4").tobytes()
         assert (i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) in found
+
+
+def test_long_matches_keep_the_states_bounded(reference, monkeypatch):
+    """A match of many different letters: states are dropped inside of it, and the guesses under way are kept."""
+    monkeypatch.setattr(bpe, "STATES", 400)
+    transducer = bpe.Transducer(bpe.load_ranks(RANKS))
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=20_000))
+    assert transducer.encode(text.encode()) == reference.encode_ordinary(text)
+    assert len(transducer.states) <= 402
+
+
+def test_added_tokens_are_their_ids(library):
+    encoder = packing.Encoder(JSON, P.PATTERN)
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "x<|endoftext|>\n y"):
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids

@@ -83,6 +83,16 @@ class Transducer:
         self.number = {start: 0}
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
 
+    def _begun_anew(self, state: int) -> int:
+        """Forget all states but ``state``, which may be in the middle of a match."""
+        guesses = self.states[state]
+        self._reset()
+        if guesses not in self.number:
+            self.number[guesses] = len(self.states)
+            self.states.append(guesses)
+            self.steps.append({})
+        return self.number[guesses]
+
     def _spines(self, token: int) -> tuple[list, list] | None:
         """What merging makes at the left and at the right end of a token: (bytes, the rank that takes it up), None if it isn't made."""
         found = self.edges.get(token, 0)
@@ -173,11 +183,14 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
-            self._reset()
         state, out, steps = 0, [], self.steps
         for byte in piece:
-            state, emitted = steps[state].get(byte) or self._step(state, byte)
+            found = steps[state].get(byte)
+            if found is None:
+                if len(self.states) > STATES:
+                    state, steps = self._begun_anew(state), self.steps
+                found = self._step(state, byte)
+            state, emitted = found
             if emitted:
                 out += emitted
         out += self.states[state][-1][0]  # the guess that has just ended
