@@ -193,3 +193,9 @@ def test_pipeline_stages_of_nothing(spark, hard_docs, no_docs, tmp_path):
             stage(spark, documents, SF).write.parquet(f"{tmp_path}/{k}-{n}")
             documents = spark.read.parquet(f"{tmp_path}/{k}-{n}")
         assert (documents.count() > 0) == (k == 1)
+
+
+def test_named_inline_elements_keep_their_text():
+    page = '<article><p>See <span class="comment"># a note</span>, <a class="share-price" href=x>the price</a> and <em class=promo>more</em>.</p><div class="share">Share</div></article>'
+    parsed = html_extract.parse(page)
+    assert html_extract.main_text(parsed, {}) == "See # a note, the price and more."

@@ -216,7 +216,7 @@ def parse(source: str, by_name: bool = True) -> Page:
                     names += (" " if names else "") + value
         parent = stack[-1][1]
         inside = page.article[parent]
-        dropped = page.dropped[parent] or _is_dropped(tag, role, inside) or by_name and _is_named(tag, names, inside)
+        dropped = page.dropped[parent] or _is_dropped(tag, role, inside) or by_name and tag not in _INLINE and _is_named(tag, names, inside)
         if dropped == page.dropped[parent] and (tag in _INLINE or len(stack) > DEPTH):
             element = parent
         else:
