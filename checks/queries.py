@@ -54,8 +54,14 @@ def _id_pages(v: Views) -> DataFrame:
 
 # ---- conversion of raw pages -----------------------------------------------------------
 
+
+def _tasks(v: Views) -> int:
+    """Partitions for work on bodies, as the session is set: the tables of pages are single files."""
+    return int(v.pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 add("markdown_pages", f"SELECT CAST(page_id AS VARCHAR) AS id, {D.convert_plain(D.newlines('html'))} AS markdown FROM pages")(
-    lambda v: M.markdown_pages(_id_pages(v))
+    lambda v: M.markdown_pages(_id_pages(v), _tasks(v))
 )
 
 # ---- text functions ----------------------------------------------------------------------
@@ -525,7 +531,7 @@ _MARKDOWN = f"""SELECT id, {_NAME} || '.md' AS file,
 
 
 def _corpus(v: Views, options: refs.MarkdownOptions = refs.MarkdownOptions()) -> DataFrame:
-    return refs.pages_to_markdown(_storage(v), _page_index(v), v.v_users, options)
+    return refs.pages_to_markdown(_storage(v), _page_index(v), v.v_users, options, tasks=_tasks(v))
 
 
 add("pages_to_markdown", cte(f"{_CONVERTED} {_MARKDOWN}"), "v_storage", "v_users")(lambda v: _corpus(v).drop("images"))
@@ -763,7 +769,7 @@ def _stream_ingest(v: Views) -> DataFrame:
 def _stream_upsert(v: Views) -> DataFrame:
     spark, table = v.pages.sparkSession, _scratch(v, "upserted")
     streams.stream_index_upsert(spark, _land(v), _scratch(v, "progress"), table, SPACE, NOW, files_per_batch=2).awaitTermination()
-    return sinks.read_latest(spark, table, SPACE).drop("page_number")
+    return streams.read_upserted(spark, table, SPACE).drop("page_number")
 
 
 def _page_markdown_sql(source: str) -> str:

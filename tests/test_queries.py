@@ -36,3 +36,28 @@ def test_equals_statement(spark, con, key):
     assert verdict == "ok" and rows > 0, detail
 
 
+
+
+def test_entry_without_the_optional_parts(tmp_path):
+    """A copy of the tree without llm, and one without the pipeline as well, imports and runs a query of the rest."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for name in ("wikitables", "checks"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copy(root / "bench.py", tmp_path)
+    code = (
+        "import __spark_entry__ as e; from bench import session; "
+        f"q = e.queries(); assert not any(k.startswith('op') or k == 'pipeline' for k in q); print('rows', q['slugify'](session(), {SMALL!r}).count())"
+    )
+    pipeline = root / "corpus_pipeline.py"
+    for part in [pipeline, None] if pipeline.exists() else [None]:
+        if part is not None:
+            shutil.copy(part, tmp_path)
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+        assert "rows 50" in done.stdout, done.stderr[-2000:]
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)

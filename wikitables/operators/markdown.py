@@ -16,7 +16,6 @@ from ..functions.regex import (
     EXOTIC, apply_rules, extract, extract_all, java, matches, replace_all, rewrite, rewrite_spans, trim_ws,
 )
 from ..functions.text import child_link, container_id, let, slugify, split_extension, text_decode, url_basename
-from ..plans.storage import spread_scan
 
 # Private-use characters fence what is put in place after the text rules have run.  A page's own such characters are
 # escaped by others meanwhile, so no text of a page can look like a fence.
@@ -476,9 +475,13 @@ def convert_plain(df: DataFrame, column: str, includes: Column | None = None) ->
     return finish_page(df, column)
 
 
-def markdown_pages(pages: DataFrame) -> DataFrame:
-    """Markdown of raw web pages: the text rules alone, no shuffle on large inputs."""
-    scan = spread_scan(pages.select("id", "html")).withColumn("html", normalize_newlines(F.col("html")))
+def markdown_pages(pages: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Markdown of raw web pages: the text rules alone, without a shuffle.
+
+    ``tasks`` deals the pages to so many tasks first, for input files of few splits.
+    """
+    plain = pages.select("id", "html")
+    scan = (plain.repartition(tasks) if tasks else plain).withColumn("html", normalize_newlines(F.col("html")))
     return convert_plain(scan, "html").withColumnRenamed("html", "markdown")
 
 

@@ -8,6 +8,7 @@ A key referred to by very many pages is split (:mod:`wikitables.plans.skew`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from ..functions.text import (
 )
 from ..plans.ranking import ranked
 from ..plans.skew import spread_join
-from ..plans.storage import spread_scan, store
+from ..plans.storage import store
 from . import markdown as M
 from .tree import child_pages
 
@@ -226,16 +227,36 @@ def resolve_includes(
     )
 
 
+# Given page ids, the stored bodies of these pages: ``(id, title, html)``.
+Bodies = Callable[[DataFrame], DataFrame]
+
+
 def resolve_refs(
     pages: DataFrame,
     index: DataFrame,
     users: DataFrame,
     options: MarkdownOptions = MarkdownOptions(),
     overrides: DataFrame | None = None,
+    bodies: Bodies | None = None,
+    found: DataFrame | None = None,
 ) -> DataFrame:
-    """All resolved references ``(id, kind, key, value)``."""
-    refs = store(page_refs(pages, options), "refs")
+    """All resolved references ``(id, kind, key, value)``.
+
+    Included pages are looked for in ``pages`` and, where ``bodies`` is given,
+    among the stored ones; these bring references of their own, which are
+    resolved with the others.  ``found`` are the stored :func:`page_refs` of
+    ``pages``.
+    """
+    refs = store(page_refs(pages, options), "refs") if found is None else found
     targets = store(_title_targets(refs, index, overrides), "targets")
+    includes = targets.where(F.col("kind") == "include")
+    if bodies is not None and not includes.isEmpty():
+        missing = includes.select(F.col("target_id").alias("id")).distinct().join(pages.select("id"), "id", "left_anti")
+        outside = store(bodies(store(missing, "include-targets")), "outside-bodies")
+        theirs = store(page_refs(outside, options).where(F.col("kind") != "include"), "outside-refs")
+        refs = refs.unionByName(theirs)
+        targets = store(targets.unionByName(_title_targets(theirs, index, overrides)), "all-targets")
+        pages = pages.select("id", "title", "html").unionByName(outside.select("id", "title", "html"))
     user_refs = refs.where(F.col("kind").isin("username", "userkey"))
     user_rows = resolve_users(user_refs, users).select(
         "id", "kind", "key", F.substring("label", 2, 1 << 30).alias("value")
@@ -256,6 +277,70 @@ def _link_rows(links: DataFrame, index: DataFrame) -> DataFrame:
     return spread_join(links, files, ["target_id"], "inner").select("id", "kind", F.col("title").alias("key"), "value")
 
 
+# ---- upkeep: which pages a change concerns -------------------------------------------
+
+
+def kept_references(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """The references of each page to keep beside its Markdown, ``(id, kind, key)``; a page without any has a row without kind."""
+    return pages.select("id").join(refs.select("id", "kind", "key"), "id", "left")
+
+
+def including_pages(refs: DataFrame, index: DataFrame, changed: DataFrame) -> DataFrame:
+    """Ids of the pages that include one of the ``changed`` pages."""
+    titled = refs.where(F.col("kind") == "include").select("id", F.col("key").alias("title"))
+    targets = page_by_title(index, titled).select("id", F.col("target_id"))
+    return spread_join(targets, changed.select(F.col("id").alias("target_id")).distinct(), ["target_id"], "left_semi").select("id").distinct()
+
+
+def changed_titles(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Titles that lead to another page than before, or to one or none only now."""
+    old, new = (first_by_title(i) for i in (before, now))
+    both = old.withColumnRenamed("id", "_old").join(new.withColumnRenamed("id", "_new"), "title", "full_outer")
+    return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select("title")
+
+
+def _list_digests(index: DataFrame) -> DataFrame:
+    """Per parent a digest of its child list: the sum of hashes of each child's place and title, partly summed before the shuffle."""
+    children = index.where(F.col("parent_id").isNotNull()).select("parent_id", "pos", "id", "title")
+    placed = ranked(children, ["pos", "id"], "_rank", ["parent_id"])
+    digest = F.sum(F.xxhash64("_rank", "title").cast("decimal(20,0)")).alias("digest")
+    return placed.groupBy(F.col("parent_id").alias("id")).agg(digest)
+
+
+def changed_lists(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Pages whose child list is not what it was."""
+    old, new = (_list_digests(i) for i in (before, now))
+    both = old.withColumnRenamed("digest", "_old").join(new.withColumnRenamed("digest", "_new"), "id", "full_outer")
+    return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select("id")
+
+
+def concerned_pages(refs: DataFrame, before: DataFrame, now: DataFrame, fetched: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
+    """Ids of the pages whose Markdown a change of the index or of bodies may touch: a superset of those it does touch.
+
+    ``refs`` are the references kept of all pages, ``fetched`` the pages with a
+    new body.  The first step finds the pages whose own text changes: they were
+    fetched or renamed, list the children of a page whose list changed, or name
+    a title that leads elsewhere.  Includes expand one level, so the second
+    step, to the pages that include one of these, is the last.
+    """
+    titles, lists = store(changed_titles(before, now), "changed-titles"), store(changed_lists(before, now), "changed-lists")
+    titled = refs.where(F.col("kind").isin("children", "include", "link")).select("id", "kind", F.col("key").alias("title"))
+    elsewhere = spread_join(titled, titles, ["title"], "left_semi").select("id", "kind")
+    own_lists = refs.where(F.col("kind") == "self").select("id").join(lists, "id", "left_semi")
+    listing = page_by_title(now, titled.where(F.col("kind") == "children").select("id", "title")).select("id", "target_id")
+    listing = spread_join(listing, lists.withColumnRenamed("id", "target_id"), ["target_id"], "left_semi").select("id")
+    renamed = now.select("id", "title").join(before.select("id", F.col("title").alias("_was")), "id").where(~F.col("title").eqNullSafe(F.col("_was")))
+    first = fetched.select("id").unionByName(elsewhere.where(F.col("kind") != "include").select("id")).unionByName(own_lists).unionByName(listing)
+    first = store(first.unionByName(renamed.select("id")).distinct(), "changed-pages")
+    second = including_pages(refs, now, first).unionByName(elsewhere.where(F.col("kind") == "include").select("id"))
+    found = first.unionByName(second)
+    if options.resolved_links:  # a link holds the name of its target's file
+        links = page_by_title(now, titled.where(F.col("kind") == "link").select("id", "title")).select("id", "target_id")
+        linking = store(spread_join(links, renamed.select(F.col("id").alias("target_id")), ["target_id"], "left_semi").select("id").distinct(), "linking-pages")
+        found = found.unionByName(linking).unionByName(including_pages(refs, now, linking))
+    return found.distinct()
+
+
 # ---- conversion --------------------------------------------------------------------
 
 
@@ -312,14 +397,21 @@ def pages_to_markdown(
     users: DataFrame,
     options: MarkdownOptions = MarkdownOptions(),
     overrides: DataFrame | None = None,
+    bodies: Bodies | None = None,
+    found: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Markdown of the whole corpus: ``(id, file, markdown, images)``, one row per page.
+    """Markdown of the given pages: ``(id, file, markdown, images)``, one row per page.
 
     ``pages`` has ``id, title, html``; ``index`` has ``pos, id, title,
-    parent_id`` of every page of the space.
+    parent_id`` of every page of the space.  Where ``pages`` are not the whole
+    corpus, ``bodies`` looks included pages up, see :func:`resolve_refs`.
+    ``tasks`` deals the bodies to so many tasks first, for input files of few
+    splits.
     """
-    bodies = spread_scan(pages.select("id", "title", "html"))
-    converted = convert_pages(bodies, resolve_refs(bodies, index, users, options, overrides), options)
+    plain = pages.select("id", "title", "html")
+    plain = plain.repartition(tasks) if tasks else plain
+    converted = convert_pages(plain, resolve_refs(plain, index, users, options, overrides, bodies, found), options)
     name = F.concat(F.col("id"), F.lit("-"), slugify50(F.col("title")))
     head = F.concat(
         front_matter(unslugify(name), F.col("id"), page_url(options.base_url, F.col("id"))), F.lit("\n\n")

@@ -12,14 +12,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
-# Size of one scan task by default.
-SPLIT_BYTES = 128 << 20
 # Tables of the job that runs in this thread, if it drops them at its end.
 _STORED: ContextVar[list[str] | None] = ContextVar("stored", default=None)
 
@@ -57,22 +53,3 @@ def store(df: DataFrame, name: str) -> DataFrame:
         paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Give CPU-bound work enough tasks when the input files yield fewer than the cluster has cores.
-
-    The number and size of the files decide, so nothing runs and nothing but
-    file metadata is read.  A large table has more splits than cores and passes
-    through without a shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    if files:
-        listed = spark.read.format("binaryFile").load([unquote(f) for f in files])
-        if (listed.agg(F.sum("length")).first()[0] or 0) >= cores * SPLIT_BYTES:
-            return df
-    return df.repartition(cores * 2)

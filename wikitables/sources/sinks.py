@@ -57,17 +57,19 @@ def read_latest(spark: SparkSession, table: str, space: str) -> DataFrame | None
     return None if run_id is None else spark.read.parquet(f"{table}/space={space}/run={run_id}")
 
 
-def read_current(spark: SparkSession, table: str, space: str, key: str = "id") -> DataFrame | None:
-    """The state a table of changes has after all finished runs: each key's row of its newest run, with ``run``.
+def read_current(spark: SparkSession, table: str, space: str, key: str = "id", only: DataFrame | None = None) -> DataFrame | None:
+    """The state a table of changes has after all finished runs: each key's rows of its newest run, with ``run``.
 
-    Only keys and run numbers are shuffled to find the newest rows.
+    Only keys and run numbers are shuffled to find the newest rows; with
+    ``only``, a table of keys, the rows of these keys alone are found.
     """
     runs = read_runs(spark, table, space)
     if runs is None:
         return None
     numbers = sorted(r["run_id"] for r in runs.select("run_id").collect())  # one per run
     rows = spark.read.option("basePath", f"{table}/space={space}").parquet(*(f"{table}/space={space}/run={n}" for n in numbers))
-    newest = rows.groupBy(key).agg(F.max("run").alias("run"))
+    keys = rows if only is None else rows.join(only.select(key), key, "left_semi")
+    newest = keys.groupBy(key).agg(F.max("run").alias("run"))
     return rows.join(newest, [key, "run"], "left_semi")
 
 

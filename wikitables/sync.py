@@ -37,7 +37,7 @@ class SyncOptions:
 
 
 # The state tables of a job; all share one count of runs.
-TABLES = ("page_index", "page_tree", "queue", "html", "markdown", "images", "site_tree")
+TABLES = ("page_index", "page_tree", "queue", "html", "markdown", "references", "images", "site_tree")
 
 
 def next_run(spark: SparkSession, o: SyncOptions) -> int:
@@ -86,10 +86,13 @@ def sync_corpus(
 ) -> DataFrame:
     """Bring the state tables up to date and return this run's Markdown.
 
-    Writes the tables page_tree, queue, html, markdown, images (when there are
-    ``attachments``) and site_tree, and last page_index: a page counts as
-    downloaded only after its body and Markdown are stored.  Intermediate
-    tables are deleted at the end.
+    Writes the tables page_tree, queue, html, markdown, references, images
+    (when there are ``attachments``) and site_tree, and last page_index: a page
+    counts as downloaded only after its body and Markdown are stored.  Besides
+    the fetched pages those are converted again that a change may touch (see
+    :func:`refs.concerned_pages`), so that the Markdown table is always what a
+    conversion of all stored bodies would give.  Intermediate tables are
+    deleted at the end.
     """
     with tables_dropped(spark):
         return _sync(spark, options, users, attachments)
@@ -124,10 +127,15 @@ def _sync(spark: SparkSession, o: SyncOptions, users: DataFrame, attachments: Da
 
     listed = readers.scan_page_envelopes(spark, o.landing, ends).where(F.col("space") == o.space)
     bodies = ix.dedupe_by_id(listed.join(wanted, "id", "left_semi").select("pos", "id", F.col("body").alias("html")))
+    kept = sinks.read_current(spark, f"{o.tables}/references", o.space)
+    kept = None if kept is None else store(kept.select("id", "kind", "key"), "kept-references")
     html = write(sinks.html_files(bodies, paths), "html")
     fetched = html.select("id", "html").join(index.select("id", "title", "version"), "id")
 
-    markdown = write(refs.pages_to_markdown(fetched, index, users, o.markdown), "markdown")
+    ids = html.select("id")
+    if kept is not None and previous is not None:
+        ids = ids.unionByName(refs.concerned_pages(kept, previous, index, ids, o.markdown)).distinct()
+    markdown = _converted(spark, o, run_id, store(ids.join(index.select("id"), "id", "left_semi"), "to-convert"), index, users)
     if attachments is not None:
         resolved = refs.resolve_attachments(store(refs.image_manifest(markdown), "manifest"), attachments)
         write(sinks.image_files(resolved, paths), "images")
@@ -141,6 +149,29 @@ def _sync(spark: SparkSession, o: SyncOptions, users: DataFrame, attachments: Da
     return markdown
 
 
+def stored_bodies(spark: SparkSession, options: SyncOptions, index: DataFrame) -> refs.Bodies:
+    """The lookup of stored bodies by id; the bodies of other pages are not moved."""
+
+    def bodies(ids: DataFrame) -> DataFrame:
+        rows = sinks.read_current(spark, f"{options.tables}/html", options.space, only=ids)
+        if rows is None:
+            return spark.createDataFrame([], "id string, title string, html string")
+        return rows.select("id", "html").join(index.select("id", "title"), "id").select("id", "title", "html")
+
+    return bodies
+
+
+def _converted(spark: SparkSession, o: SyncOptions, run_id: int, ids: DataFrame, index: DataFrame, users: DataFrame) -> DataFrame:
+    """Convert the stored bodies of ``ids`` as run ``run_id`` of the tables references and markdown."""
+    bodies = stored_bodies(spark, o, index)
+    pages = store(bodies(ids), "pages")
+    found = store(refs.page_refs(pages, o.markdown), "refs")
+    sinks.write_run(refs.kept_references(pages, found), f"{o.tables}/references", o.space, run_id, o.now)
+    markdown = refs.pages_to_markdown(pages, index, users, o.markdown, bodies=bodies, found=found)
+    sinks.write_run(markdown, f"{o.tables}/markdown", o.space, run_id, o.now)
+    return sinks.read_latest(spark, f"{o.tables}/markdown", o.space)
+
+
 def current_table(spark: SparkSession, options: SyncOptions, table: str) -> DataFrame | None:
     """The html or markdown table as it stands: the newest row of each page that the index still has."""
     rows = sinks.read_current(spark, f"{options.tables}/{table}", options.space)
@@ -149,7 +180,7 @@ def current_table(spark: SparkSession, options: SyncOptions, table: str) -> Data
 
 
 def transform_stored(spark: SparkSession, options: SyncOptions, users: DataFrame) -> DataFrame:
-    """Convert stored bodies that have no Markdown, or an older one; with ``force`` all of them.
+    """Convert stored bodies that have no Markdown, or an older one, or include a page of a newer body; with ``force`` all of them.
 
     ``page_id``, ``subtree`` and ``limit`` narrow the run, the limit in listing
     order over what is left to do, so limited runs go on where the last one
@@ -168,16 +199,24 @@ def _transform(spark: SparkSession, o: SyncOptions, users: DataFrame) -> DataFra
     done = current_table(spark, o, "markdown")
     if done is not None and not o.force:
         made = done.select("id", F.col("run").alias("_made"))
-        pending = pending.join(made, "id", "left").where(F.col("_made").isNull() | (F.col("_made") < F.col("run")))
+        kept = sinks.read_current(spark, f"{o.tables}/references", o.space)
+        older = pending.join(made, "id", "left").where(F.col("_made").isNull() | (F.col("_made") < F.col("run"))).select("id")
+        if kept is not None:
+            older = older.unionByName(_older_than_included(kept, index, pending, made))
+        pending = older.distinct()
     if o.page_id is not None:
         pending = pending.join(_chosen(tree.build_forest(index), o).select("id"), "id", "left_semi")
     listed = pending.join(index.select("id", "pos", "title"), "id").select("id", "pos", "title")
     wanted = store(ix.limit_pages(listed, o.limit) if o.limit else listed, "pending")
-    pages = html.select("id", "html").join(wanted.select("id", "title"), "id")
-    table = f"{o.tables}/markdown"
-    run_id = next_run(spark, o)
-    sinks.write_run(refs.pages_to_markdown(pages, index, users, o.markdown), table, o.space, run_id, o.now)
-    return sinks.read_latest(spark, table, o.space)
+    return _converted(spark, o, next_run(spark, o), wanted.select("id"), index, users)
+
+
+def _older_than_included(kept: DataFrame, index: DataFrame, html: DataFrame, made: DataFrame) -> DataFrame:
+    """Ids of the pages whose Markdown is older than the body of a page they include."""
+    titled = kept.where(F.col("kind") == "include").select("id", F.col("key").alias("title"))
+    bodies = html.select(F.col("id").alias("target_id"), F.col("run").alias("_body"))
+    dated = refs.page_by_title(index, titled).join(bodies, "target_id").join(made, "id")
+    return dated.where(F.col("_made") < F.col("_body")).select("id").distinct()
 
 
 def migrate_sidecars(spark: SparkSession, options: SyncOptions, root: str) -> DataFrame:
