@@ -14,7 +14,7 @@ from wikitables.functions import text as T
 from wikitables.functions.regex import extract_all
 from wikitables.operators import index_ops as ix
 from wikitables.operators import markdown as M
-from wikitables.operators import refs, tree
+from wikitables.operators import intervals, refs, tree
 from wikitables.plans.storage import checkpoint_folder, store
 from wikitables.schemas import INDEX_COLUMNS, META_COLUMNS
 from wikitables.sources import readers, sinks
@@ -378,6 +378,23 @@ add("cycle_pages", cte(f"{_CHAIN_FOREST} SELECT pos, id, title, parent_id FROM v
     lambda v: (lambda i: tree.cycle_pages(i, tree.build_forest(i)))(store(_chain_index(v), "chains"))
 )
 
+_LABELS = f"""{_RANKS}, sizes AS (SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM forest) GROUP BY id),
+ labels AS (SELECT f.id, f.parent_id, f.root_id, f.depth, row_number() OVER (ORDER BY f.path) AS enter, s.n FROM forest f JOIN sizes s ON s.id = f.id)"""
+add("interval_forest", cte(f"{_LABELS} SELECT id, parent_id, root_id, depth, enter, enter + n - 1 AS leave FROM labels"), "v_tree")(
+    lambda v: intervals.label_intervals(v.v_tree).select("id", "parent_id", "root_id", "depth", "enter", "leave")
+)
+add("interval_subtree", cte(f"{_LABELS} SELECT id, enter, depth - 1 AS depth FROM labels WHERE id IN (SELECT id FROM forest WHERE list_contains(ids, 'N3'))"), "v_tree")(
+    lambda v: intervals.subtree(intervals.write_intervals(intervals.label_intervals(v.v_tree), _scratch(v, "labels")), "N3").select("id", "enter", "depth")
+)
+add(
+    "interval_chains",
+    cte(f"{_CHAIN_FOREST} SELECT s.id, CAST(len(chain) - 1 AS INT) AS depth, s.chain[1] AS root_id, (SELECT count(*) FROM steps t WHERE list_contains(t.chain, s.id)) AS below FROM steps s"),
+    "v_chains",
+)(lambda v: intervals.label_intervals(_chain_index(v)).select("id", "depth", "root_id", (F.col("leave") - F.col("enter") + 1).alias("below")))
+add("is_below", cte(f"{_CHAIN_FOREST} SELECT c.id, c.parent_id AS above, s.id IS NOT NULL AS below FROM v_chains c LEFT JOIN steps s ON s.id = c.id WHERE c.parent_id IS NOT NULL"), "v_chains")(
+    lambda v: intervals.is_below(intervals.label_intervals(_chain_index(v)), _chain_index(v).where("parent_id is not null").select("id", F.col("parent_id").alias("above")))
+)
+
 # ---- references ---------------------------------------------------------------------------------------
 
 _DIMS = f"""lists AS (SELECT parent_id, string_agg({D.child_link('title')}, chr(10) ORDER BY pos) || chr(10) || chr(10) AS list FROM v_pages WHERE parent_id IS NOT NULL GROUP BY parent_id),
