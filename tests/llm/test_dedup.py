@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wikitables.llm import exact_dedup, simhash, substring_dedup
+from wikitables.llm import exact_dedup, near_dedup, simhash, substring_dedup
 from wikitables.llm.components import components
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -244,3 +244,31 @@ def test_near_stage_links_by_similarity(stored_docs, no_docs):
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").collect()}
     assert kept == wanted | {1000}
     assert corpus_pipeline.near_dedup(docs.sparkSession, no_docs, "").count() == 0
+
+
+@pytest.mark.parametrize("cell", [near_dedup.CELL, 60])
+def test_near_stage_in_a_group_about_the_threshold(stored_docs, monkeypatch, cell):
+    """Hundreds of copies with some 4 to 9 of 300 words changed: links cost no pairs, and of all pairs alike few are missed."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 501):
+        text = list(base)
+        for at in rng.sample(range(300), rng.randint(4, 9)):
+            text[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(text)))
+    docs = stored_docs(rows)
+    plain = docs.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
+    _, links = near_dedup.near_links(plain)
+    ids = {r["row"]: r["id"] for r in plain.select("id", "row").collect()}
+    links = [(ids[r["u"]], ids[r["v"]]) for r in links.collect()]
+    sets = {i: np.unique(np.concatenate(list(near_dedup.shingles(t)))) for i, t in rows}
+    assert all(near_dedup.are_alike(sets[u], sets[v]) for u, v in links) and len(links) < 24 * len(rows)
+    forest = near_dedup.Forest()
+    for u, v in links:
+        forest.above[forest.root(u)] = forest.root(v)
+    alike = [(u, v) for u in sets for v in sets if u < v and near_dedup.are_alike(sets[u], sets[v])]
+    connected = sum(forest.root(u) == forest.root(v) for u, v in alike)
+    print(len(alike), connected, len(links))
+    assert len(alike) > 300 and connected >= 0.99 * len(alike)

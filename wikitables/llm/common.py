@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +28,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+# Parquet looks at a page's and a row group's size after 100 rows; where rows are large it must do so after each.
+LARGE_ROWS = {
+    "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1,
+    "parquet.block.size.row.check.max": 1, "parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false",
+}
+
+
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage is cut, the rows survive lost executors, and Spark knows their
@@ -35,14 +43,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows while the block runs, for jobs over rows of a megabyte."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has that column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_text(column: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, stored, table, whole_text
+from .common import BLANK, stored, table, unused_name, whole_text
 
 
 def content_hash(text: Column) -> Column:
@@ -89,8 +89,9 @@ def classify(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.  ``docs`` must be a stored table: it is read again."""
     gone = classify(docs, id_col, text_col).where(~F.col("kept")).select("_row")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(gone, "_row", "left_anti").select(*(docs[c] for c in docs.columns))
+    number = unused_name(docs, "_row")
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    return numbered.join(gone.withColumnRenamed("_row", number), number, "left_anti").select(*(docs[c] for c in docs.columns))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
