@@ -62,7 +62,7 @@ def phrase_texts(hard):
     return texts
 
 
-@pytest.mark.parametrize("bounds", [collocations.Bounds(), collocations.Bounds(64, 8, 200, 7)])
+@pytest.mark.parametrize("bounds", [collocations.Bounds(), collocations.Bounds(64, 8, 200, 300, 7)])
 def test_collocations(spark, hard, tmp_path, bounds):
     """Also with small blocks, bursting containers, spills and a filter that lets nearly everything through."""
     texts = phrase_texts(hard)
@@ -89,12 +89,12 @@ def test_tries_burst_and_spill_sorted_runs():
         if trie.entries > 4000:
             runs += trie.spill(2000)
             assert trie.entries <= 2000
-    assert max(len(p) for p, _ in trie.roots["en"].subtrees()) >= 1
+    assert max(len(p) for p, _ in trie.roots["en", 3].subtrees()) >= 1
     runs += trie.spill(0)
     merged = Counter()
     for lang, phrases, counts in runs:
-        assert lang == "en" and list(phrases) == sorted(phrases)
-        merged.update(dict(zip(phrases, counts, strict=True)))
+        assert lang == "en" and phrases.to_pylist() == sorted(phrases.to_pylist())
+        merged.update(dict(zip(phrases.to_pylist(), counts.tolist(), strict=True)))
     assert merged == wanted and not trie.entries
 
 

@@ -3,30 +3,32 @@
 Texts are lower-cased (A to Z), cut into pieces at ``.,;:!?`` and line ends and
 into words at spaces and tabs.  They are read once: each task numbers the words
 of a block of some 250,000 words of one language and stores the block as
-numbers with its word list.  Phrases of k = 1 to 5 words are then counted level
-by level over the blocks:
-
-1. A task keeps a HAT-trie: a shallow trie over word numbers (language, first
-   word, second word, ...) whose leaves are hash containers from the rest of a
-   phrase to its count.  A container that outgrows its bound bursts: the words
-   that begin many of its phrases get containers of their own one level deeper,
-   the others stay together.
-2. Beyond a number of entries whole subtrees are spilled, the largest first,
+numbers with its word list.  Phrases of 1 to 5 words are counted over the blocks:
+
+1. Filters.  For k = 1 to 5 the 44-bit hashes of the phrases of k words are
+   counted, packed five bytes or so a phrase: tasks sum them up block by block
+   and deal them by their first 12 bits, and one 4096th at a time is summed.
+   Hashes that reach the least count go into a Bloom filter of one size
+   whatever the size of the corpus.  A phrase never occurs more often than a
+   part of it, so phrases of k words are looked at only where the filter has
+   both their parts of k - 1 words.  Collisions and false positives cost work,
+   never results, and no phrase that is frequent is left out; the more phrases
+   are frequent, the less the filters spare.
+2. Counts.  One pass counts the phrases that pass the filters, exactly.  A task
+   keeps HAT-tries: a shallow trie over word numbers (language, first word,
+   second word, ...) whose leaves are hash containers from the rest of a phrase
+   to its count.  A container that outgrows its bound bursts: the words that
+   begin many of its phrases get containers of their own one level deeper, the
+   others stay together.
+3. Beyond a number of entries whole subtrees are spilled, the largest first,
    as runs sorted by phrase; at the end the rest is.  Runs are dealt by language
    and the first three words, and merged (summed) per prefix partition.
-3. A phrase of k words is counted only where both its parts of k - 1 words may
-   have reached the least count; a phrase never occurs more often than a part,
-   so this drops no candidate.  "May have" is a Bloom filter of the phrases
-   that have, of one size whatever the size of the corpus.  Its false positives
-   cost work, never results: the more phrases are frequent, the less it
-   spares, and with no effect left each occurrence of a phrase is counted once
-   per level.
 
 The counts are exact, as are the scores: decimals of 38 digits hold the
 products, and their quotient fits 64 bits, since l and r are a at least.
 
-Memory: one block, the trie's entries and the filter per task (``Bounds``),
-whatever the corpus.  A frequent phrase is one entry per task, and what begins
+Memory: one block, the hashes or trie entries held and the filters per task
+(``Bounds``), whatever the corpus.  A frequent phrase is one entry per task, and what begins
 with a frequent word is spread by the words that follow it.  The best 2000 of a
 language are first taken within parts of it.
 
@@ -38,17 +40,19 @@ empty table; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table, whole_text
+from .common import LARGE_ROWS, rows_per_batch, stored, table, whole_text
 
 LONGEST = 5
 LEAST = 100
@@ -70,8 +74,9 @@ class Bounds:
 
     block: int = 1 << 18  # words of a block
     burst: int = 1 << 14  # phrases of a container
-    entries: int = 400_000  # phrases of a trie
-    filter_bits: int = 25  # the power of two of the Bloom filter's bits
+    entries: int = 150_000  # phrases of a task's tries
+    hashes: int = 1 << 21  # hashes of a task
+    filter_bits: int = 25  # the power of two of a Bloom filter's bits
 
 
 def token_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -209,43 +214,48 @@ class Node:
 
 
 class HatTrie:
-    """Counts of phrases of one length per language, spilled as sorted runs."""
+    """Counts of phrases, a trie per language and length, spilled as sorted runs."""
 
     def __init__(self, burst: int = Bounds.burst) -> None:
         self.burst = burst
         self.numbers = Numbers()
-        self.roots: dict[str, Node] = {}
+        self.roots: dict[tuple[str, int], Node] = {}
         self.entries = 0
 
     def add(self, lang: str, rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> None:
         """``rows`` numbers the words of one block, ``words[n - 1]`` is the word of the number n."""
         used, place = np.unique(rows, return_inverse=True)
         own = np.fromiter((self.numbers[words[n - 1]] for n in used.tolist()), np.uint32, len(used))
-        self.entries += self.roots.setdefault(lang, Node(self.burst)).add(own[place.reshape(rows.shape)], counts)
+        self.entries += self.roots.setdefault((lang, rows.shape[1]), Node(self.burst)).add(own[place.reshape(rows.shape)], counts)
 
-    def spill(self, down_to: int) -> Iterator[tuple[str, list[bytes], list[int]]]:
-        """Runs (language, phrases in order, counts) of whole subtrees, the largest first, until ``down_to`` entries are left."""
-        words = list(self.numbers)
-        found = [(len(node.container), lang, prefix, node) for lang, root in self.roots.items() for prefix, node in root.subtrees()]
-        for size, lang, prefix, node in sorted(found, key=lambda f: -f[0]):
+    def spill(self, down_to: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+        """Sorted runs (language, phrases, counts) of whole subtrees, the largest first, until ``down_to`` entries are left."""
+        found = [(len(node.container), kind, prefix, node) for kind, root in self.roots.items() for prefix, node in root.subtrees()]
+        taken: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size, kind, prefix, node in sorted(found, key=lambda f: -f[0]):
             if self.entries <= down_to or not size:
                 break
-            ids = np.frombuffer(b"".join(node.container), "<u4").reshape(size, -1)
-            rest = map(words.__getitem__, ids.ravel().tolist())
-            phrases = map(b" ".join, zip(*[rest] * ids.shape[1], strict=True))
-            if prefix:
-                above = b" ".join([words[n] for n in prefix]) + b" "
-                phrases = map(above.__add__, phrases)
-            phrases, counts = zip(*sorted(zip(phrases, node.container.values(), strict=True)), strict=True)
+            rest = np.frombuffer(b"".join(node.container), "<u4").reshape(size, -1)
+            above = np.broadcast_to(np.array(prefix, "<u4"), (size, len(prefix)))
+            taken.setdefault(kind, []).append((np.hstack([above, rest]), np.fromiter(node.container.values(), np.int64, size)))
             node.container = {}
             self.entries -= size
-            yield lang, phrases, counts
+        words = pa.array(list(self.numbers), pa.binary())
+        place = np.empty(len(words), np.int64)
+        place[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
+        for (lang, _), parts in taken.items():
+            rows, counts = np.vstack([r for r, _ in parts]), np.concatenate([n for _, n in parts])
+            order = np.lexsort(place[rows].T[::-1])
+            columns = [words.take(pa.array(c)) for c in rows[order].T]
+            yield lang, pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())), counts[order]
         if not self.entries:
             self.numbers, self.roots = Numbers(), {}
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), "<u8").astype(_U)
+def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
+    """64 bits of each word of a language; the first, of the number 0, is that of no word."""
+    seed = zlib.crc32(lang.encode())
+    return np.frombuffer(b"".join(xxhash.xxh64_digest(w, seed) for w in [b"", *words]), "<u8").astype(_U)
 
 
 def _joined(one: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -255,97 +265,146 @@ def _joined(one: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> _U(32))
 
 
-def _places(bits: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Three bits of the filter."""
-    last = _U(64 * len(bits) - 1)
-    return hashed & last, (hashed >> _U(32)) & last, (hashed * _PRIME >> _U(16)) & last
+def _places(bits: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Three bits of the filter for the first 44 bits of a hash."""
+    last, mixed = _U(64 * len(bits) - 1), keys * _PRIME
+    return keys & last, (mixed >> _U(8)) & last, (mixed >> _U(30)) & last
 
 
 def _may_be(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     found = np.ones(len(hashed), bool)
-    for place in _places(bits, hashed):
+    for place in _places(bits, hashed >> _U(20)):
         found &= (bits[place >> _U(6)] >> (place & _U(63))) & _U(1) == 1
     return found
 
 
-def phrase_filter(phrases: DataFrame, width: int, filter_bits: int) -> np.ndarray:
-    """The Bloom filter of phrases of ``width`` words: 2 ** ``filter_bits`` bits, set on Spark, whatever their number."""
+Level = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def block_levels(ids: np.ndarray, words: list[bytes], lang: str, filters: list[np.ndarray], longest: int) -> Iterator[Level]:
+    """Of a block, by length: the length, a place of each phrase that may be frequent by its parts, its count and its hash."""
+    starts, ids = ids < _CONTEXT, (ids & np.uint32(_CONTEXT - 1)).astype(np.int64)
+    at, gram, hashes = np.flatnonzero(ids), ids, _word_hashes(words, lang)
+    hashed = np.zeros(1, _U)
+    for k in range(1, longest + 1):
+        if k > 1:  # both parts are there: gram numbers the shorter phrase that starts at a place, or is negative
+            at = at[at + 1 < len(ids)]
+            at = at[gram[at + 1] >= 0]
+        before = gram[at] << 32 if k > 1 else 0
+        pairs, first, place = np.unique(before | ids[at + k - 1], return_index=True, return_inverse=True)
+        hashed = _joined(hashed[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
+        counts = np.bincount(place[starts[at]], minlength=len(pairs))
+        used = counts > 0
+        yield k, at[first][used], counts[used], hashed[used]
+        if k < longest:
+            allowed = _may_be(filters[k - 1], hashed)[place]
+            at, place = at[allowed], place[allowed]
+            gram = np.full(len(ids), -1)
+            gram[at] = place
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    for batch in batches:
+        for lang, ids, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            yield lang, np.frombuffer(ids.as_buffer(), "<u4"), words.as_buffer().to_pybytes().split()
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(counts[order], heads) if len(keys) else counts
+
+
+def phrase_filter(blocks: DataFrame, width: int, filters: list[np.ndarray], least: int, bounds: Bounds) -> np.ndarray:
+    """The Bloom filter of the hashes that phrases of ``width`` words have ``least`` times or more."""
+    shipped = blocks.sparkSession.sparkContext.broadcast(filters)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            group = (keys >> _U(32)).astype(np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            low, n = keys.astype("<u4"), np.minimum(counts, least).astype("<u4")
+            stops = [*heads[1:].tolist(), len(keys)]
+            rows = [(low[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(heads.tolist(), stops, strict=True)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(group[heads], pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+                ["part", "hashes", "counts"],
+            )
+
+        for lang, ids, words in _blocks_of(batches):
+            for k, _, counts, hashed in block_levels(ids, words, lang, shipped.value, width):
+                if k == width and len(counts):
+                    parts.append((hashed >> _U(20), counts))
+                    held += len(counts)
+            if held >= bounds.hashes:
+                yield packed()
+                parts, held = [], 0
+        if held:
+            yield packed()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of their parts."""
+        bits, group, parts = np.zeros(1 << (bounds.filter_bits - 6), _U), None, []
+
+        def close() -> None:
+            keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            for place in _places(bits, keys[counts >= least].astype(_U) | (_U(group) << _U(32))):
+                np.bitwise_or.at(bits, place >> _U(6), _U(1) << (place & _U(63)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (filter_bits - 6), _U)
         for batch in batches:
-            if batch.num_rows:
-                hashes = _word_hashes(" ".join(batch.column(0).to_pylist()).encode().split(b" ")).reshape(-1, width)
-                hashed = hashes[:, 0]
-                for k in range(1, width):
-                    hashed = _joined(hashed, hashes[:, k])
-                for place in _places(bits, hashed):
-                    np.bitwise_or.at(bits, place >> _U(6), _U(1) << (place & _U(63)))
+            for part, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if part != group and parts:
+                    close()
+                    parts = []
+                group = part
+                parts.append((np.frombuffer(hashes, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)))
+        if parts:
+            close()
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(bits[used].view(np.int64))], ["slot", "bits"])
 
-    found = phrases.select("phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << (filter_bits - 6), _U)
+    hashed = blocks.mapInArrow(count, "part int, hashes binary, counts binary").repartition("part").sortWithinPartitions("part")
+    found = hashed.mapInArrow(add, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (bounds.filter_bits - 6), _U)
     bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(_U)
     return bits
 
 
-def block_phrases(ids: np.ndarray, words: list[bytes], width: int, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The phrases of ``width`` words of a block, as rows of its word numbers, and their counts; filters of the shorter lengths thin them out."""
-    starts, ids = ids < _CONTEXT, (ids & np.uint32(_CONTEXT - 1)).astype(np.int64)
-    if width == 1:
-        counts = np.bincount(ids[starts], minlength=len(words) + 1)
-        counts[0] = 0
-        found = np.flatnonzero(counts)
-        return found.reshape(-1, 1), counts[found]
-    hashes = np.concatenate([np.zeros(1, _U), _word_hashes(words)])
-    allowed = _may_be(filters[0], hashes)
-    allowed[0] = False
-    gram = np.where(allowed[ids], ids, -1)  # the number of the shorter phrase that starts here
-    at, hashed = np.flatnonzero(gram >= 0), hashes
-    for k in range(2, width + 1):
-        at = at[at + 1 < len(ids)]
-        at = at[gram[at + 1] >= 0]
-        if k == width:
-            at = at[starts[at]]
-        pairs, first, place, counts = np.unique((gram[at] << 32) | ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-        if k == width:
-            return ids[at[first][:, None] + np.arange(width)], counts
-        hashed = _joined(hashed[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
-        allowed = _may_be(filters[k - 1], hashed)[place]
-        gram = np.full(len(ids), -1)
-        at, place = at[allowed], place[allowed]
-        gram[at] = place
-    raise AssertionError("not reached")
-
-
-def phrase_counts(blocks: DataFrame, width: int, filters: list[np.ndarray], bounds: Bounds) -> DataFrame:
-    """(lang, phrase, f) of phrases of ``width`` words; for one word also the number of all words, as the phrase ''."""
+def phrase_counts(blocks: DataFrame, filters: list[np.ndarray], bounds: Bounds) -> DataFrame:
+    """(lang, phrase, width, f) of the phrases the filters have, and the number of all words of a language as the phrase ''."""
     shipped = blocks.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, totals, most = HatTrie(bounds.burst), {}, bounds.entries
+        tries, totals, most = HatTrie(bounds.burst), {}, bounds.entries
 
-        def batch_of(lang: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
-            columns = [pa.array([lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+        def batch_of(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.repeat(lang, len(phrases)), phrases.cast(pa.string()), pa.array(counts, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
-        for batch in batches:
-            for lang, ids, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                words = words.as_buffer().to_pybytes().split()
-                rows, counts = block_phrases(np.frombuffer(ids.as_buffer(), "<u4"), words, width, shipped.value)
-                totals[lang] = totals.get(lang, 0) + int(counts.sum())
-                # A part of the block at a time, so that the trie stays near its bound.
+        for lang, ids, words in _blocks_of(batches):
+            plain = (ids & np.uint32(_CONTEXT - 1)).astype(np.int64)
+            for k, at, counts, hashed in block_levels(ids, words, lang, shipped.value, len(filters)):
+                if k == 1:
+                    totals[lang] = totals.get(lang, 0) + int(counts.sum())
+                passed = _may_be(shipped.value[k - 1], hashed)
+                rows, counts = plain[at[passed][:, None] + np.arange(k)], counts[passed]
+                # A part of the block at a time, so that the tries stay near their bound.
                 for lo in range(0, len(rows), most // 4):
-                    trie.add(lang, rows[lo : lo + most // 4], counts[lo : lo + most // 4], words)
-                    if trie.entries > most:
-                        yield from (batch_of(*r) for r in trie.spill(0 if len(trie.numbers) > most else most // 2))
-        yield from (batch_of(*r) for r in trie.spill(0))
-        if width == 1:
-            yield from (batch_of(lang, [b""], [n]) for lang, n in totals.items())
+                    tries.add(lang, rows[lo : lo + most // 4], counts[lo : lo + most // 4], words)
+                    if tries.entries > most:
+                        yield from (batch_of(*r) for r in tries.spill(0 if len(tries.numbers) > most else most // 2))
+        yield from (batch_of(*r) for r in tries.spill(0))
+        yield from (batch_of(lang, pa.array([b""]), [n]) for lang, n in totals.items())
 
     runs = blocks.mapInArrow(run, "lang string, phrase string, f long").withColumn("head", F.substring_index("phrase", " ", 3))
-    return runs.repartition("lang", "head").groupBy("lang", "head", "phrase").agg(F.sum("f").alias("f")).drop("head")
+    merged = runs.repartition("lang", "head").groupBy("lang", "head", "phrase").agg(F.sum("f").alias("f"))
+    return merged.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("width"), "f")
 
 
 def frequent_phrases(
@@ -354,20 +413,16 @@ def frequent_phrases(
     """(lang, n), the number of words, and (lang, phrase, width, f) of phrases of up to ``longest`` words that occur ``least`` times."""
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"longest is 2 to {LONGEST}")
-    blocks = stored(token_blocks(docs, text_col, lang_col, bounds.block), "phrase-blocks")
-    totals, found, filters = None, None, []
-    for width in range(1, longest + 1):
-        counted = phrase_counts(blocks, width, filters, bounds).where((F.col("f") >= least) | (F.col("phrase") == ""))
-        level = stored(counted.withColumn("width", F.lit(width)), "phrase-counts")
-        if width == 1:
-            totals = level.where("phrase = ''").select("lang", F.col("f").alias("n"))
-            level = level.where("phrase <> ''")
-        found = level if found is None else found.unionByName(level)
-        if level.isEmpty():
-            break
-        if width < longest:
-            filters.append(phrase_filter(level, width, bounds.filter_bits))
-    return totals, found
+    blocks = stored(token_blocks(docs, text_col, lang_col, bounds.block), "phrase-blocks", **LARGE_ROWS)
+    filters: list[np.ndarray] = []
+    with rows_per_batch(docs.sparkSession, 2):
+        for width in range(1, longest + 1):
+            filters.append(phrase_filter(blocks, width, filters, least, bounds))
+            if not filters[-1].any():  # nor has any longer phrase
+                break
+        counted = phrase_counts(blocks, filters, bounds).where((F.col("f") >= least) | (F.col("phrase") == ""))
+        found = stored(counted, "phrase-counts")
+    return found.where("phrase = ''").select("lang", F.col("f").alias("n")), found.where("phrase <> ''")
 
 
 def collocations(
