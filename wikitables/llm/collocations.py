@@ -21,8 +21,9 @@ numbers with its word list.  Phrases of 1 to 5 words are counted over the blocks
    begin many of its phrases get containers of their own one level deeper, the
    others stay together.
 3. Beyond a number of entries whole subtrees are spilled, the largest first,
-   as runs sorted by phrase; at the end the rest is.  Runs are dealt by language
-   and the first three words, and merged (summed) per prefix partition.
+   as runs sorted by phrase; at the end the rest is.  Runs are cut by language
+   and hashed first three words, and merged (summed) per prefix partition, one
+   4096th of the phrases at a time.
 
 The counts are exact, as are the scores: decimals of 38 digits hold the
 products, and their quotient fits 64 bits, since l and r are a at least.
@@ -61,8 +62,12 @@ TOP = 2000
 INSIDE = 100
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
-# Words of a block that are followed only: no phrase starts with them there.
+# The mark, in a block's 32-bit numbers, of words that are followed only: no phrase starts with them there.
 _CONTEXT = 1 << 31
+# Blocks of fewer different words are stored as 16-bit numbers, their highest bit being the mark.
+_NARROW = 1 << 15
+# Prefix partitions: phrases of one language and the same first three words share one.
+_PARTS = 4096
 # A byte that no UTF-8 text holds stands for the end of a piece.
 _END = b"\xff"
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _END * 10)
@@ -74,7 +79,7 @@ class Bounds:
 
     block: int = 1 << 18  # words of a block
     burst: int = 1 << 14  # phrases of a container
-    entries: int = 150_000  # phrases of a task's tries
+    entries: int = 250_000  # phrases of a task's tries
     hashes: int = 1 << 21  # hashes of a task
     filter_bits: int = 25  # the power of two of a Bloom filter's bits
 
@@ -117,7 +122,10 @@ class Block:
         self.size += len(ids)
 
     def columns(self) -> tuple[bytes, bytes]:
-        return np.concatenate(self.parts).tobytes(), b" ".join(list(self.numbers)[1:])
+        ids = np.concatenate(self.parts)
+        if len(self.numbers) <= _NARROW:
+            ids = (ids & np.uint32(_NARROW - 1) | (ids >> np.uint32(16)) & np.uint32(_NARROW)).astype("<u2")
+        return ids.tobytes(), b" ".join(list(self.numbers)[1:])
 
 
 def token_blocks(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFrame:
@@ -133,7 +141,7 @@ def token_blocks(docs: DataFrame, text_col: str, lang_col: str, size: int) -> Da
 
         def added(lang: str, found: list[bytes], context: list[bytes]) -> Iterator[pa.RecordBatch]:
             blocks.setdefault(lang, Block()).add(found, context)
-            if blocks[lang].size >= size:
+            if blocks[lang].size >= size or len(blocks[lang].numbers) > _NARROW - 2048:
                 yield closed(lang)
             elif len(blocks) > 8 and sum(b.size for b in blocks.values()) > 4 * size:
                 yield closed(max(blocks, key=lambda k: blocks[k].size))
@@ -306,7 +314,11 @@ def block_levels(ids: np.ndarray, words: list[bytes], lang: str, filters: list[n
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
     for batch in batches:
         for lang, ids, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            yield lang, np.frombuffer(ids.as_buffer(), "<u4"), words.as_buffer().to_pybytes().split()
+            words = words.as_buffer().to_pybytes().split()
+            ids = np.frombuffer(ids.as_buffer(), "<u2" if len(words) < _NARROW else "<u4").astype(np.uint32)
+            if len(words) < _NARROW:
+                ids = ids & np.uint32(_NARROW - 1) | (ids & np.uint32(_NARROW)) << np.uint32(16)
+            yield lang, ids, words
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,16 +388,26 @@ def phrase_filter(blocks: DataFrame, width: int, filters: list[np.ndarray], leas
     return bits
 
 
-def phrase_counts(blocks: DataFrame, filters: list[np.ndarray], bounds: Bounds) -> DataFrame:
-    """(lang, phrase, width, f) of the phrases the filters have, and the number of all words of a language as the phrase ''."""
+def phrase_counts(blocks: DataFrame, filters: list[np.ndarray], least: int, bounds: Bounds) -> DataFrame:
+    """(lang, phrase, width, f) of the phrases that occur ``least`` times, and the number of all words of a language as the phrase ''."""
     shipped = blocks.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries, totals, most = HatTrie(bounds.burst), {}, bounds.entries
 
         def batch_of(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.repeat(lang, len(phrases)), phrases.cast(pa.string()), pa.array(counts, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+            """A run, cut by prefix partition: the phrases, a line each in their order, and their counts."""
+            seed, parts = zlib.crc32(lang.encode()), {}
+            for phrase, n in zip(phrases.to_pylist(), counts.tolist(), strict=True):
+                lines, numbers = parts.setdefault(zlib.crc32(b" ".join(phrase.split(b" ", 3)[:3]), seed) % _PARTS, ([], []))
+                lines.append(phrase)
+                numbers.append(n)
+            columns = [
+                pa.array(list(parts), pa.int32()), pa.repeat(lang, len(parts)),
+                pa.array([b"\n".join(lines) for lines, _ in parts.values()], pa.binary()),
+                pa.array([np.array(numbers, "<i8").tobytes() for _, numbers in parts.values()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "counts"])
 
         for lang, ids, words in _blocks_of(batches):
             plain = (ids & np.uint32(_CONTEXT - 1)).astype(np.int64)
@@ -400,10 +422,28 @@ def phrase_counts(blocks: DataFrame, filters: list[np.ndarray], bounds: Bounds)
                     if tries.entries > most:
                         yield from (batch_of(*r) for r in tries.spill(0 if len(tries.numbers) > most else most // 2))
         yield from (batch_of(*r) for r in tries.spill(0))
-        yield from (batch_of(lang, pa.array([b""]), [n]) for lang, n in totals.items())
+        yield from (batch_of(lang, pa.array([b""]), np.array([n])) for lang, n in totals.items())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of part and language."""
+        group, sums = (0, ""), {}
 
-    runs = blocks.mapInArrow(run, "lang string, phrase string, f long").withColumn("head", F.substring_index("phrase", " ", 3))
-    merged = runs.repartition("lang", "head").groupBy("lang", "head", "phrase").agg(F.sum("f").alias("f"))
+        def merged() -> pa.RecordBatch:
+            kept = [(p, n) for p, n in sums.items() if n >= least or not p]
+            columns = [pa.repeat(group[1], len(kept)), pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()), pa.array([n for _, n in kept], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for part, lang, phrases, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, lang) != group:
+                    yield merged()
+                    group, sums = (part, lang), {}
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(counts, "<i8").tolist(), strict=True):
+                    sums[phrase] = sums.get(phrase, 0) + n
+        yield merged()
+
+    runs = blocks.mapInArrow(run, "part int, lang string, phrases binary, counts binary")
+    merged = runs.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, phrase string, f long")
     return merged.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("width"), "f")
 
 
@@ -420,8 +460,7 @@ def frequent_phrases(
             filters.append(phrase_filter(blocks, width, filters, least, bounds))
             if not filters[-1].any():  # nor has any longer phrase
                 break
-        counted = phrase_counts(blocks, filters, bounds).where((F.col("f") >= least) | (F.col("phrase") == ""))
-        found = stored(counted, "phrase-counts")
+        found = stored(phrase_counts(blocks, filters, least, bounds), "phrase-counts")
     return found.where("phrase = ''").select("lang", F.col("f").alias("n")), found.where("phrase <> ''")
 
 
