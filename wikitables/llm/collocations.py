@@ -5,9 +5,11 @@ into words at spaces and tabs.  They are read once: each task numbers the words
 of a block of some 250,000 words of one language and stores the block as
 numbers with its word list.  Phrases of 1 to 5 words are counted over the blocks:
 
-1. Filters.  For k = 1 to 5 the 44-bit hashes of the phrases of k words are
-   counted, packed five bytes or so a phrase: tasks sum them up block by block
-   and deal them by their first 12 bits, and one 4096th at a time is summed.
+1. Filters.  For k = 1 to 5 the 36-bit hashes of the phrases of k words are
+   counted: tasks sum them up block by block, sort them and deal them by their
+   first 12 bits, as differences of neighbours in byte planes, compressed to two
+   or three bytes a phrase; one 4096th at a time is summed.  Beyond some 10^10
+   different phrases more bits (``Bounds.hash_bits``) keep the filters sharp.
    Hashes that reach the least count go into a Bloom filter of one size
    whatever the size of the corpus.  A phrase never occurs more often than a
    part of it, so phrases of k words are looked at only where the filter has
@@ -22,8 +24,8 @@ numbers with its word list.  Phrases of 1 to 5 words are counted over the blocks
    others stay together.
 3. Beyond a number of entries whole subtrees are spilled, the largest first,
    as runs sorted by phrase; at the end the rest is.  Runs are cut by language
-   and hashed first three words, and merged (summed) per prefix partition, one
-   4096th of the phrases at a time.
+   and hashed first three words, compressed, and merged (summed) per prefix
+   partition, one 4096th of the phrases at a time.
 
 The counts are exact, as are the scores: decimals of 38 digits hold the
 products, and their quotient fits 64 bits, since l and r are a at least.
@@ -49,6 +51,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,6 +85,7 @@ class Bounds:
     entries: int = 250_000  # phrases of a task's tries
     hashes: int = 1 << 21  # hashes of a task
     filter_bits: int = 25  # the power of two of a Bloom filter's bits
+    hash_bits: int = 36  # bits of a phrase's hash, 13 to 44
 
 
 def token_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -274,14 +278,14 @@ def _joined(one: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _places(bits: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Three bits of the filter for the first 44 bits of a hash."""
+    """Three bits of the filter for the first bits of a hash."""
     last, mixed = _U(64 * len(bits) - 1), keys * _PRIME
     return keys & last, (mixed >> _U(8)) & last, (mixed >> _U(30)) & last
 
 
-def _may_be(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    found = np.ones(len(hashed), bool)
-    for place in _places(bits, hashed >> _U(20)):
+def _may_be(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
+    for place in _places(bits, keys):
         found &= (bits[place >> _U(6)] >> (place & _U(63))) & _U(1) == 1
     return found
 
@@ -289,11 +293,11 @@ def _may_be(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
 Level = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
-def block_levels(ids: np.ndarray, words: list[bytes], lang: str, filters: list[np.ndarray], longest: int) -> Iterator[Level]:
-    """Of a block, by length: the length, a place of each phrase that may be frequent by its parts, its count and its hash."""
+def block_levels(ids: np.ndarray, words: list[bytes], lang: str, filters: list[np.ndarray], longest: int, hash_bits: int) -> Iterator[Level]:
+    """Of a block, by length: the length, a place of each phrase that may be frequent by its parts, its count and its hash's first bits."""
     starts, ids = ids < _CONTEXT, (ids & np.uint32(_CONTEXT - 1)).astype(np.int64)
     at, gram, hashes = np.flatnonzero(ids), ids, _word_hashes(words, lang)
-    hashed = np.zeros(1, _U)
+    hashed, shift = np.zeros(1, _U), _U(64 - hash_bits)
     for k in range(1, longest + 1):
         if k > 1:  # both parts are there: gram numbers the shorter phrase that starts at a place, or is negative
             at = at[at + 1 < len(ids)]
@@ -303,9 +307,9 @@ def block_levels(ids: np.ndarray, words: list[bytes], lang: str, filters: list[n
         hashed = _joined(hashed[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
         counts = np.bincount(place[starts[at]], minlength=len(pairs))
         used = counts > 0
-        yield k, at[first][used], counts[used], hashed[used]
+        yield k, at[first][used], counts[used], hashed[used] >> shift
         if k < longest:
-            allowed = _may_be(filters[k - 1], hashed)[place]
+            allowed = _may_be(filters[k - 1], hashed >> shift)[place]
             at, place = at[allowed], place[allowed]
             gram = np.full(len(ids), -1)
             gram[at] = place
@@ -332,27 +336,28 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def phrase_filter(blocks: DataFrame, width: int, filters: list[np.ndarray], least: int, bounds: Bounds) -> np.ndarray:
     """The Bloom filter of the hashes that phrases of ``width`` words have ``least`` times or more."""
     shipped = blocks.sparkSession.sparkContext.broadcast(filters)
+    low_bits = _U(bounds.hash_bits - 12)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        held, pack = 0, zstandard.ZstdCompressor(1)
 
         def packed() -> pa.RecordBatch:
             keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-            group = (keys >> _U(32)).astype(np.int64)
+            group = (keys >> low_bits).astype(np.int64)
             heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            low, n = keys.astype("<u4"), np.minimum(counts, least).astype("<u4")
+            low = keys & ((_U(1) << low_bits) - _U(1))
+            steps = np.diff(low, prepend=_U(0))
+            steps[heads] = low[heads]
+            planes = np.vstack([c.astype("<u4").view(np.uint8).reshape(-1, 4).T for c in (steps, np.minimum(counts, least))])
             stops = [*heads[1:].tolist(), len(keys)]
-            rows = [(low[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(heads.tolist(), stops, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(group[heads], pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                ["part", "hashes", "counts"],
-            )
+            rows = [pack.compress(planes[:, a:b].tobytes()) for a, b in zip(heads.tolist(), stops, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(group[heads], pa.int32()), pa.array(rows, pa.binary())], ["part", "hashes"])
 
         for lang, ids, words in _blocks_of(batches):
-            for k, _, counts, hashed in block_levels(ids, words, lang, shipped.value, width):
+            for k, _, counts, keys in block_levels(ids, words, lang, shipped.value, width, bounds.hash_bits):
                 if k == width and len(counts):
-                    parts.append((hashed >> _U(20), counts))
+                    parts.append((keys, counts))
                     held += len(counts)
             if held >= bounds.hashes:
                 yield packed()
@@ -362,26 +367,28 @@ def phrase_filter(blocks: DataFrame, width: int, filters: list[np.ndarray], leas
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of their parts."""
-        bits, group, parts = np.zeros(1 << (bounds.filter_bits - 6), _U), None, []
+        bits, group, parts, unpack = np.zeros(1 << (bounds.filter_bits - 6), _U), None, [], zstandard.ZstdDecompressor()
 
         def close() -> None:
             keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-            for place in _places(bits, keys[counts >= least].astype(_U) | (_U(group) << _U(32))):
+            for place in _places(bits, keys[counts >= least] | (_U(group) << low_bits)):
                 np.bitwise_or.at(bits, place >> _U(6), _U(1) << (place & _U(63)))
 
         for batch in batches:
-            for part, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for part, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if part != group and parts:
                     close()
                     parts = []
                 group = part
-                parts.append((np.frombuffer(hashes, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)))
+                planes = np.frombuffer(unpack.decompress(hashes), np.uint8).reshape(8, -1)
+                steps, counts = (np.ascontiguousarray(p.T).view("<u4").ravel() for p in (planes[:4], planes[4:]))
+                parts.append((np.cumsum(steps, dtype=_U), counts.astype(np.int64)))
         if parts:
             close()
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(bits[used].view(np.int64))], ["slot", "bits"])
 
-    hashed = blocks.mapInArrow(count, "part int, hashes binary, counts binary").repartition("part").sortWithinPartitions("part")
+    hashed = blocks.mapInArrow(count, "part int, hashes binary").repartition("part").sortWithinPartitions("part")
     found = hashed.mapInArrow(add, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(1 << (bounds.filter_bits - 6), _U)
     bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(_U)
@@ -393,57 +400,68 @@ def phrase_counts(blocks: DataFrame, filters: list[np.ndarray], least: int, boun
     shipped = blocks.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, totals, most = HatTrie(bounds.burst), {}, bounds.entries
-
-        def batch_of(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-            """A run, cut by prefix partition: the phrases, a line each in their order, and their counts."""
-            seed, parts = zlib.crc32(lang.encode()), {}
-            for phrase, n in zip(phrases.to_pylist(), counts.tolist(), strict=True):
-                lines, numbers = parts.setdefault(zlib.crc32(b" ".join(phrase.split(b" ", 3)[:3]), seed) % _PARTS, ([], []))
-                lines.append(phrase)
-                numbers.append(n)
+        tries, totals, most, pack = HatTrie(bounds.burst), {}, bounds.entries, zstandard.ZstdCompressor(3)
+
+        def batch_of(runs: Iterator[tuple[str, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+            """Runs, cut by prefix partition: the phrases, a line each in their order below a line that names the language, and their counts."""
+            parts: dict[int, tuple[list[bytes], list[int]]] = {}
+            for lang, phrases, counts in runs:
+                seed, head, headed = zlib.crc32(lang.encode()), _END + lang.encode().hex().encode(), set()
+                for phrase, n in zip(phrases.to_pylist(), counts.tolist(), strict=True):
+                    part = zlib.crc32(b" ".join(phrase.split(b" ", 3)[:3]), seed) % _PARTS
+                    lines, numbers = parts.setdefault(part, ([], []))
+                    if part not in headed:
+                        headed.add(part)
+                        lines.append(head)
+                        numbers.append(0)
+                    lines.append(phrase)
+                    numbers.append(n)
             columns = [
-                pa.array(list(parts), pa.int32()), pa.repeat(lang, len(parts)),
-                pa.array([b"\n".join(lines) for lines, _ in parts.values()], pa.binary()),
-                pa.array([np.array(numbers, "<i8").tobytes() for _, numbers in parts.values()], pa.binary()),
+                pa.array(list(parts), pa.int32()),
+                pa.array([pack.compress(b"\n".join(lines)) for lines, _ in parts.values()], pa.binary()),
+                pa.array([pack.compress(np.array(numbers, "<i8").tobytes()) for _, numbers in parts.values()], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "counts"])
+            return pa.RecordBatch.from_arrays(columns, ["part", "phrases", "counts"])
 
         for lang, ids, words in _blocks_of(batches):
             plain = (ids & np.uint32(_CONTEXT - 1)).astype(np.int64)
-            for k, at, counts, hashed in block_levels(ids, words, lang, shipped.value, len(filters)):
+            for k, at, counts, keys in block_levels(ids, words, lang, shipped.value, len(filters), bounds.hash_bits):
                 if k == 1:
                     totals[lang] = totals.get(lang, 0) + int(counts.sum())
-                passed = _may_be(shipped.value[k - 1], hashed)
+                passed = _may_be(shipped.value[k - 1], keys)
                 rows, counts = plain[at[passed][:, None] + np.arange(k)], counts[passed]
                 # A part of the block at a time, so that the tries stay near their bound.
                 for lo in range(0, len(rows), most // 4):
                     tries.add(lang, rows[lo : lo + most // 4], counts[lo : lo + most // 4], words)
                     if tries.entries > most:
-                        yield from (batch_of(*r) for r in tries.spill(0 if len(tries.numbers) > most else most // 2))
-        yield from (batch_of(*r) for r in tries.spill(0))
-        yield from (batch_of(lang, pa.array([b""]), np.array([n])) for lang, n in totals.items())
+                        yield batch_of(tries.spill(0 if len(tries.numbers) > most else most // 2))
+        yield batch_of(tries.spill(0))
+        yield batch_of((lang, pa.array([b""]), np.array([n])) for lang, n in totals.items())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of part and language."""
-        group, sums = (0, ""), {}
+        """Rows come in the order of their parts."""
+        group, sums, unpack = None, {}, zstandard.ZstdDecompressor()
 
-        def merged() -> pa.RecordBatch:
-            kept = [(p, n) for p, n in sums.items() if n >= least or not p]
-            columns = [pa.repeat(group[1], len(kept)), pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()), pa.array([n for _, n in kept], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+        def merged() -> Iterator[pa.RecordBatch]:
+            for lang, counted in sums.items():
+                kept = [(p, n) for p, n in counted.items() if n >= least or not p]
+                columns = [pa.repeat(lang, len(kept)), pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()), pa.array([n for _, n in kept], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
         for batch in batches:
-            for part, lang, phrases, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (part, lang) != group:
-                    yield merged()
-                    group, sums = (part, lang), {}
-                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(counts, "<i8").tolist(), strict=True):
-                    sums[phrase] = sums.get(phrase, 0) + n
-        yield merged()
-
-    runs = blocks.mapInArrow(run, "part int, lang string, phrases binary, counts binary")
-    merged = runs.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, phrase string, f long")
+            for part, phrases, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != group:
+                    yield from merged()
+                    group, sums = part, {}
+                for phrase, n in zip(unpack.decompress(phrases).split(b"\n"), np.frombuffer(unpack.decompress(counts), "<i8").tolist(), strict=True):
+                    if phrase[:1] == _END:
+                        counted = sums.setdefault(bytes.fromhex(phrase[1:].decode()).decode(), {})
+                    else:
+                        counted[phrase] = counted.get(phrase, 0) + n
+        yield from merged()
+
+    runs = blocks.mapInArrow(run, "part int, phrases binary, counts binary")
+    merged = runs.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "lang string, phrase string, f long")
     return merged.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("width"), "f")
 
 
@@ -453,7 +471,7 @@ def frequent_phrases(
     """(lang, n), the number of words, and (lang, phrase, width, f) of phrases of up to ``longest`` words that occur ``least`` times."""
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"longest is 2 to {LONGEST}")
-    blocks = stored(token_blocks(docs, text_col, lang_col, bounds.block), "phrase-blocks", **LARGE_ROWS)
+    blocks = stored(token_blocks(docs, text_col, lang_col, bounds.block), "phrase-blocks", **LARGE_ROWS, compression="zstd")
     filters: list[np.ndarray] = []
     with rows_per_batch(docs.sparkSession, 2):
         for width in range(1, longest + 1):
