@@ -14,7 +14,7 @@ from wikitables.functions import text as T
 from wikitables.functions.regex import extract_all
 from wikitables.operators import index_ops as ix
 from wikitables.operators import markdown as M
-from wikitables.operators import intervals, refs, tree
+from wikitables.operators import digests, intervals, refs, tree
 from wikitables.plans.storage import checkpoint_folder, store
 from wikitables.schemas import INDEX_COLUMNS, META_COLUMNS
 from wikitables.sources import readers, sinks
@@ -157,6 +157,18 @@ _DIFF = """SELECT coalesce(c.id,i.id) AS id, coalesce(c.title,i.title) AS title,
  CASE WHEN i.id IS NULL THEN 'new' WHEN c.id IS NULL THEN 'deleted' WHEN nullif(c.version,0) > nullif(i.version,0) THEN 'updated' ELSE 'unchanged' END AS change
  FROM v_current c FULL OUTER JOIN v_index i ON c.id = i.id"""
 add("diff_snapshots", _DIFF, "v_current", "v_index")(lambda v: ix.diff_snapshots(v.v_current, v.v_index))
+
+
+@add("diff_digests", f"SELECT * FROM ({_DIFF}) WHERE change <> 'unchanged'", "v_current", "v_index")
+def _diff_digests(v: Views) -> DataFrame:
+    """Both states written as snapshots, compared by their digest trees."""
+    spark = v.pages.sparkSession
+    current, index = _scratch(v, "current"), _scratch(v, "index")
+    digests.write_snapshot(v.v_current, current)
+    digests.write_snapshot(v.v_index, index)
+    return digests.diff_trees(spark, current, index)
+
+
 add("diff_incremental", f"SELECT * FROM ({_DIFF}) WHERE change <> 'deleted'", "v_current", "v_index")(
     lambda v: ix.diff_snapshots(v.v_current, v.v_index, mode="incremental")
 )
