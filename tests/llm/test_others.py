@@ -169,6 +169,34 @@ def test_map_is_even_and_grows_into_the_new_shard_only(spark, tmp_path):
     assert sharding.load_map(spark, str(tmp_path / "m")) == (2, second) and sharding.load_map(spark, str(tmp_path / "m"), 1) == (1, first)
 
 
+def test_calls_on_a_folder_follow_its_map(spark, tmp_path):
+    """A second call uses the map, one for more shards edits it: records move into new shards alone, and none is without an id in one slot."""
+    folder = str(tmp_path / "map")
+    rows = [(k if k % 3 else None, "x" * (k * 37 % 400) + str(k)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def placed(shards, docs=docs):
+        found = sharding.shard_documents(docs, shards, slots=256, folder=folder).collect()
+        by_shard = defaultdict(list)
+        for r in found:
+            by_shard[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in by_shard.values()) and len(found) == docs.count()
+        return {(r["doc_id"], r["text_crc32"]): r["shard"] for r in found}, len(by_shard), [sum(r["size"] for r in found if r["shard"] == s) for s in by_shard]
+
+    first, n, filled = placed(4)
+    assert n == 4 and max(filled) < 1.1 * min(filled)
+    assert placed(4)[0] == first and sharding.load_map(spark, folder)[0] == 1
+    assert len({r["virtual_slot"] for r in sharding.sized_rows(docs.where("doc_id IS NULL"), 256).collect()}) > 100
+    second, n, filled = placed(6)
+    assert n == 6 and sharding.load_map(spark, folder)[0] == 3 and max(filled) < 1.5 * min(filled)
+    assert all(second[k] in (first[k], 4, 5) for k in first)
+    fewer = docs.where("text LIKE '%7'")
+    assert placed(6, fewer)[0].items() <= second.items()  # other records, same map
+    for shards, slots in ((5, 256), (6, 128)):
+        with pytest.raises(ValueError):
+            sharding.shard_documents(docs, shards, slots=slots, folder=folder)
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage works on what the one before kept; the last packs all of it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

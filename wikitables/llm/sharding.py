@@ -7,9 +7,15 @@ hash of their id, so neither a hot source nor a large group of copies shares a
 slot.  A record's number in its shard is the count of the records in earlier
 slots of that shard plus its number within its slot: no task sorts a shard.
 
-Defined results: a null text has no bytes; null ids share the slot of the empty
-string; rows with equal ids share a slot and get different numbers; an empty
-table gives an empty table; other columns are ignored, whatever their names.
+The map has versions.  A call on a folder that holds one uses the newest, and
+asked for more shards edits it, one shard a version: slots move only into the
+shard that is new, so all other records stay where they are.
+
+Defined results: a null text has no bytes; a record without an id is dealt by
+the hash of its text; rows with equal ids share a slot and get different
+numbers; an empty table gives an empty table; other columns are ignored,
+whatever their names.  Fewer shards, or another number of slots, than the newest
+map has are an error.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_right
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,9 +33,9 @@ from .common import scratch_folder, table, whole_text
 SLOTS = 4096
 
 
-def slot_of(id_column: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot, from 32 bits of a hash that every engine has."""
-    digest = F.md5(F.coalesce(id_column.cast("string"), F.lit("")))
+def slot_of(id_column: Column, text: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot, from 32 bits of a hash that every engine has: of the id, or of the text of a record without one."""
+    digest = F.md5(F.coalesce(id_column.cast("string"), text))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % slots
 
 
@@ -98,7 +105,7 @@ def sized_rows(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text
         F.col(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        slot_of(F.col(id_col), slots).alias("virtual_slot"),
+        slot_of(F.col(id_col), text, slots).alias("virtual_slot"),
     )
 
 
@@ -118,20 +125,39 @@ def assign(sized: DataFrame, shard_of: list[int], sizes: dict[int, tuple[int, in
     )
 
 
+def current_map(spark: SparkSession, folder: str, shards: int, slots: int, sizes: dict[int, tuple[int, int]]) -> list[int]:
+    """The newest map of a folder, edited for more shards if need be; without one a new map, saved as version 1.
+
+    Each edit adds one shard and is a version of its own.
+    """
+    try:
+        version, shard_of = load_map(spark, folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        version, shard_of = 1, balanced_map(sizes, shards, slots)
+        save_map(spark, shard_of, folder, version)
+    held = max(shard_of) + 1
+    if len(shard_of) != slots or held > shards:
+        raise ValueError(f"the map in {folder} has {len(shard_of)} slots and {held} shards")
+    for version in range(version + 1, version + 1 + shards - held):
+        shard_of = grown_map(shard_of, sizes)
+        save_map(spark, shard_of, folder, version)
+    return shard_of
+
+
 def shard_documents(
     docs: DataFrame, shards: int, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None
 ) -> DataFrame:
     """Every record with its shard, by a map that evens out bytes.
 
-    With ``folder`` the newest map there is used and, if there is none, the new
-    one becomes version 1.
+    With ``folder`` the newest map there is used, edited if it has fewer shards;
+    if there is none, the new one becomes version 1.
     """
     spark = docs.sparkSession
     sized = sized_rows(docs, slots, id_col, text_col)
     sizes = slot_sizes(sized)
-    shard_of = balanced_map(sizes, shards, slots)
-    if folder is not None:
-        save_map(spark, shard_of, folder, 1)
+    shard_of = balanced_map(sizes, shards, slots) if folder is None else current_map(spark, folder, shards, slots, sizes)
     return assign(sized, shard_of, sizes).withColumnRenamed("id", id_col)
 
 
