@@ -89,7 +89,7 @@ def test_held_out(spark, query, label, least):
     assert ((good[:, None] > bad) + 0.5 * (good[:, None] == bad)).mean() > least
 
 
-def test_co_training_uses_the_pool():
+def test_co_training_uses_the_pool(spark):
     """Two views with few labels get better by the pool: the second view is learned from the first."""
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 3000).astype(float)
@@ -99,6 +99,33 @@ def test_co_training_uses_the_pool():
     args = [v[few] for v in x], y[few], apart
     accuracy = []
     for pool in ([v[:0] for v in x], [v[30:] for v in x]):
-        model = quality.co_train(*args, pool)
+        rows = [(k * 7919, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(*pool, strict=True))]
+        rows = spark.createDataFrame(rows, "at long, content array<float>, metadata array<float>")
+        model = quality.co_train(*args, quality.Pool(rows))
         accuracy.append(((model.score([v[30:] for v in x]) >= 0.5) == (y[30:] > 0)).mean())
     assert accuracy[1] >= accuracy[0] and accuracy[1] > 0.95
+
+
+def test_the_surest_of_the_whole_pool_teach(spark):
+    """Bins count all documents, cuts follow from the counts, and nothing is taught to a view twice."""
+    rng = np.random.default_rng(2)
+    x = [rng.normal(0, 2, (4000, 1)), rng.normal(0, 2, (4000, 1))]
+    views = []
+    for k in (0, 1):
+        views.append(quality.Logistic().fit(x[k], (x[k][:, 0] > 0).astype(float), np.ones(4000)))
+    rows = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(*x, strict=True))], "at long, content array<float>, metadata array<float>")
+    pool = quality.Pool(rows.repartition(5), share=0.1, taught=100)
+    odds = [views[k].odds(x[k].astype(np.float32).astype(float)) for k in (0, 1)]
+    assert np.array_equal(pool.counts(views), [np.bincount(quality._bin(o), minlength=quality.BINS) for o in odds])
+    seen = [set(), set()]
+    for turn in range(3):
+        before = [set(t.tolist()) for t in pool.taught]
+        for k, taught, marks in pool.lessons(views, 0.25, turn):
+            new = pool.taught[k][len(before[k]) :]
+            assert not before[k] & set(new.tolist()) and len(new) == len(taught) == len(marks) and 60 < len(new) < 150
+            assert np.allclose(taught, x[k][new]) and np.array_equal(marks, odds[1 - k][new] > 0) and 0.1 < marks.mean() < 0.4
+            ranks = np.argsort(np.argsort(odds[1 - k]))[new]
+            assert ((ranks < 4000 * 0.075 * 1.6 + 40) | (ranks >= 4000 * (1 - 0.025 * 1.6) - 40)).all()
+            seen[k] |= set(new.tolist())
+    empty = quality.Pool(rows.limit(0))
+    assert [len(m) for _, _, m in empty.lessons(views, 0.5, 0)] == [0, 0]

@@ -1,17 +1,21 @@
 """Document quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
 
 The content view sees shapes of the text (word lengths, repeated words and
-lines, symbols, capitals, digits, ends of lines) and hashed frequent words; the
-metadata view sees language, source and length.  Each view has a logistic
-classifier.  In every round each classifier labels the pool's documents it is
-surest of, as many of either kind as its share of the labels asks for, and
-those become examples of the other view.  At the end each view is calibrated on
-labelled documents that neither saw, and a document's score is the mean of the
-calibrated log odds, weighted by what each view explains there.
-
-Training takes at most TRAINING_ROWS labelled documents and POOL_ROWS others,
-those of the least hashed ids; both are documented bounds and bound what the
-driver holds.  Every document is scored, from its whole text.
+lines, symbols, capitals, digits, ends of lines) and hashed short words (of four
+bytes at most); the metadata view sees language, source and length.  Each view
+has a logistic classifier.  The pool is every document without a label that is
+not held out.  In every round both classifiers score the whole pool on Spark;
+counts of the log odds in bins give the odds beyond which the surest SHARE lies,
+split into good and bad as the labels are.  Of these documents the other view
+learns from TAUGHT at a time, chosen by hash.  At the end each view is
+calibrated on labelled documents that neither saw, and a document's score is the
+mean of the calibrated log odds, weighted by what each view explains there.
+Without a pool no round runs.
+
+Training takes at most TRAINING_ROWS labelled documents, those of the least
+hashed ids, and about TAUGHT pseudo-labelled ones per view and round; this
+bounds what the driver holds.  The views of all documents of the pool are stored
+once.  Every document is scored, from its whole text.
 
 Defined results: a null text is an empty text; null languages, sources and
 lengths are values of their own; an id that is labelled more than once is good
@@ -32,14 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, word_blocks
+from .common import stored, table, whole_text, word_blocks
 from .toxicity import fold
 
 TRAINING_ROWS = 12_000
-POOL_ROWS = 8_000
+# Pseudo-labelled documents that a view is taught in a round.
+TAUGHT = 400
 ROUNDS = 5
-# Pseudo-labels that a view gives in a round, as a share of the pool.
+# The share of the pool that counts as surest.
 SHARE = 0.05
+# Bins of the log odds, from -32 to 32, and the bins at -1 and 1: what lies between these is never sure.
+BINS = 4096
+_UNSURE = (31 * BINS // 64, 33 * BINS // 64)
 THRESHOLD = 0.5
 HASHED = 64
 SHAPES = 16
@@ -152,35 +160,107 @@ def _loss(odds: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, np.where(y > 0, -odds, odds))))
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, apart: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE):
-    """Fit on labelled rows (``apart`` marks those kept for calibration) and an unlabelled pool; each argument by view."""
+def _bin(odds: np.ndarray) -> np.ndarray:
+    return ((odds + 32) * (BINS // 64)).astype(np.int64)
+
+
+def _cut(counts: np.ndarray, wanted: int, taught: int) -> tuple[int, float]:
+    """The last of the first bins that hold ``wanted`` documents, as far as these are sure, and the share of their documents that is taught."""
+    if not wanted:
+        return -1, 0.0
+    running = np.cumsum(counts)
+    last = min(int(np.searchsorted(running, wanted)), _UNSURE[0] - 1)
+    return last, min(1.0, min(wanted, taught) / max(int(running[last]), 1))
+
+
+class Pool:
+    """Documents without labels: rows (at, a hash of the id; content, metadata) that stay on the executors."""
+
+    def __init__(self, rows: DataFrame, share: float = SHARE, taught: int = TAUGHT) -> None:
+        self.rows, self.share, self.size = rows, share, taught
+        self.taught = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # hashes of what a view has been taught
+
+    def _bins(self, views: list[Logistic]):
+        """A function from a batch to hashes, views and, by classifier, the bins of the documents that the other view may be taught."""
+        taught = self.taught
+
+        def of(batch: pa.RecordBatch):
+            at = batch.column("at").to_numpy()
+            x = [batch.column(c).flatten().to_numpy().reshape(len(at), len(v.mean)) for c, v in zip(("content", "metadata"), views, strict=True)]
+            return at, x, [np.where(np.isin(at, taught[1 - k]), -1, _bin(views[k].odds(x[k].astype(np.float64)))) for k in (0, 1)]
+
+        return of
+
+    def counts(self, views: list[Logistic]) -> np.ndarray:
+        """Documents by classifier and bin."""
+        bins = self._bins(views)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, BINS), np.int64)
+            for batch in batches:
+                for k, found in enumerate(bins(batch)[2]):
+                    total[k] += np.bincount(found[found >= 0], minlength=BINS)
+            view, place = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(place), pa.array(total[view, place])], ["view", "bin", "n"])
+
+        total = np.zeros((2, BINS), np.int64)
+        for r in self.rows.mapInArrow(run, "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+            total[r["view"], r["bin"]] = r["n"]
+        return total
+
+    def lessons(self, views: list[Logistic], good: float, turn: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """By view: what it is taught in this round, and its marks."""
+        cuts = []
+        for counts in self.counts(views):
+            n = int(counts.sum() * self.share)
+            n_good, size = round(n * good), round(self.size * good)
+            low, few = _cut(counts, n - n_good, self.size - size)
+            high, some = _cut(counts[::-1], n_good, size)
+            cuts.append((low, few, BINS - 1 - high, some))
+        bins = self._bins(views)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, _, found = bins(batch)
+                drawn = at.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)
+                drawn = ((drawn ^ (drawn >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / 2.0**53
+                for k, (low, few, high, some) in enumerate(cuts):
+                    bad = (found[k] >= 0) & (found[k] <= low) & (drawn < few)
+                    sure = np.flatnonzero(bad | (found[k] >= high) & (drawn < some))
+                    column = batch.column(("metadata", "content")[k]).take(pa.array(sure))
+                    columns = [pa.repeat(pa.scalar(1 - k, pa.int64()), len(sure)), pa.array(at[sure]), pa.array(~bad[sure]), column]
+                    yield pa.RecordBatch.from_arrays(columns, ["view", "at", "good", "x"])
+
+        chosen = self.rows.mapInArrow(run, "view long, at long, good boolean, x array<float>").toPandas().sort_values(["view", "at"])
+        out = []
+        for k in (0, 1):
+            part = chosen[chosen["view"] == k]
+            self.taught[k] = np.concatenate((self.taught[k], part["at"].to_numpy(np.int64)))
+            out.append((k, np.array(part["x"].tolist(), np.float64).reshape(len(part), len(views[k].mean)), part["good"].to_numpy(float)))
+        return out
+
+
+def co_train(x: list[np.ndarray], y: np.ndarray, apart: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> CoTrained | Constant:
+    """Fit on labelled rows (``apart`` marks those kept for calibration) and an unlabelled pool; ``x`` by view."""
     fit = ~apart
     if min(y[fit].sum(), (1 - y[fit]).sum()) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
     good = float(y[fit].mean())
     own_x, own_y = [part[fit] for part in x], [y[fit]] * 2
     own_w = [np.ones(int(fit.sum()))] * 2
-    free = [np.ones(len(pool[0]), bool) for _ in x]  # what a view has not been taught yet
 
     def learned(k: int) -> Logistic:
         return Logistic().fit(own_x[k], own_y[k], own_w[k])
 
     views = [learned(0), learned(1)]
-    for _ in range(rounds if len(pool[0]) else 0):
-        taught = []
-        for k in (0, 1):
-            odds = views[k].odds(pool[k])
-            at = np.flatnonzero(free[1 - k])
-            n = int(len(odds) * share)
-            n_good, n_bad = round(n * good), n - round(n * good)
-            by = at[np.argsort(odds[at], kind="stable")]
-            sure = np.concatenate((by[:n_bad][odds[by[:n_bad]] < -1], by[len(by) - n_good :][odds[by[len(by) - n_good :]] > 1]))
-            taught.append((1 - k, sure, (odds[sure] > 0).astype(float)))
-        for k, rows, marks in taught:
-            free[k][rows] = False
-            own_x[k] = np.concatenate((own_x[k], pool[k][rows]))
+    for turn in range(rounds):
+        lessons = pool.lessons(views, good, turn)
+        if not any(len(marks) for _, _, marks in lessons):
+            break
+        for k, rows, marks in lessons:
+            own_x[k] = np.concatenate((own_x[k], rows))
             own_y[k] = np.concatenate((own_y[k], marks))
-            own_w[k] = np.concatenate((own_w[k], np.full(len(rows), 0.5)))
+            own_w[k] = np.concatenate((own_w[k], np.full(len(marks), 0.5)))
         views = [learned(0), learned(1)]
 
     # Calibration: a line through each view's odds, then weights by what they explain beyond the share of good labels.
@@ -222,7 +302,7 @@ def _plain(docs: DataFrame, carried: list, text_col: str) -> DataFrame:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    training_rows: int = TRAINING_ROWS, pool_rows: int = POOL_ROWS,
+    training_rows: int = TRAINING_ROWS,
 ) -> CoTrained | Constant:
     """Co-train on documents whose fold is not 2; fold 3 calibrates."""
     marks = (
@@ -233,16 +313,15 @@ def train(
     )
     order = [F.xxhash64("id"), F.col("id")]
     labelled = marks.where(fold(F.col("id")) != 2).orderBy(*order).limit(training_rows)
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    others = ids.where(fold(F.col("id")) != 2).join(marks, "id", "left_anti").orderBy(*order).limit(pool_rows)
-    chosen = labelled.unionByName(others.withColumn("good", F.lit(None).cast("int")))
-    rows = docs.withColumn("_id", F.col(id_col)).join(F.broadcast(chosen.withColumnRenamed("id", "_chosen")), F.col("_id") == F.col("_chosen"))
-    carried = [F.col("good").alias("good"), fold(F.col("_id")).alias("fold")]
-    found = _views(_plain(rows, carried, text_col)).select("carried.good", "carried.fold", "content", "metadata").toPandas()
+    used = docs.where(F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 2))
+    viewed = _views(_plain(used, [F.col(id_col).alias("id")], text_col)).select(F.col("carried.id").alias("id"), "content", "metadata")
+    # Labels meet the views, not the texts.
+    viewed = stored(viewed.join(marks, "id", "left"), "quality-views", compression="zstd")
+    chosen = F.broadcast(labelled.select("id"))
+    found = viewed.where("good IS NOT NULL").join(chosen, "id", "left_semi").select("good", fold(F.col("id")).alias("fold"), "content", "metadata").toPandas()
     x = [np.array(found[c].tolist(), np.float64).reshape(len(found), width) for c, width in (("content", CONTENT), ("metadata", METADATA))]
-    known = found["good"].notna().to_numpy()
-    y = found["good"][known].to_numpy(float)
-    return co_train([v[known] for v in x], y, found["fold"][known].to_numpy() == 3, [v[~known] for v in x])
+    pool = Pool(viewed.where("good IS NULL").select(F.xxhash64("id").alias("at"), "content", "metadata"))
+    return co_train(x, found["good"].to_numpy(float), found["fold"].to_numpy() == 3, pool)
 
 
 def score(docs: DataFrame, model: CoTrained | Constant, carry: list[str], text_col: str = "text") -> DataFrame:
