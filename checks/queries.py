@@ -17,9 +17,9 @@ from wikitables.operators import markdown as M
 from wikitables.operators import digests, intervals, refs, tree
 from wikitables.plans.storage import checkpoint_folder, store
 from wikitables.schemas import INDEX_COLUMNS, META_COLUMNS
-from wikitables.sources import readers, sinks
+from wikitables.sources import changes, readers, sinks
 from wikitables.streaming import streams
-from wikitables.sync import SyncOptions, current_table, migrate_sidecars, sync_corpus, transform_stored
+from wikitables.sync import SyncOptions, current_table, maintain, migrate_sidecars, sync_corpus, transform_stored
 
 from . import duck as D
 from .views import QueryFn, Views, duck_with
@@ -754,6 +754,41 @@ def _index_runs(v: Views) -> DataFrame:
     return sinks.read_runs(v.pages.sparkSession, table, SPACE)
 
 
+_LOGGED = f"""changed AS (SELECT * FROM ({_DIFF}) WHERE change IN ('new', 'updated'))
+ SELECT c.id, CASE WHEN d.id IS NULL THEN i.version ELSE c.version END AS version, CASE WHEN d.id IS NULL THEN 1 WHEN d.change = 'new' THEN 2 ELSE 3 END AS run
+ FROM v_current c LEFT JOIN v_index i ON i.id = c.id LEFT JOIN changed d ON d.id = c.id"""
+
+
+def _logged(v: Views) -> str:
+    """The index as run 1, new pages and removals as run 2, updated pages as run 3; merged in between and at the end."""
+    spark, table = v.pages.sparkSession, _scratch(v, "log")
+    found = store(ix.diff_snapshots(v.v_current, v.v_index), "diff")
+
+    def current(change: str) -> DataFrame:
+        return v.v_current.join(found.where(F.col("change") == change), "id", "left_semi").select("id", "version")
+
+    removed = found.where(F.col("change") == "deleted")
+    changes.write_changes(v.v_index.select("id", "version"), table, SPACE, 1, NOW)
+    changes.write_changes(current("new"), table, SPACE, 2, NOW, removed)
+    changes.compact(spark, table, SPACE)
+    changes.write_changes(current("updated"), table, SPACE, 3, NOW)
+    return table
+
+
+add("read_current", cte(_LOGGED), "v_current", "v_index")(
+    lambda v: changes.read_current(v.pages.sparkSession, _logged(v), SPACE)
+)
+
+
+@add("merge_runs", cte(_LOGGED), "v_current", "v_index")
+def _merge_runs(v: Views) -> DataFrame:
+    """The rows of the one segment that all runs are merged into, read after the runs were deleted."""
+    spark, table = v.pages.sparkSession, _logged(v)
+    changes.compact(spark, table, SPACE, whole=True)
+    changes.retire(spark, table, SPACE, keep=1)
+    return changes.read_current(spark, table, SPACE)
+
+
 def _page_files(v: Views) -> DataFrame:
     return tree.page_paths(tree.with_names(_page_index(v)), ROOT)
 
@@ -829,7 +864,7 @@ def _sync(v: Views) -> DataFrame:
 
 @add("sync_upkeep", cte(f"{_CONVERTED} {_MARKDOWN}"), "v_storage", "v_users")
 def _sync_upkeep(v: Views) -> DataFrame:
-    """All Markdown after two syncs, of which the second finds new bodies for a tenth of the pages: equal to one conversion of all."""
+    """All Markdown after two syncs, of which the second finds new bodies for a tenth of the pages, and upkeep of the tables: equal to one conversion of all."""
     spark = v.pages.sparkSession
     pages = _storage(v).join(v.v_pages.select("id", "pos", "parent_id"), "id")
     edited = F.col("pos") % 10 == 4
@@ -839,6 +874,7 @@ def _sync_upkeep(v: Views) -> DataFrame:
     options = SyncOptions(space=SPACE, landing=_land_listing(v, before), tables=_scratch(v, "tables"), now=NOW)
     sync_corpus(spark, options, v.v_users)
     sync_corpus(spark, replace(options, landing=_land_listing(v, after)), v.v_users)
+    maintain(spark, options)
     return current_table(spark, options, "markdown").select("id", "file", "markdown")
 
 

@@ -30,6 +30,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders with all below them; those that don't exist are passed over."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 @contextmanager
 def tables_dropped(spark: SparkSession) -> Iterator[None]:
     """Delete the tables stored inside when the block ends; its results must be written elsewhere by then."""
@@ -39,9 +46,7 @@ def tables_dropped(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _STORED.reset(token)
-        for path in paths:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        delete_paths(spark, paths)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.skew import spread_join
+from ..plans.storage import delete_paths
 
 RUNS = "runs"
 
@@ -57,20 +58,14 @@ def read_latest(spark: SparkSession, table: str, space: str) -> DataFrame | None
     return None if run_id is None else spark.read.parquet(f"{table}/space={space}/run={run_id}")
 
 
-def read_current(spark: SparkSession, table: str, space: str, key: str = "id", only: DataFrame | None = None) -> DataFrame | None:
-    """The state a table of changes has after all finished runs: each key's rows of its newest run, with ``run``.
-
-    Only keys and run numbers are shuffled to find the newest rows; with
-    ``only``, a table of keys, the rows of these keys alone are found.
-    """
+def retire_runs(spark: SparkSession, table: str, space: str, keep: int = 2) -> list[str]:
+    """Delete the rows of all but the newest ``keep`` runs of a table whose every run is a whole state; their entries in the run table go last."""
     runs = read_runs(spark, table, space)
-    if runs is None:
-        return None
-    numbers = sorted(r["run_id"] for r in runs.select("run_id").collect())  # one per run
-    rows = spark.read.option("basePath", f"{table}/space={space}").parquet(*(f"{table}/space={space}/run={n}" for n in numbers))
-    keys = rows if only is None else rows.join(only.select(key), key, "left_semi")
-    newest = keys.groupBy(key).agg(F.max("run").alias("run"))
-    return rows.join(newest, [key, "run"], "left_semi")
+    numbers = [] if runs is None else sorted(r["run_id"] for r in runs.select("run_id").collect())
+    old = numbers[: -max(keep, 1)]
+    paths = [f"{table}/{kind}space={space}/run={n}" for kind in ("", f"{RUNS}/") for n in old]
+    delete_paths(spark, paths)
+    return paths
 
 
 def write_index(index: DataFrame, table: str, space: str, run_id: int, now: datetime, page_size: int = 100) -> DataFrame:

@@ -12,7 +12,7 @@ from .operators import index_ops as ix
 from .operators import refs, tree
 from .plans.storage import store, tables_dropped
 from .schemas import META_COLUMNS
-from .sources import readers, sinks
+from .sources import changes, readers, sinks
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,11 @@ class SyncOptions:
     markdown: refs.MarkdownOptions = field(default_factory=refs.MarkdownOptions)
 
 
-# The state tables of a job; all share one count of runs.
-TABLES = ("page_index", "page_tree", "queue", "html", "markdown", "references", "images", "site_tree")
+# The tables of a job; all share one count of runs.  Those of changes hold the pages a run touches, images the ones it found,
+# the others a whole state per run.
+CHANGES = ("html", "markdown", "references")
+STATES = ("page_index", "page_tree", "queue", "site_tree")
+TABLES = (*STATES, *CHANGES, "images")
 
 
 def next_run(spark: SparkSession, o: SyncOptions) -> int:
@@ -77,8 +80,8 @@ def update_index(listing: DataFrame, index: DataFrame, now: datetime, mode: str
     if mode == "incremental":
         since = index.select(F.min("indexed_at")).scalar()
         current = ix.upsert_modified(index, ix.modified_since(current, since))
-    changes = ix.diff_snapshots(current, index, mode).where(F.col("change") != "unchanged")
-    return index if changes.isEmpty() else ix.rebuild_index(current, index, now)
+    differing = ix.diff_snapshots(current, index, mode).where(F.col("change") != "unchanged")
+    return index if differing.isEmpty() else ix.rebuild_index(current, index, now)
 
 
 def sync_corpus(
@@ -127,15 +130,17 @@ def _sync(spark: SparkSession, o: SyncOptions, users: DataFrame, attachments: Da
 
     listed = readers.scan_page_envelopes(spark, o.landing, ends).where(F.col("space") == o.space)
     bodies = ix.dedupe_by_id(listed.join(wanted, "id", "left_semi").select("pos", "id", F.col("body").alias("html")))
-    kept = sinks.read_current(spark, f"{o.tables}/references", o.space)
+    kept = changes.read_current(spark, f"{o.tables}/references", o.space)
     kept = None if kept is None else store(kept.select("id", "kind", "key"), "kept-references")
-    html = write(sinks.html_files(bodies, paths), "html")
+    gone = None if previous is None else store(previous.select("id").join(index.select("id"), "id", "left_anti"), "gone")
+    changes.write_changes(sinks.html_files(bodies, paths), f"{o.tables}/html", o.space, run_id, o.now, gone)
+    html = sinks.read_latest(spark, f"{o.tables}/html", o.space)
     fetched = html.select("id", "html").join(index.select("id", "title", "version"), "id")
 
     ids = html.select("id")
     if kept is not None and previous is not None:
         ids = ids.unionByName(refs.concerned_pages(kept, previous, index, ids, o.markdown)).distinct()
-    markdown = _converted(spark, o, run_id, store(ids.join(index.select("id"), "id", "left_semi"), "to-convert"), index, users)
+    markdown = _converted(spark, o, run_id, store(ids.join(index.select("id"), "id", "left_semi"), "to-convert"), index, users, gone)
     if attachments is not None:
         resolved = refs.resolve_attachments(store(refs.image_manifest(markdown), "manifest"), attachments)
         write(sinks.image_files(resolved, paths), "images")
@@ -153,7 +158,7 @@ def stored_bodies(spark: SparkSession, options: SyncOptions, index: DataFrame) -
     """The lookup of stored bodies by id; the bodies of other pages are not moved."""
 
     def bodies(ids: DataFrame) -> DataFrame:
-        rows = sinks.read_current(spark, f"{options.tables}/html", options.space, only=ids)
+        rows = changes.read_current(spark, f"{options.tables}/html", options.space, only=ids)
         if rows is None:
             return spark.createDataFrame([], "id string, title string, html string")
         return rows.select("id", "html").join(index.select("id", "title"), "id").select("id", "title", "html")
@@ -161,24 +166,44 @@ def stored_bodies(spark: SparkSession, options: SyncOptions, index: DataFrame) -
     return bodies
 
 
-def _converted(spark: SparkSession, o: SyncOptions, run_id: int, ids: DataFrame, index: DataFrame, users: DataFrame) -> DataFrame:
-    """Convert the stored bodies of ``ids`` as run ``run_id`` of the tables references and markdown."""
+def _converted(
+    spark: SparkSession, o: SyncOptions, run_id: int, ids: DataFrame, index: DataFrame, users: DataFrame, gone: DataFrame | None = None
+) -> DataFrame:
+    """Convert the stored bodies of ``ids`` as run ``run_id`` of the tables references and markdown, which removes the pages in ``gone``."""
     bodies = stored_bodies(spark, o, index)
     pages = store(bodies(ids), "pages")
     found = store(refs.page_refs(pages, o.markdown), "refs")
-    sinks.write_run(refs.kept_references(pages, found), f"{o.tables}/references", o.space, run_id, o.now)
+    changes.write_changes(refs.kept_references(pages, found), f"{o.tables}/references", o.space, run_id, o.now, gone)
     markdown = refs.pages_to_markdown(pages, index, users, o.markdown, bodies=bodies, found=found)
-    sinks.write_run(markdown, f"{o.tables}/markdown", o.space, run_id, o.now)
+    changes.write_changes(markdown, f"{o.tables}/markdown", o.space, run_id, o.now, gone)
     return sinks.read_latest(spark, f"{o.tables}/markdown", o.space)
 
 
 def current_table(spark: SparkSession, options: SyncOptions, table: str) -> DataFrame | None:
     """The html or markdown table as it stands: the newest row of each page that the index still has."""
-    rows = sinks.read_current(spark, f"{options.tables}/{table}", options.space)
+    rows = changes.read_current(spark, f"{options.tables}/{table}", options.space)
     index = sinks.read_latest(spark, f"{options.tables}/page_index", options.space)
     return rows if rows is None or index is None else rows.join(index.select("id"), "id", "left_semi")
 
 
+def maintain(spark: SparkSession, options: SyncOptions, keep: int = 2) -> dict[str, int]:
+    """Merge the runs of the tables of changes that are due and delete what is no longer needed.
+
+    ``keep`` is the number of manifests, or of whole states, that stay for
+    readers.  What the tables hold does not change.  Returns the number of
+    segments by table.
+    """
+    counts = {}
+    for name in CHANGES:
+        table = f"{options.tables}/{name}"
+        snapshot = changes.compact(spark, table, options.space)
+        changes.retire(spark, table, options.space, keep)
+        counts[name] = 0 if snapshot is None else len(snapshot.segments)
+    for name in STATES:
+        sinks.retire_runs(spark, f"{options.tables}/{name}", options.space, keep)
+    return counts
+
+
 def transform_stored(spark: SparkSession, options: SyncOptions, users: DataFrame) -> DataFrame:
     """Convert stored bodies that have no Markdown, or an older one, or include a page of a newer body; with ``force`` all of them.
 
@@ -199,7 +224,7 @@ def _transform(spark: SparkSession, o: SyncOptions, users: DataFrame) -> DataFra
     done = current_table(spark, o, "markdown")
     if done is not None and not o.force:
         made = done.select("id", F.col("run").alias("_made"))
-        kept = sinks.read_current(spark, f"{o.tables}/references", o.space)
+        kept = changes.read_current(spark, f"{o.tables}/references", o.space)
         older = pending.join(made, "id", "left").where(F.col("_made").isNull() | (F.col("_made") < F.col("run"))).select("id")
         if kept is not None:
             older = older.unionByName(_older_than_included(kept, index, pending, made))
