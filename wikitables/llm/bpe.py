@@ -37,7 +37,7 @@ from .chunks import REMEMBERED, ChunkMemory
 from .common import slices, table, whole_text
 
 # States kept before all are dropped.
-STATES = 150_000
+STATES = 400_000
 # Pairs of neighbours whose stability is remembered.
 PAIRS = 500_000
 # Ids decoded at a time.
@@ -74,6 +74,7 @@ class Transducer:
             self.token_at[node] = rank
         self.stable: dict[tuple[int, int], bool] = {}
         self.edges: dict[int, tuple[list, list] | None] = {}
+        self.steps: list[dict] = []
         self._reset()
 
     def _reset(self) -> None:
@@ -81,7 +82,10 @@ class Transducer:
         start = (((), -1, 0),)
         self.states = [start]
         self.number = {start: 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        # The transitions of a state: byte to (transitions of the next state, ids emitted); its own number stands at -1.
+        for transitions in self.steps:  # they refer to each other, so dropping the list alone would free nothing
+            transitions.clear()
+        self.steps = [{-1: 0}]
 
     def _begun_anew(self, state: int) -> int:
         """Forget all states but ``state``, which may be in the middle of a match."""
@@ -90,7 +94,7 @@ class Transducer:
         if guesses not in self.number:
             self.number[guesses] = len(self.states)
             self.states.append(guesses)
-            self.steps.append({})
+            self.steps.append({-1: self.number[guesses]})
         return self.number[guesses]
 
     def _spines(self, token: int) -> tuple[list, list] | None:
@@ -142,7 +146,7 @@ class Transducer:
             self.stable[before, token] = kept
         return kept
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> tuple[dict, tuple[int, ...]]:
         """Make the transition of ``state`` by ``byte``."""
         guesses, ended = [], None
         children, token_at, stable = self.children, self.token_at, self.stable
@@ -175,25 +179,26 @@ class Transducer:
         if target is None:
             target = self.number[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
-        step = self.steps[state][byte] = (target, emitted)
+            self.steps.append({-1: target})
+        step = self.steps[state][byte] = (self.steps[target], emitted)
         return step
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, out, steps = 0, [], self.steps
+        here, out = self.steps[0], []
         for byte in piece:
-            found = steps[state].get(byte)
-            if found is None:
+            try:
+                here, emitted = here[byte]
+            except KeyError:  # met for the first time
+                state = here[-1]
                 if len(self.states) > STATES:
-                    state, steps = self._begun_anew(state), self.steps
-                found = self._step(state, byte)
-            state, emitted = found
+                    state = self._begun_anew(state)
+                here, emitted = self._step(state, byte)
             if emitted:
                 out += emitted
-        out += self.states[state][-1][0]  # the guess that has just ended
+        out += self.states[here[-1]][-1][0]  # the guess that has just ended
         return out
 
 
@@ -234,7 +239,7 @@ class BpeEncoder(ChunkMemory):
         return list(map(b"".join, out))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # The tables are very many small objects without cycles, which the collector would walk again and again.
+        # The tables are very many small objects, which the collector would walk again and again.
         collecting = gc.isenabled()
         gc.disable()
         try:
