@@ -249,3 +249,30 @@ def test_files_need_a_shared_root_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="shared file system"):
         sinks.write_files(Frame(), "/tmp/out")
+
+
+def test_files_below_the_shared_folders_of_a_cluster(spark, tmp_path):
+    """A cluster's checkpoint folder may be named without a scheme, or as Hadoop spells it."""
+
+    class Conf:
+        def get(self, key, default=None):
+            return str(tmp_path) if key == storage.CHECKPOINT_SETTING else default
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[3,2,3000]"
+
+        conf, _jvm, _jsparkSession = Conf(), spark._jvm, spark._jsparkSession
+
+    class Frame:
+        sparkSession = Session()
+
+        def select(self, *columns):
+            return spark.createDataFrame([("a/1-é %20+.html", "x")], "path string, content string").select(*columns)
+
+    for k, root in enumerate((f"{tmp_path}/plain k", f"file:{tmp_path}/one", f"file://{tmp_path}/three")):
+        assert sinks.write_files(Frame(), root).count() == 1, k
+        got = readers.scan_html_tree(spark, root).collect()
+        assert [(r["path"], r["html"]) for r in got] == [("a/1-é %20+.html", "x")]
+    with pytest.raises(ValueError, match="shared file system"):
+        sinks.write_files(Frame(), f"{tmp_path}-other")

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of the file system that Spark reads it by, links of a view file system followed; the folder is made."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(folder)
+    return fs.resolvePath(folder).toString()
+
+
+def is_shared(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` names its file system or lies below the checkpoint folder or the warehouse, which a cluster's executors share."""
+    if urlsplit(path).scheme:
+        return True
+    conf = getattr(spark, "conf", None)
+    shared = [conf.get(key, None) for key in (CHECKPOINT_SETTING, "spark.sql.warehouse.dir")] if conf else []
+    return any(f"{path}/".startswith(urlsplit(folder).path.rstrip("/") + "/") for folder in shared if folder)
+
+
 def delete_paths(spark: SparkSession, paths: list[str]) -> None:
     """Delete folders with all below them; those that don't exist are passed over."""
     for path in paths:

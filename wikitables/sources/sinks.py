@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from datetime import datetime
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.skew import spread_join
-from ..plans.storage import delete_paths
+from ..plans.storage import delete_paths, is_shared, located
 
 RUNS = "runs"
 
@@ -85,16 +86,21 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
     """Write each row ``(path, content)`` to a file below ``root``; returns ``(path, bytes)``.
 
     Every task writes its own rows, through whichever file system ``root``
-    names; without a scheme that is the local disk, which only a local session
-    may use.  A file is written under a name of its own and then renamed, so
-    what has its final name is whole, and a repeated task does no harm.  The
-    action runs when the result is used.
+    names; without a scheme that is Spark's default one, and outside a local
+    session the folder must be one that executors share, below
+    ``spark.checkpoint.dir`` or the warehouse.  A file is written under a name
+    of its own and then renamed, so what has its final name is whole, and a
+    repeated task does no harm.  The action runs when the result is used.
     """
-    if "://" not in root and not df.sparkSession.sparkContext.master.startswith("local["):
+    spark = df.sparkSession
+    if not spark.sparkContext.master.startswith("local[") and not is_shared(spark, root):
         raise ValueError(f"name a shared file system for {root}, such as hdfs:// or file:// on a shared disk")
+    place = located(spark, root)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        # Hadoop's own spelling of local paths, file:/x, is none that Arrow knows.
+        local = place.startswith("file:")
+        fs, base = (pafs.LocalFileSystem(), re.sub("^file:(//[^/]*)?", "", place)) if local else pafs.FileSystem.from_uri(place)
         folders: set[str] = set()
         for batch in batches:
             sizes = []
