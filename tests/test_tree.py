@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wikitables.operators import tree
 from wikitables.plans.ranking import ranked
 from wikitables.plans.skew import spread_join
+from wikitables.plans.storage import store
 
 
 def make(spark, *rows):
@@ -46,6 +47,33 @@ def test_long_chain(spark):
     assert deepest["depth"] == 129 and deepest["ids"] == [f"n{i}" for i in range(130)]
 
 
+def test_deep_forests_are_stored_in_blocks(spark, monkeypatch):
+    """A chain with branches and a cycle: no stored table holds all ancestors of all pages."""
+    rng = random.Random(7)
+    rows = [("n0", None), *((f"n{i}", f"n{i - 1}") for i in range(1, 500)), *((f"b{i}", f"n{rng.randrange(500)}") for i in range(60))]
+    rows += [("c0", "c9"), *((f"c{i}", f"c{i - 1}") for i in range(1, 10)), ("under", "c3")]
+    parents, tables = dict(rows), []
+
+    def kept(df, name):
+        tables.append(store(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(tree, "store", kept)
+    idx = make(spark, *rows)
+    forest = tree.build_forest(idx, {"names": F.concat(F.lit("t"), F.col("id"))})
+    held = [t.agg(F.sum(F.size("ids"))).first()[0] or 0 for t in tables if "ids" in t.columns]
+    assert max(held) <= len(rows) * tree.BLOCK < 500 * 501 // 2
+    places = {page: n for n, (page, _) in enumerate(rows)}
+    for r in forest.collect():
+        chain = [r["id"]]
+        while parents[chain[0]] is not None:
+            chain.insert(0, parents[chain[0]])
+        assert (r["ids"], r["depth"], r["root_id"], r["is_root"]) == (chain, len(chain) - 1, "n0", len(chain) == 1)
+        assert r["path"] == [places[c] for c in chain] and r["names"] == [f"t{c}" for c in chain]
+    assert sorted(r["id"] for r in tree.cycle_pages(idx, forest).collect()) == sorted([*(f"c{i}" for i in range(10)), "under"])
+    assert forest.count() == 560
+
+
 def test_duplicate_ids_collapse(spark):
     idx = make(spark, ("r", None), ("x", None), ("x", "r"))
     assert order(tree.preorder(idx)) == ["r", "x"]

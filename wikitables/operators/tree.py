@@ -2,7 +2,7 @@
 
 A forest is an adjacency list with one row per reachable page and the values of
 all its ancestors in arrays, root first.  It is built by pointer doubling, so a
-chain of depth d takes about log2(d) joins.
+chain of depth d takes about log2(d) joins; arrays are stored in blocks.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from ..plans.skew import spread_join
 from ..plans.storage import store
 from .index_ops import dedupe_by_id
 
+# Levels that stored arrays of ancestors span, a power of two.
+BLOCK = 64
+
 
 def attach_parent(index: DataFrame) -> DataFrame:
     """Each page with its parent's id, null where the parent is not in the index."""
@@ -56,6 +59,11 @@ def build_forest(index: DataFrame, carry: dict[str, Column] | None = None) -> Da
     round doubles the reach of each pointer, so the frontier is empty after
     about log2(depth) rounds; a round that ends no chain proves that only
     cycles are left.
+
+    Stored arrays end at BLOCK levels.  The arrays of deeper pages are put
+    together where they are used, from the page's part below its anchor, the
+    last page above it at a multiple of BLOCK, and the anchor's; a use that
+    takes no array, such as :func:`cycle_pages`, reads none.
     """
     pages = store(dedupe_by_id(index), "forest-pages")
     carried = {"path": F.col("pos"), "ids": F.col("id"), **(carry or {})}
@@ -67,34 +75,71 @@ def build_forest(index: DataFrame, carry: dict[str, Column] | None = None) -> Da
         ),
         "forest-links",
     )
-
-    pending, finished, open_links = links.where(F.col("up").isNotNull()), links.where(F.col("up").isNull()), None
+    longer = {name: F.concat(f"_{name}", name) for name in carried}
+    finished, pending = _followed(links.where(F.col("up").isNull()), links.where(F.col("up").isNotNull()), longer, BLOCK.bit_length() - 1)
+    level = (F.size("ids") - 1).alias("depth")
+    parts = finished.select("id", F.lit(None).cast("string").alias("_anchor"), F.col("ids")[0].alias("root_id"), level, *carried)
+    above = None
+    if pending is not None:
+        deep = _below_blocks(finished, pending)
+        at = F.col("depth") % BLOCK  # levels below the anchor
+        parts = parts.unionByName(deep.select(
+            "id", F.element_at("ids", F.lit(BLOCK) - at).alias("_anchor"), "root_id", "depth",
+            *(F.slice(name, F.lit(BLOCK + 1) - at, at).alias(name) for name in carried),
+        ))
+        roots = finished.where(F.size("ids") == 1).select("id", "up", *carried)
+        above, _ = _followed(roots, deep.where(at == 0).select("id", "up", *carried), longer)
+
+    forest = pages.join(parts, "id").select(
+        *pages.columns, "root_id", "depth", (F.col("depth") == 0).alias("is_root"), *carried, *(["_anchor"] if pending is not None else [])
+    )
+    forest = store(forest, "forest")  # nearly every use of a forest reads it more than once
+    if above is None:
+        return forest
+    anchors = above.select(F.col("id").alias("_anchor"), *(F.col(n).alias(f"_{n}") for n in carried))
+    whole = {n: F.when(F.col("_anchor").isNull(), F.col(n)).otherwise(F.concat(f"_{n}", n)).alias(n) for n in carried}
+    return spread_join(forest, anchors, ["_anchor"]).select(*(whole.get(c, F.col(c)) for c in forest.columns if c != "_anchor"))
+
+
+def _followed(
+    finished: DataFrame, pending: DataFrame, longer: dict[str, Column], rounds: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Follow the pointers ``up`` of ``pending``, doubling their reach by a join a round.
+
+    Both have ``id, up`` and the columns of ``longer``, which are combined with
+    those of the row above, named with a leading underscore.  Returns the rows
+    that reach an end and, after ``rounds``, those that may still do so.
+    """
+    open_links = None
     while True:
         remaining = pending.count()
         if remaining in (0, open_links):
-            break
-        open_links = remaining
+            return finished, None
+        if rounds == 0:
+            return finished, pending
+        open_links, rounds = remaining, None if rounds is None else rounds - 1
         wanted = pending.select(F.col("up").alias("id")).distinct()
         above = finished.unionByName(pending).join(wanted, "id", "left_semi").select(
-            F.col("id").alias("up"), F.col("up").alias("_up"), *(F.col(n).alias(f"_{n}") for n in carried)
+            F.col("id").alias("up"), F.col("up").alias("_up"), *(F.col(n).alias(f"_{n}") for n in longer)
         )
         moved = store(
             spread_join(pending, above, ["up"], "inner").select(
-                "id", F.col("_up").alias("up"), *(F.concat(f"_{n}", n).alias(n) for n in carried)
+                "id", F.col("_up").alias("up"), *(combined.alias(n) for n, combined in longer.items())
             ),
             "forest-round",
         )
         finished = finished.unionByName(moved.where(F.col("up").isNull()))
         pending = moved.where(F.col("up").isNotNull())
 
-    forest = pages.join(finished.drop("up"), "id").select(
-        *pages.columns,
-        F.col("ids")[0].alias("root_id"),
-        (F.size("ids") - 1).alias("depth"),
-        (F.size("ids") == 1).alias("is_root"),
-        *carried,
-    )
-    return store(forest, "forest")  # nearly every use of a forest reads it more than once
+
+def _below_blocks(finished: DataFrame, pending: DataFrame) -> DataFrame:
+    """``pending`` with the ``depth`` and ``root_id`` of its pages that reach a root; only numbers and ids are followed."""
+    ends = finished.select("id", "up", (F.size("ids") - 1).alias("depth"), F.col("ids")[0].alias("root_id"))
+    links = pending.select("id", "up", F.size("ids").alias("depth"), F.lit(None).cast("string").alias("root_id"))
+    further = {"depth": F.col("depth") + F.col("_depth"), "root_id": F.coalesce("root_id", "_root_id")}
+    reached, _ = _followed(ends, links, further)
+    # Pages above BLOCK levels are among the ends, too.
+    return store(pending.join(reached.where(F.col("depth") >= BLOCK).select("id", "depth", "root_id"), "id"), "forest-deep")
 
 
 def cycle_pages(index: DataFrame, forest: DataFrame) -> DataFrame:
