@@ -28,6 +28,8 @@ NOW = datetime(2024, 2, 1)
 _NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 SPACE, ROOT = "DOCS", "out/DOCS"
 PAGE_SIZE = 25
+# Responses in a file of the landed listing; small listings lie in four files.
+FILE_RESPONSES = 400
 
 QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
 
@@ -611,7 +613,7 @@ def _land_listing(v: Views, listed: DataFrame, stale: bool = False) -> str:
         F.when(F.col("parent_id").isNotNull(), F.array(F.struct(F.lit("top").alias("id")), F.struct(F.col("parent_id").alias("id")))).alias("ancestors"),
         F.struct(F.struct(F.when(history, when).alias("when")).alias("lastUpdated")).alias("history"),
     )
-    last = numbered.select(F.max("batch_no")).scalar()
+    last = numbered.select(F.max("batch_no")).first()[0] or 0
     envelopes = numbered.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items")).select(
         F.lit(SPACE).alias("space"),
         F.transform("items", lambda i: i["item"]).alias("results"),
@@ -623,7 +625,7 @@ def _land_listing(v: Views, listed: DataFrame, stale: bool = False) -> str:
     if stale:
         envelopes = envelopes.unionByName(envelopes.withColumn("start", F.col("start") + 1_000_000))
     path = _scratch(v, "landing")
-    envelopes.repartition(4, "start").write.json(path)
+    envelopes.repartition(max(4, -(-last // FILE_RESPONSES)), "start").write.json(path)
     return path
 
 

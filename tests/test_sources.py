@@ -276,3 +276,21 @@ def test_files_below_the_shared_folders_of_a_cluster(spark, tmp_path):
         assert [(r["path"], r["html"]) for r in got] == [("a/1-é %20+.html", "x")]
     with pytest.raises(ValueError, match="shared file system"):
         sinks.write_files(Frame(), f"{tmp_path}-other")
+
+
+def test_cutoff_leaves_responses_in_their_tasks(spark, tmp_path):
+    """Responses of one space stay in the tasks that read them, not all in one."""
+    landing = tmp_path / "in"
+    for k in range(6):
+        land(landing, f"{k}.json", envelope(k, [page(k)], limit=1))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "1", "spark.sql.files.openCostInBytes": "1"}
+    before = {key: spark.conf.get(key) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        rows = readers.scan_page_envelopes(spark, str(landing)).select("id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted(r["id"] for r in rows) == [str(k) for k in range(6)]
+    assert len({r["task"] for r in rows}) == 6

@@ -24,9 +24,11 @@ def envelope_cutoff(envelopes: DataFrame, ends: DataFrame | None = None) -> Data
     """Drop the responses after the one that ends a listing.
 
     ``ends`` are its :func:`listing_ends`; pass them to read the responses only once.
+    They are one row per space and go to the responses, which stay where they
+    are: a join by space would bring all responses of a space to one task.
     """
     return (
-        envelopes.join(listing_ends(envelopes) if ends is None else ends, "space", "left")
+        envelopes.join(F.broadcast(listing_ends(envelopes) if ends is None else ends), "space", "left")
         .where(F.col("_end").isNull() | (F.col("start") <= F.col("_end")))
         .drop("_end")
     )
