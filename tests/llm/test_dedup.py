@@ -272,3 +272,20 @@ def test_near_stage_in_a_group_about_the_threshold(stored_docs, monkeypatch, cel
     connected = sum(forest.root(u) == forest.root(v) for u, v in alike)
     print(len(alike), connected, len(links))
     assert len(alike) > 300 and connected >= 0.99 * len(alike)
+
+
+def test_near_stage_takes_pairs_from_fingerprints(stored_docs, monkeypatch):
+    """The tries of five-word fingerprints bring their pairs into the stage, which compares these by all shingles."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(4000)}" for _ in range(900)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[::-1])), (4, " ".join(words).upper())]
+    plain = stored_docs(rows).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("row"), "text")
+    prints = {i: simhash.fingerprint(t, near_dedup.WORDS) for i, t in rows}
+    want = {(v, u) for u in prints for v in prints if u < v and (prints[u] ^ prints[v]).bit_count() <= simhash.BUDGET}
+    pairs = {(r["u"], r["v"]) for r in near_dedup.print_pairs(plain).collect()}
+    assert (4, 1) in pairs and pairs <= want
+    compared = []
+    whole = near_dedup._alike
+    monkeypatch.setattr(near_dedup, "_alike", lambda p, *rest: whole(compared.append({tuple(r) for r in p.collect()}) or p, *rest))
+    near_dedup.near_links(plain)
+    assert pairs <= compared[0]

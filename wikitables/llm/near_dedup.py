@@ -1,8 +1,12 @@
 """Near-deduplication by similarity: documents whose word shingles have a Jaccard similarity of 0.8 are copies.
 
-The pipeline's stage; ``simhash`` keeps the parameters of its own contract.  At
-0.8 the fingerprints of two texts differ in about ten of 64 bits, more than a
-join under a Hamming budget can afford, so candidates come from minima:
+The pipeline's stage; ``simhash`` keeps the parameters of its own contract.
+Fingerprints of five-word shingles, joined by the tries of ``simhash`` under its
+budget, give the first pairs: rows of one fingerprint with its first row, and
+the first rows of linked fingerprints.  They count as links only if all
+shingles confirm them.  At 0.8 the fingerprints of two texts differ in about
+ten of 64 bits, more than a join under a Hamming budget can afford, so the
+pairs out of its reach come from minima:
 
 1. A text's shingles are WORDS neighbouring words, a shorter text's is the
    whole of it.  HASHES minima of their hashes make BANDS keys of ROWS minima
@@ -38,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import slices, stored, unused_name, whole_text, word_blocks
 from .components import components
 
@@ -242,13 +247,24 @@ def _crossed(members: DataFrame, roots: DataFrame, sketches: DataFrame, plain: D
     return stored(sent.groupBy("key", "band", "i", "j").applyInArrow(run, "u long, v long"), "near-crossed")
 
 
+def print_pairs(plain: DataFrame) -> DataFrame:
+    """Pairs (u, v) of rows that the fingerprints' tries connect, v the first row of its fingerprint."""
+    prints = stored(simhash.prints_of(plain, WORDS), "near-prints")
+    classes = stored(prints.groupBy("fp").agg(F.min("row").alias("first")), "near-classes")
+    same = prints.join(classes, "fp").where("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+    linked = simhash.links(classes.select("fp")).toDF("a", "b")
+    firsts = linked.join(classes.toDF("a", "one"), "a").join(classes.toDF("b", "other"), "b")
+    return same.unionByName(firsts.select(F.greatest("one", "other").alias("u"), F.least("one", "other").alias("v")))
+
+
 def near_links(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' sketches, and links (u, v) between rows that connect those alike; ``plain`` has id, row, text."""
     sketches = stored(_sketches(plain), "near-sketches")
     keyed = sketches.select("row", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key", "band").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = stored(keyed.join(shared, ["key", "band"]), "near-members")
-    found = _alike(members.where("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v")).distinct(), sketches, plain)
+    by_minima = members.where("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+    found = _alike(print_pairs(plain).unionByName(by_minima).distinct(), sketches, plain)
     roots = stored(components(found), "near-roots")
     return sketches, found.unionByName(_crossed(members, roots, sketches, plain))
 

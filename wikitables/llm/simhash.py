@@ -46,31 +46,36 @@ SPLIT_LEVELS = 8
 BLOCKS = list(combinations(range(4), 2))
 
 
-def fingerprint(text: str) -> int:
-    """Majority vote over the 64 bits of the shingles' hashes."""
+def fingerprint(text: str, width: int = WORDS) -> int:
+    """Majority vote over the 64 bits of the hashes of the shingles of ``width`` words."""
     votes, total, tail = np.zeros(64, np.int64), 0, []
     for words in word_blocks(text.encode().lower()):  # bytes.lower changes A-Z only
         words = tail + words
-        hashed = b"".join(map(xxhash.xxh64_digest, map(b" ".join, zip(words, words[1:], words[2:], strict=False)), repeat(SEED)))
+        hashed = b"".join(map(xxhash.xxh64_digest, map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)), repeat(SEED)))
         if hashed:
             bits = np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1)
             votes += bits.sum(axis=0, dtype=np.int64)
             total += len(bits)
-        tail = words[-(WORDS - 1) :]
+        tail = words[-(width - 1) :]
     if not total:  # fewer words than a shingle has: the whole sequence, if any
         return xxhash.xxh64_intdigest(b" ".join(tail), SEED) if tail else 0
     return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
     """(id, row, fp) of each document; row is its number in ``docs``."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
+    return prints_of(plain, width)
+
+
+def prints_of(plain: DataFrame, width: int = WORDS) -> DataFrame:
+    """(id, row, fp) of the rows of ``plain``, which has id, row, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64)
+            made = np.array([fingerprint(t.as_py(), width) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], ["id", "row", "fp"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
     return plain.mapInArrow(run, "id long, row long, fp long")
 
 
