@@ -294,3 +294,26 @@ def test_cutoff_leaves_responses_in_their_tasks(spark, tmp_path):
             spark.conf.set(key, value)
     assert sorted(r["id"] for r in rows) == [str(k) for k in range(6)]
     assert len({r["task"] for r in rows}) == 6
+
+
+def test_trees_and_images_below_the_shared_folder_of_a_cluster(spark, tmp_path, monkeypatch):
+    """Each reader gets back what was written below a checkpoint folder that is named without a scheme."""
+    monkeypatch.setattr(storage, "CHECKPOINT_SETTING", "wikitables.test.checkpoint")
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,3000]")
+    spark.conf.set("wikitables.test.checkpoint", str(tmp_path))
+    pages = spark.createDataFrame([("1", "<p>é</p>")], "id string, html string")
+    paths = spark.createDataFrame([("1", "out/1-a.html", "out/1")], "id string, path string, dir string")
+    state = json.dumps({"pageId": "1", "version": 2, "modifiedDate": "2025-10-01T10:00:00Z", "downloadedAt": "2025-10-01T10:00:00Z"})
+    files = spark.createDataFrame([("1/a b.png", "x"), ("out/2-b.md", "y"), ("out/3.meta.json", state)], "path string, content string")
+    images = spark.createDataFrame([("1", 0, True, "pic.png", b"z")], "page_id string, pos int, found boolean, slug_name string, content binary")
+    try:
+        assert [r["path"] for r in sinks.write_html(pages, paths, f"{tmp_path}/html").collect()] == ["out/1-a.html"]
+        assert [tuple(r) for r in sinks.write_images(images, paths, f"{tmp_path}/images").collect()] == [("out/1/images/pic.png", 1)]
+        assert sinks.write_files(files, f"{tmp_path}/files").count() == 3
+    finally:
+        spark.conf.unset("wikitables.test.checkpoint")
+    assert [tuple(r) for r in readers.scan_html_tree(spark, f"{tmp_path}/html").collect()] == [("out/1-a.html", "1", "<p>é</p>")]
+    assert [r["path"] for r in readers.scan_markdown_tree(spark, f"{tmp_path}/files").collect()] == ["out/2-b.md"]
+    assert ("1", "a b.png", b"x") in [tuple(r) for r in readers.scan_attachments(spark, f"{tmp_path}/files").collect()]
+    assert [(r["path"], r["page_id"], r["version"]) for r in readers.scan_meta_sidecars(spark, f"{tmp_path}/files").collect()] == [("out/3.meta.json", "1", 2)]
+    assert (tmp_path / "images/out/1/images/pic.png").read_bytes() == b"z"
