@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -289,3 +290,21 @@ def test_near_stage_takes_pairs_from_fingerprints(stored_docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "_alike", lambda p, *rest: whole(compared.append({tuple(r) for r in p.collect()}) or p, *rest))
     near_dedup.near_links(plain)
     assert pairs <= compared[0]
+
+
+def test_parsing_holds_little_at_once():
+    """A task's arrays are those of one chunk, whatever its batch holds."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 5000, 50_000))) for _ in range(14)]
+    n = len(texts)
+    batch = pa.record_batch({"ord": np.arange(n), "row": np.arange(n), "text": texts})
+    tracemalloc.start()
+    try:
+        for _ in substring_dedup._parse(substring_dedup.WINDOW, substring_dedup.ROUNDS, substring_dedup.CHUNK)(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 90e6

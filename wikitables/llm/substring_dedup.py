@@ -46,8 +46,8 @@ WINDOW = 20
 # Rounds of recompression.  Symbols of the second round are decided by about 7 words, which leaves neighbouring windows
 # a common anchor (one record per 6 words) and few anchors that different segments share.
 ROUNDS = 2
-# Words that are parsed together.
-CHUNK = 1 << 19
+# Words that are parsed together; a worker holds about 300 bytes for each.
+CHUNK = 1 << 17
 _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 # Odd bases of the two rolling hashes and their inverses modulo 2**64.
