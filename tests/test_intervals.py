@@ -69,3 +69,18 @@ def test_deep_chain_is_linear_and_ranges_are_pushed_down(spark, tmp_path):
 
 def test_no_pages(spark):
     assert intervals.label_intervals(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_few_passes_over_a_bushy_forest_and_small_cores(spark, monkeypatch):
+    """Raked layers leave the walk only what is no bush: nothing, or a chain and a cycle with pages raked off beside them."""
+    walked = []
+    tour = intervals.euler_tour
+    monkeypatch.setattr(intervals, "euler_tour", lambda core: walked.append(core.count()) or tour(core))
+    rng = random.Random(8)
+    bush = [(n % 7, f"p{n}", "t", f"p{(n - 1) // 4}" if n else None) for n in range(400)]
+    assert found(intervals.label_intervals(spark.createDataFrame(bush, COLUMNS))) == expected(bush) and not walked
+    chain = [(rng.randrange(9), f"k{n}", "t", f"k{n - 1}" if n else rng.choice(["p3", None])) for n in range(60)]
+    hung = [(rng.randrange(9), f"h{n}", "t", rng.choice([None, "x1", "gone", f"k{rng.randrange(60)}", f"p{rng.randrange(400)}"])) for n in range(150)]
+    rows = bush + chain + hung + [(1, "x1", "t", "x2"), (2, "x2", "t", "x1")]
+    assert found(intervals.label_intervals(spark.createDataFrame(rows, COLUMNS))) == expected(rows)
+    assert len(walked) == 1 and walked[0] < len(rows) / 4

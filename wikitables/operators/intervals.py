@@ -1,14 +1,22 @@
-"""Interval labels of the page forest: Euler tour and list ranking.
+"""Interval labels of the page forest: raked leaves, Euler tour and list ranking.
 
-Walking around the forest enters and leaves each page once, children in listing
+Leaves are raked off in layers: a leaf's size goes to its parent, which may be a
+leaf of the next layer.  A layer is taken only while it has a fourth of the
+pages left, so all layers together cost as much as a few passes over the pages.
+What stays, long chains and cycles, is the core.
+
+Walking around the core enters and leaves each page once, children in listing
 order.  The walk is a linked list of two steps per page: after entering a page
 comes its first child, or leaving it; after leaving it comes its next sibling,
 or leaving its parent.  List ranking by pointer jumping gives every step the
 number of pages entered from it to the end, its depth and its root; a round
 adds what the step that is pointed at knows and jumps to where that one points.
+A page of the core counts with the pages raked off below it; those of them that
+come after a page of the walk are taken off its place again.
 
 A page's ``enter`` is its place in preorder, counted from 1, and ``leave`` the
-place of the last page below it.  So the pages below a page are a range of
+place of the last page below it.  A raked page comes after its parent and the
+sizes of its earlier siblings.  So the pages below a page are a range of
 places, an ancestor test compares numbers, and storage is one row of fixed
 width per page however deep the tree is.
 
@@ -22,43 +30,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranking import ranked
+from ..plans.ranking import ranked, summed_before
 from ..plans.skew import spread_join
 from ..plans.storage import store
 from .index_ops import dedupe_by_id
 
+# Layers raked at most; the core has under a thirtieth of the pages then.
+LAYERS = 12
 
-def euler_tour(pages: DataFrame) -> DataFrame:
-    """The steps ``(step, next, entered, change, root)`` of the walk around the forest.
 
-    ``pages`` has pos, id and parent_id, each id once.  ``entered`` and
-    ``change`` are 1 and 1 for entering a page, 0 and -1 for leaving it;
-    ``root`` is the page that leaving it ends a tree with.  Roots are siblings.
-    """
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """``(pos, id, up)``: ``up`` is the parent if it is a page.  ``pages`` has pos, id and parent_id, each id once."""
     present = pages.select(F.col("id").alias("parent_id"), F.lit(True).alias("_present"))
     linked = spread_join(pages.select("pos", "id", "parent_id"), present, ["parent_id"])
-    linked = linked.select("pos", "id", F.when(F.col("_present"), F.col("parent_id")).alias("up"))
-    siblings = store(ranked(linked, ["pos", "id"], "rank", ["up"]), "siblings")
+    return linked.select("pos", "id", F.when(F.col("_present"), F.col("parent_id")).alias("up"))
+
+
+def rake(linked: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Layers ``(pos, id, up, size)`` of leaves, and the core ``(pos, id, up, weight)`` with the pages raked off below it counted, None if nothing stays."""
+    pending, layers = store(linked.withColumn("weight", F.lit(1).cast("bigint")), "rake"), []
+    left = pending.count()
+    while left and len(layers) < LAYERS:
+        parents = pending.where("up is not null").select(F.col("up").alias("id"), F.lit(True).alias("_above")).distinct()
+        marked = store(pending.join(parents, "id", "left"), "rake-marked")
+        leaves = marked.where("_above is null").select("pos", "id", "up", F.col("weight").alias("size"))
+        taken = leaves.count()
+        if 4 * taken < left:
+            break
+        layers.append(leaves)
+        sums = leaves.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("_below"))
+        pending = store(
+            marked.where("_above").join(sums, "id", "left").select("pos", "id", "up", (F.col("weight") + F.coalesce("_below", F.lit(0))).alias("weight")), "rake"
+        )
+        left -= taken
+    return layers, pending if left else None
+
+
+def euler_tour(core: DataFrame) -> DataFrame:
+    """The steps ``(step, next, entered, change, shift, root)`` of the walk around the forest ``core``.
+
+    ``core`` has pos, id, up, weight and shift.  ``entered``, ``change`` and
+    ``shift`` are weight, 1 and shift for entering a page, 0, -1 and -shift for
+    leaving it; ``root`` is the page that leaving it ends a tree with.  Roots are
+    siblings.
+    """
+    siblings = store(ranked(core, ["pos", "id"], "rank", ["up"]), "siblings")
     following = siblings.select(F.col("up").alias("_up"), (F.col("rank") - 1).alias("_rank"), F.col("id").alias("sibling"))
     # Roots have no parent to hash by, so each is matched by its place alone.
     inner = siblings.where("up is not null").join(following.where("_up is not null"), (F.col("up") == F.col("_up")) & (F.col("rank") == F.col("_rank")), "left")
     roots = siblings.where("up is null").join(following.where("_up is null"), F.col("rank") == F.col("_rank"), "left")
     first = siblings.where("up is not null and rank = 1").select(F.col("up").alias("id"), F.col("id").alias("child"))
-    walk = inner.unionByName(roots).select("id", "up", "sibling").join(first, "id", "left")
+    walk = inner.unionByName(roots).select("id", "up", "sibling", "weight", "shift").join(first, "id", "left")
     down, up = (lambda c: F.concat(F.lit("d"), c)), (lambda c: F.concat(F.lit("u"), c))
     entering = F.struct(
         down(F.col("id")).alias("step"), F.coalesce(down(F.col("child")), up(F.col("id"))).alias("next"),
-        F.lit(1).cast("bigint").alias("entered"), F.lit(1).cast("bigint").alias("change"), F.lit(None).cast("string").alias("root"),
+        F.col("weight").alias("entered"), F.lit(1).cast("bigint").alias("change"), F.col("shift").alias("shift"), F.lit(None).cast("string").alias("root"),
     )
     leaving = F.struct(
         up(F.col("id")).alias("step"), F.coalesce(down(F.col("sibling")), up(F.col("up"))).alias("next"),
-        F.lit(0).cast("bigint").alias("entered"), F.lit(-1).cast("bigint").alias("change"), F.when(F.col("up").isNull(), F.col("id")).alias("root"),
+        F.lit(0).cast("bigint").alias("entered"), F.lit(-1).cast("bigint").alias("change"), (-F.col("shift")).alias("shift"), F.when(F.col("up").isNull(), F.col("id")).alias("root"),
     )
     return walk.select(F.explode(F.array(entering, leaving)).alias("s")).select("s.*")
 
 
 def ranked_steps(steps: DataFrame) -> DataFrame:
-    """``steps`` with the sums of entered and change and the first root from each step to the end; steps that reach none are left out.
+    """``steps`` with the sums of entered, change and shift and the first root from each step to the end; steps that reach none are left out.
 
     Every round doubles how far a pointer reaches; the steps it brings to the
     end are those of a stretch twice as long as the one before, so a round that
@@ -66,18 +102,18 @@ def ranked_steps(steps: DataFrame) -> DataFrame:
     """
     steps = store(steps, "tour")
     finished, pending, left = steps.where("next is null"), steps.where("next is not null"), None
+    sums = ("entered", "change", "shift")
     while True:
         remaining = pending.count()
         if remaining in (0, left):
             return finished.drop("next")
         left = remaining
         ahead = finished.unionByName(pending).select(
-            F.col("step").alias("next"), F.col("next").alias("_next"), F.col("entered").alias("_entered"), F.col("change").alias("_change"), F.col("root").alias("_root")
+            F.col("step").alias("next"), F.col("next").alias("_next"), *(F.col(c).alias(f"_{c}") for c in sums), F.col("root").alias("_root")
         )
         moved = store(
             pending.join(ahead, "next").select(
-                "step", F.col("_next").alias("next"), (F.col("entered") + F.col("_entered")).alias("entered"),
-                (F.col("change") + F.col("_change")).alias("change"), F.coalesce("root", "_root").alias("root"),
+                "step", F.col("_next").alias("next"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums), F.coalesce("root", "_root").alias("root")
             ),
             "tour-round",
         )
@@ -85,16 +121,55 @@ def ranked_steps(steps: DataFrame) -> DataFrame:
         pending = moved.where("next is not null")
 
 
-def label_intervals(index: DataFrame) -> DataFrame:
-    """The index columns with ``enter``, ``leave``, ``depth`` and ``root_id`` of each page that reaches a root."""
-    pages = store(dedupe_by_id(index), "interval-pages")
-    ranks = store(ranked_steps(euler_tour(pages)), "tour-ranks")
+def _core_labels(core: DataFrame, before: DataFrame) -> DataFrame:
+    """``(pos, id, up, size, enter, leave, depth, root_id)`` of the core's pages that reach a root; ``before`` has the raked pages below earlier siblings of each id."""
+    raked = core.select(F.col("id").alias("up"), (F.col("weight") - 1).alias("_raked"))
+    shifted = core.join(before.select("id", "before"), "id").join(raked, "up", "left")
+    core = store(shifted.select("pos", "id", "up", "weight", (F.coalesce("_raked", F.lit(0)) - F.col("before")).alias("shift")), "core")
+    ranks = store(ranked_steps(euler_tour(core)), "tour-ranks")
     total = ranks.agg(F.max("entered")).first()[0] or 0
     entering = ranks.where(F.col("step").startswith("d")).select(
-        F.substring("step", 2, 1 << 30).alias("id"), (total - F.col("entered") + 1).alias("enter"), (-F.col("change")).cast("int").alias("depth"), F.col("root").alias("root_id")
+        F.substring("step", 2, 1 << 30).alias("id"), F.col("entered").alias("_from"), F.col("shift").alias("_shift"), (-F.col("change")).cast("int").alias("depth"), F.col("root").alias("root_id")
     )
-    leaving = ranks.where(F.col("step").startswith("u")).select(F.substring("step", 2, 1 << 30).alias("id"), (total - F.col("entered")).alias("leave"))
-    return store(pages.join(entering, "id").join(leaving, "id").select(*pages.columns, "enter", "leave", "depth", "root_id"), "intervals")
+    leaving = ranks.where(F.col("step").startswith("u")).select(F.substring("step", 2, 1 << 30).alias("id"), F.col("entered").alias("_upto"))
+    size, enter = F.col("_from") - F.col("_upto"), total + 1 - F.col("_from") - F.col("shift") + F.col("_shift")
+    labels = core.join(entering, "id").join(leaving, "id")
+    return store(labels.select("pos", "id", "up", size.alias("size"), enter.alias("enter"), (enter + size - 1).alias("leave"), "depth", "root_id"), "core-labels")
+
+
+def label_intervals(index: DataFrame) -> DataFrame:
+    """The index columns with ``enter``, ``leave``, ``depth`` and ``root_id`` of each page that reaches a root."""
+    pages = store(dedupe_by_id(index), "interval-pages")
+    layers, core = rake(linked_pages(pages))
+    sized = [layer.withColumn("layer", F.lit(k)) for k, layer in enumerate(layers)]
+
+    def placed(of_core: list[DataFrame]) -> DataFrame:
+        rows = [*sized, *(c.select("pos", "id", "up", "size", F.lit(-1).alias("layer")) for c in of_core)]
+        together = rows[0]
+        for more in rows[1:]:
+            together = together.unionByName(more)
+        return store(summed_before(together, ["pos", "id"], "size", "before", ["up"]), "placed")
+
+    labelled, of_core = None, []
+    columns = ["id", "enter", "leave", "depth", "root_id"]
+    if core is not None:
+        of_core = [_core_labels(core, placed([core.withColumn("size", F.lit(0).cast("bigint"))]))]
+        labelled = of_core[0].select(*columns)
+    elif not layers:
+        return store(pages.select(*pages.columns, *(F.lit(None).cast(t).alias(c) for c, t in zip(columns[1:], ("bigint", "bigint", "int", "string")))), "intervals")
+    places = placed(of_core) if layers else None
+    for k in reversed(range(len(layers))):
+        layer = places.where(F.col("layer") == k)
+        enter = F.col("before") + 1
+        tops = layer.where("up is null").select("id", enter.alias("enter"), (enter + F.col("size") - 1).alias("leave"), F.lit(0).alias("depth"), F.col("id").alias("root_id"))
+        if labelled is None:
+            labelled = store(tops, "layer")
+            continue
+        above = labelled.select(F.col("id").alias("up"), F.col("enter").alias("_enter"), (F.col("depth") + 1).alias("depth"), "root_id")
+        enter = F.col("_enter") + enter
+        inner = layer.where("up is not null").join(above, "up").select("id", enter.alias("enter"), (enter + F.col("size") - 1).alias("leave"), "depth", "root_id")
+        labelled = labelled.unionByName(store(tops.unionByName(inner), "layer"))
+    return store(pages.join(labelled, "id").select(*pages.columns, *columns[1:]), "intervals")
 
 
 def write_intervals(labels: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
