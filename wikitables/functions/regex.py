@@ -130,6 +130,21 @@ def trim_ws(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITE_SPACE))
 
 
+def let(col: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``col`` once and use the value several times in ``body``."""
+    return F.transform(F.array(col), body)[0]
+
+
+def is_exotic(col: Column) -> Column:
+    """Whether a text holds an :data:`EXOTIC` character.
+
+    ASCII texts, as many bytes as characters, are searched for ``\\r`` alone; in others ASCII characters are passed over by
+    one range, as the class itself tries every character against each of its parts.
+    """
+    found = col.rlike(rf"[\r\x{{A0}}-\x{{FFFF}}](?<={EXOTIC})")
+    return F.when(F.octet_length(col) == F.length(col), col.contains("\r")).otherwise(found)
+
+
 def rewrite(col: Column, pattern: str, rebuild: Callable[[Column], Column], flags: str = "") -> Column:
     """Replace every match by ``rebuild(match)``: split into gaps and matches, zip them back.
 
@@ -156,10 +171,10 @@ def rewrite_spans(col: Column, opening: str, closing: str, rebuild: Callable[[Co
     ends = F.regexp_extract_all(col, F.lit(last), F.lit(0))
 
     def piece(text: Column, end: Column) -> Column:
-        parts = F.split(text, first, 2)
-        span = F.concat(F.substring(text, F.length(parts[0]) + 1, F.length(text)), end)
-        return F.when(F.size(parts) < 2, F.concat(text, F.coalesce(end, F.lit("")))).when(end.isNull(), text).otherwise(
-            F.concat(parts[0], rebuild(span))
-        )
+        def cut(parts: Column) -> Column:
+            span = F.concat(F.substring(text, F.length(parts[0]) + 1, F.length(text)), end)
+            return F.when(F.size(parts) < 2, F.concat(text, end)).otherwise(F.concat(parts[0], rebuild(span)))
+
+        return F.when(end.isNull(), text).otherwise(let(F.split(text, first, 2), cut))
 
     return F.array_join(F.zip_with(pieces, ends, piece), "")

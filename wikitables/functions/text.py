@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .regex import apply_rules, extract, extract_all, replace_all, trim_ws
+from .regex import apply_rules, extract, extract_all, let, replace_all, trim_ws
 
 __all__ = [
     "child_link", "container_id", "decode_uri", "depth", "encode_uri", "file_id", "front_matter", "iso_date", "let",
@@ -17,11 +15,6 @@ __all__ = [
 ]
 
 
-def let(col: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``col`` once and use the value several times in ``body``."""
-    return F.transform(F.array(col), body)[0]
-
-
 def slugify(text: Column) -> Column:
     return apply_rules(F.lower(text), R.SLUG_RULES)
 

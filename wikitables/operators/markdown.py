@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.regex import (
-    EXOTIC, apply_rules, extract, extract_all, java, matches, replace_all, rewrite, rewrite_spans, trim_ws,
+    apply_rules, extract, extract_all, is_exotic, java, let, matches, replace_all, rewrite, rewrite_spans, trim_ws,
 )
-from ..functions.text import child_link, container_id, let, slugify, split_extension, text_decode, url_basename
+from ..functions.text import child_link, container_id, slugify, split_extension, text_decode, url_basename
 
 # Private-use characters fence what is put in place after the text rules have run.  A page's own such characters are
 # escaped by others meanwhile, so no text of a page can look like a fence.
@@ -42,6 +42,11 @@ def unescape_fences(text: Column) -> Column:
     return text
 
 
+def holds(text: Column, *literals: str) -> Column:
+    """Whether the text holds one of the lower-case literals in any case: a test before rules that need one, cheaper than a regex pass."""
+    return let(F.lower(text), lambda low: F.exists(F.array(*map(F.lit, literals)), lambda part: low.contains(part)))
+
+
 # ---- table cells and tables -------------------------------------------------
 
 
@@ -65,7 +70,8 @@ def flatten_cell_lists(html: Column) -> Column:
         return F.when(matches(inner, R.LIST_OPEN, "i") & (F.size(items) > 0), flat).otherwise(tag)
 
     return let(
-        html, lambda x: F.when(matches(x, "<td", "i"), rewrite_spans(x, R.CELL_OPEN, R.CELL_CLOSE, cell, "i")).otherwise(x)
+        html,
+        lambda x: F.when(holds(x, "<td") & holds(x, "<ul", "<ol"), rewrite_spans(x, R.CELL_OPEN, R.CELL_CLOSE, cell, "i")).otherwise(x),
     )
 
 
@@ -91,7 +97,7 @@ def tables_to_markdown(html: Column) -> Column:
         )
         return F.when(F.size(rows) == 0, tag).otherwise(F.concat(F.lit("\n\n"), body, F.lit("\n\n")))
 
-    return let(html, lambda x: F.when(matches(x, "<table", "i"), rewrite_spans(x, R.TABLE_OPEN, R.TABLE_CLOSE, table, "i")).otherwise(x))
+    return let(html, lambda x: F.when(holds(x, "<table"), rewrite_spans(x, R.TABLE_OPEN, R.TABLE_CLOSE, table, "i")).otherwise(x))
 
 
 def trim_table_cells(text: Column) -> Column:
@@ -166,16 +172,15 @@ def unwrap_tables(html: Column) -> Column:
     def alone(tag: Column) -> Column:
         return F.when(_macro_name(tag).isin(*R.TABLE_MACROS), F.lit("")).otherwise(tag)
 
-    some_table = "|".join(f'ac:name="{name}"' for name in R.TABLE_MACROS)
-    return let(html, lambda x: F.when(matches(x, some_table, "i"), fold_macros(x, paired, alone)).otherwise(x))
+    return let(
+        html, lambda x: F.when(holds(x, *(f'ac:name="{name}"' for name in R.TABLE_MACROS)), fold_macros(x, paired, alone)).otherwise(x)
+    )
 
 
 def _marker(tag: Column) -> Column:
     text = F.concat(F.lit(R.OTHER_MACRO[0]), extract(tag, R.MACRO_NAME, 1, "i"), F.lit(R.OTHER_MACRO[1]))
-    name = _macro_name(tag)
-    for known, marker in R.MARKER_MACROS.items():
-        text = F.when(name == known, F.lit(marker)).otherwise(text)
-    return text
+    markers = F.create_map(*(F.lit(part) for pair in R.MARKER_MACROS.items() for part in pair))
+    return F.coalesce(F.try_element_at(markers, _macro_name(tag)), text)
 
 
 def _code_block(inner: Column) -> Column:
@@ -199,19 +204,22 @@ def convert_macros(html: Column) -> Column:
     """
 
     def paired(tag: Column, inner: Column, closing: Column) -> Column:
-        name, with_body = _macro_name(tag), matches(inner, R.MACRO_BODY, "i")
-        text = _marker(tag)
-        for kind, (before, after) in R.BODY_MACROS.items():
-            body = F.concat(F.lit(before), extract(inner, R.MACRO_BODY, 1, "i"), F.lit(after))
-            text = F.when((name == kind) & with_body, body).otherwise(text)
-        text = F.when(name == "info", _info_panel(inner)).otherwise(text)
-        return F.when((name == "code") & matches(inner, R.CODE_BODY, "is"), _code_block(inner)).otherwise(text)
+        def convert(name: Column) -> Column:
+            text, with_body = _marker(tag), matches(inner, R.MACRO_BODY, "i")
+            for kind, (before, after) in R.BODY_MACROS.items():
+                body = F.concat(F.lit(before), extract(inner, R.MACRO_BODY, 1, "i"), F.lit(after))
+                text = F.when((name == kind) & with_body, body).otherwise(text)
+            text = F.when(name == "info", _info_panel(inner)).otherwise(text)
+            return F.when((name == "code") & matches(inner, R.CODE_BODY, "is"), _code_block(inner)).otherwise(text)
+
+        return let(_macro_name(tag), convert)
 
     return _where_macros(html, lambda x: fold_macros(x, paired, _marker))
 
 
-def _where_macros(html: Column, convert) -> Column:
-    return let(html, lambda x: F.when(matches(x, "<ac:structured-macro", "i"), convert(x)).otherwise(x))
+def _where_macros(html: Column, convert, part: str = "<ac:structured-macro") -> Column:
+    """The text converted if it holds ``part``, which every macro concerned does."""
+    return let(html, lambda x: F.when(holds(x, part), convert(x)).otherwise(x))
 
 
 def macro_title(tag: Column) -> Column:
@@ -225,13 +233,15 @@ def expand_children(html: Column, by_title: Column, own: Column) -> Column:
         title = macro_title(tag)
         return F.coalesce(F.when(title != "", F.try_element_at(by_title, title)), own, F.lit(R.NO_CHILDREN))
 
-    return _where_macros(html, lambda x: rewrite(x, R.CHILDREN_MACRO, macro, "i"))
+    return _where_macros(html, lambda x: rewrite(x, R.CHILDREN_MACRO, macro, "i"), 'ac:name="children"')
 
 
 def expand_list_children(html: Column, own: Column) -> Column:
     """``list-children`` macros become the child list of this page."""
     return _where_macros(
-        html, lambda x: rewrite(x, R.LIST_CHILDREN_MACRO, lambda _: F.coalesce(own, F.lit(R.NO_LISTED_CHILDREN)), "is")
+        html,
+        lambda x: rewrite(x, R.LIST_CHILDREN_MACRO, lambda _: F.coalesce(own, F.lit(R.NO_LISTED_CHILDREN)), "is"),
+        'ac:name="list-children"',
     )
 
 
@@ -248,7 +258,7 @@ def mark_includes(html: Column, known: Column) -> Column:
             .otherwise(missing)
         )
 
-    return _where_macros(html, lambda x: rewrite(x, R.INCLUDE_MACRO, macro, "i"))
+    return _where_macros(html, lambda x: rewrite(x, R.INCLUDE_MACRO, macro, "i"), 'ac:name="include"')
 
 
 def fill_includes(text: Column, known: Column) -> Column:
@@ -281,7 +291,7 @@ def link_users(html: Column, by_name: Column, by_key: Column) -> Column:
         x = rewrite(x, R.USERNAME_LINK, name, "i")
         return let(x, lambda y: rewrite(y, R.USERKEY_LINK, user_key, "i"))
 
-    return let(html, lambda x: F.when(matches(x, "<ri:user", "i"), link(x)).otherwise(x))
+    return let(html, lambda x: F.when(holds(x, "<ri:user"), link(x)).otherwise(x))
 
 
 def link_pages(html: Column, targets: Column | None = None) -> Column:
@@ -301,7 +311,7 @@ def link_pages(html: Column, targets: Column | None = None) -> Column:
         x = rewrite(x, R.PAGE_LINK, to_link(R.PAGE_LINK), "i")
         return let(x, lambda y: rewrite(y, R.BARE_PAGE_LINK, to_link(R.BARE_PAGE_LINK), "i"))
 
-    return let(html, lambda x: F.when(matches(x, "<ri:page", "i"), both(x)).otherwise(x))
+    return let(html, lambda x: F.when(holds(x, "<ri:page"), both(x)).otherwise(x))
 
 
 def image_file(name: Column) -> Column:
@@ -324,7 +334,7 @@ def link_images(html: Column) -> Column:
             x, lambda y: rewrite(y, R.INLINE_IMAGE, lambda tag: image(url_basename(extract(tag, R.INLINE_IMAGE, 1, "i"))), "i")
         )
 
-    return let(html, lambda x: F.when(matches(x, "<ac:image|<img", "i"), both(x)).otherwise(x))
+    return let(html, lambda x: F.when(holds(x, "<ac:image", "<img"), both(x)).otherwise(x))
 
 
 def image_refs(html: Column, page_id: Column, named: Callable[[Column], Column] = lambda name: name) -> Column:
@@ -352,7 +362,7 @@ def drop_scripts(html: Column) -> Column:
 
     def drop(text: Column, opening: str, closing: str, flags: str) -> Column:
         nothing = lambda _: F.lit("")
-        return let(text, lambda x: F.when(matches(x, closing, flags), rewrite_spans(x, opening, closing, nothing, flags)).otherwise(x))
+        return let(text, lambda x: F.when(holds(x, closing), rewrite_spans(x, opening, closing, nothing, flags)).otherwise(x))
 
     for span in R.DROPPED_SPANS:
         html = drop(html, *span)
@@ -417,14 +427,15 @@ def finish_page(df: DataFrame, column: str) -> DataFrame:
     def pick(*wanted: str) -> list[R.Rule]:
         return [names[name] for name in wanted]
 
-    df = df.withColumn("_exotic", col.rlike(java(EXOTIC)))
+    df = df.withColumn("_exotic", is_exotic(col))
     df = step(df, some(col, ".md", "\\["), R.RESTORE_LINK_RULES)
     df = step(df, some(col, "<ac:link"), pick("ac_link"))
     # None of the rules up to ``p`` can put a tag together, so one lower-case copy serves them all.
     df = df.withColumn("_lowered", F.lower(col))
     for level in range(1, 7):
         df = step(df, some(lowered, f"</h{level}>"), pick(f"h{level}"))
-    df = step(df, some(lowered, "</strong>", "</b>", "</em>", "</i>"), pick("strong", "b", "em", "i"))
+    for tag in ("strong", "b", "em", "i"):
+        df = step(df, some(lowered, f"</{tag}>"), pick(tag))
     df = step(df, some(lowered, "</a>"), pick("a"))
     df = step(df, some(lowered, "<ul", "</ul>"), pick("ul_open", "ul_close"))
     df = step(df, some(lowered, "<ol", "</ol>"), pick("ol_open", "ol_close"))

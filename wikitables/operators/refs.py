@@ -134,14 +134,17 @@ def page_refs(pages: DataFrame, options: MarkdownOptions = MarkdownOptions()) ->
     def keys(kind: str, found: Column) -> Column:
         return F.transform(found, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
 
-    children = F.transform(extract_all(html, R.CHILDREN_MACRO, 0, "i"), M.macro_title)
-    includes = F.transform(extract_all(F.col("rest"), R.INCLUDE_MACRO, 0, "i"), M.macro_title)
-    own = F.when(matches(html, r'ac:name="(?:children|list-children)"', "i"), F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>")
-    )
+    none = F.array().cast("array<string>")
+
+    def found_in(text: Column, part: str, pattern: str, group: int) -> Column:
+        return F.when(M.holds(text, part), extract_all(text, pattern, group, "i")).otherwise(none)
+
+    children = F.transform(found_in(html, 'ac:name="children"', R.CHILDREN_MACRO, 0), M.macro_title)
+    includes = F.transform(found_in(F.col("rest"), 'ac:name="include"', R.INCLUDE_MACRO, 0), M.macro_title)
+    own = F.when(M.holds(html, 'ac:name="children"', 'ac:name="list-children"'), F.array(F.lit(""))).otherwise(none)
     found = [
-        keys("username", extract_all(html, R.USERNAME_LINK, 1, "i")),
-        keys("userkey", extract_all(html, R.USERKEY_LINK, 1, "i")),
+        keys("username", found_in(html, "<ri:user", R.USERNAME_LINK, 1)),
+        keys("userkey", found_in(html, "<ri:user", R.USERKEY_LINK, 1)),
         keys("children", F.filter(children, lambda t: t != "")),
         keys("include", F.filter(includes, lambda t: t != "")),
         keys("self", own),
