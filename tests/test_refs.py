@@ -167,6 +167,17 @@ def test_crlf_and_filter_on_result(spark, no_users):
     assert df.where(F.col("markdown").contains("b")).count() == 1
 
 
+def test_manifest_needs_no_markdown(spark, no_users):
+    """The image manifest takes the steps up to the images, a filter on the Markdown none twice."""
+    pages = make(spark, ("1", "A", None, '<p><strong>x</strong></p><ac:image><ri:attachment ri:filename="a.png" /></ac:image>'))
+    converted = convert(pages, no_users)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "</strong>" in plan(converted)
+    assert "</strong>" not in plan(refs.image_manifest(converted))
+    assert plan(converted.where(F.col("markdown").contains("x"))).count("</strong>") == plan(converted).count("</strong>")
+    assert [(r["pos"], r["name"]) for r in refs.image_manifest(converted).collect()] == [(0, "a.png")]
+
+
 def test_assemble_in_parts(spark):
     pieces = spark.range(10).select(F.lit("p").alias("id"), "id").toDF("id", "pos").withColumn("s", F.col("pos").cast("string"))
     assert [tuple(r) for r in refs.assemble_page(pieces, ",", size=4).collect()] == [("p", "0,1,2,3,4,5,6,7,8,9")]

@@ -455,11 +455,12 @@ def finish_page(df: DataFrame, column: str) -> DataFrame:
     df = step(df, some(col, "\n\n\n\n"), R.COLLAPSE_RULES)
     df = step(df, None, pick("line_ends")).withColumn(column, F.concat(trim_ws(col), F.lit("\n")))
     df = step(patterns(df), some(col, "\n\n\n\n"), R.COLLAPSE_RULES)
-    # A filter on the result would be rewritten in terms of the input, doubling at every step above;
-    # the optimizer moves no such filter below a generator.
-    done = F.explode(F.array(F.concat(trim_ws(col), F.lit("\n")))).alias("_done")
+    # A filter on the result would be rewritten in terms of the input, doubling at every step above; the optimizer moves
+    # no filter below a column that depends on the task.  Unlike a generator's, such a column goes with all its
+    # steps where nothing reads it.
+    done = F.when(F.spark_partition_id() >= 0, F.concat(trim_ws(col), F.lit("\n"))).alias(column)
     columns = [c for c in df.columns if c not in ("_exotic", "_lowered")]
-    return df.select(*columns, done).select(*(F.col("_done").alias(c) if c == column else c for c in columns))
+    return df.select(*(done if c == column else c for c in columns))
 
 
 def convert_plain(df: DataFrame, column: str, includes: Column | None = None) -> DataFrame:
