@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import duck as D
 from wikitables.functions import rules as R
 from wikitables.functions import text as T
-from wikitables.functions.regex import apply_rules, rewrite_spans
+from wikitables.functions.regex import EXOTIC, apply_rules, has_exotic, java, rewrite_spans
 from wikitables.operators import markdown as M
 from wikitables.operators.refs import attachment_candidates, include_items
 
@@ -257,3 +257,14 @@ def test_spans_equal_the_lazy_pattern(spark, seed):
     span = rewrite_spans(F.col("t"), R.CELL_OPEN, R.CELL_CLOSE, lambda s: F.concat(F.lit("["), s, F.lit("]")), "i")
     for r in df.select("t", span.alias("got")).collect():
         assert r["got"] == re.sub(r"(?is)<td[^>]*>.*?</td>", lambda m: f"[{m[0]}]", r["t"])
+
+
+def test_unusual_white_space_is_found_by_literals(spark):
+    """The literal search finds exactly the characters of the class, which the conversion's plan no longer holds."""
+    rows = [(i, f"a{chr(i)}b") for i in range(1, 0x10000) if not 0xD800 <= i <= 0xDFFF] + [(0, None)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    found = has_exotic(F.col("t"))
+    assert df.where(~found.eqNullSafe(F.col("t").rlike(java(EXOTIC)))).count() == 0
+    assert df.where(found).count() == 20
+    plan = M.finish_page(df.select("i", F.col("t").alias("html")), "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert java(EXOTIC) not in plan

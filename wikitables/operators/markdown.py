@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.regex import (
-    EXOTIC, apply_rules, extract, extract_all, java, matches, replace_all, rewrite, rewrite_spans, trim_ws,
+    apply_rules, extract, extract_all, has_exotic, java, matches, replace_all, rewrite, rewrite_spans, trim_ws,
 )
 from ..functions.text import child_link, container_id, let, slugify, split_extension, text_decode, url_basename
 
@@ -26,7 +26,8 @@ INCLUDE_TOKEN = f"{INCLUDE_OPEN}([^{INCLUDE_CLOSE}]*){INCLUDE_CLOSE}"
 
 
 def normalize_newlines(text: Column) -> Column:
-    return apply_rules(text, R.PREPARE_RULES)
+    """Line ends as ``\\n``.  ``text`` is read twice, so pass a plain column."""
+    return F.when(text.contains("\r"), apply_rules(text, R.PREPARE_RULES)).otherwise(text)
 
 
 def escape_fences(text: Column) -> Column:
@@ -417,7 +418,7 @@ def finish_page(df: DataFrame, column: str) -> DataFrame:
     def pick(*wanted: str) -> list[R.Rule]:
         return [names[name] for name in wanted]
 
-    df = df.withColumn("_exotic", col.rlike(java(EXOTIC)))
+    df = df.withColumn("_exotic", has_exotic(col))
     df = step(df, some(col, ".md", "\\["), R.RESTORE_LINK_RULES)
     df = step(df, some(col, "<ac:link"), pick("ac_link"))
     # None of the rules up to ``p`` can put a tag together, so one lower-case copy serves them all.

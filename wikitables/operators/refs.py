@@ -366,7 +366,7 @@ def insert_refs(df: DataFrame, options: MarkdownOptions = MarkdownOptions()) ->
     Adds ``includes``, the texts to fill in after the table stage.
     """
     bound = F.struct(
-        M.flatten_cell_lists(M.normalize_newlines(M.escape_fences(F.col("html")))).alias("html"),
+        M.flatten_cell_lists(M.escape_fences(M.normalize_newlines(F.col("html")))).alias("html"),
         *(_of_kind(F.col("refs"), kind).alias(kind) for kind in ("username", "userkey", "children", "self", "include", "link")),
     )
 
