@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from wikitables.operators.refs import MarkdownOptions
 from wikitables.plans import storage
-from wikitables.sources import buckets, readers, sinks
+from wikitables.sources import buckets, files, readers, sinks
 from wikitables.streaming import streams
-from wikitables.sync import SyncOptions, current_table, sync_corpus, transform_stored
+from wikitables.sync import SyncOptions, current_table, migrate_sidecars, sync_corpus, transform_stored
 
 NOW = datetime(2025, 11, 1)
 
@@ -317,3 +317,23 @@ def test_trees_and_images_below_the_shared_folder_of_a_cluster(spark, tmp_path,
     assert ("1", "a b.png", b"x") in [tuple(r) for r in readers.scan_attachments(spark, f"{tmp_path}/files").collect()]
     assert [(r["path"], r["page_id"], r["version"]) for r in readers.scan_meta_sidecars(spark, f"{tmp_path}/files").collect()] == [("out/3.meta.json", "1", 2)]
     assert (tmp_path / "images/out/1/images/pic.png").read_bytes() == b"z"
+
+
+def test_sidecars_are_listed_by_tasks(spark, fx_index, tmp_path, monkeypatch):
+    """No sidecar is named to the driver; folders are passed on from round to round until all are listed."""
+    root, options = tmp_path / "files", SyncOptions("S", "", str(tmp_path / "tables"), NOW)
+    for k in range(40):
+        folder = root / f"a{k % 5}" / f"b{k % 10}" / "c"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{k:02}.meta.json").write_text(json.dumps({"pageId": str(100001 + k % 8), "version": k, "downloadedAt": "2025-10-01T10:00:00Z"}))
+    sinks.write_index(fx_index, f"{options.tables}/page_index", "S", 1, NOW)
+    for name, value in (("FIRST_ROUND", 2), ("KEPT_FOLDERS", 1), ("BATCH_ROWS", 3)):
+        monkeypatch.setattr(files, name, value)
+    scanned = readers.scan_meta_sidecars(spark, str(root))
+    assert not [name for name in scanned.inputFiles() if name.endswith(".meta.json")]
+    assert sorted(r["version"] for r in scanned.collect()) == list(range(40))
+    skipped = migrate_sidecars(spark, options, str(root))
+    assert {r["page_id"] for r in skipped.collect()} == {"100006", "100007", "100008"}
+    now = {r["id"]: r["downloaded_version"] for r in sinks.read_latest(spark, f"{options.tables}/page_index", "S").collect()}
+    last = {str(100001 + k % 8): k for k in sorted(range(40), key=lambda k: (k % 5, k % 10, k))}
+    assert now == {page: last[page] for page in now} and len(now) == 5

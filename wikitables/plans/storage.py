@@ -31,11 +31,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
-def located(spark: SparkSession, path: str) -> str:
-    """``path`` with the scheme and host of the file system that Spark reads it by, links of a view file system followed; the folder is made."""
+def located(spark: SparkSession, path: str, make: bool = True) -> str | None:
+    """``path`` with the scheme and host of the file system that Spark reads it by, links of a view file system followed.
+
+    The folder is made, or else must be there already: without it the result is nothing.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.mkdirs(folder)
+    if make:
+        fs.mkdirs(folder)
+    elif not fs.exists(folder):
+        return None
     return fs.resolvePath(folder).toString()
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import file_id
 from ..schemas import ENVELOPE, ENVELOPE_WITHOUT_BODY, SIDECAR, USER
+from .files import json_text, list_files, read_files
 
 
 def read_envelopes(spark: SparkSession, path: str, with_body: bool = True) -> DataFrame:
@@ -107,16 +109,6 @@ def scan_user_cache(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _tree_path(spark: SparkSession, root: str) -> Column:
-    """Path below ``root`` of the file a row was read from."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(folder)
-    path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    # Without scheme and host, which the two spell differently.
-    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
-    return F.substring(plain, len(full.toUri().getPath().rstrip("/")) + 2, 1 << 30)
-
-
 def _listed(files: DataFrame, skip: tuple[str, ...]) -> DataFrame:
     """Drop files in skipped folders, and hidden files and folders."""
     parts = F.split("path", "/")
@@ -127,37 +119,40 @@ def _listed(files: DataFrame, skip: tuple[str, ...]) -> DataFrame:
 
 def scan_html_tree(spark: SparkSession, root: str) -> DataFrame:
     """Stored page bodies: ``(path, id, html)``."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(root, wholetext=True)
-    found = _listed(files.select(_tree_path(spark, root).alias("path"), F.col("value").alias("html")), ("images",))
-    return found.select("path", file_id(F.substring_index("path", "/", -1)).alias("id"), "html")
+    found = read_files(spark, root, ".html", _listed(list_files(spark, root, ".html"), ("images",)))
+    return found.select("path", file_id(F.substring_index("path", "/", -1)).alias("id"), F.col("content").cast("string").alias("html"))
 
 
 def scan_markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     """Paths of the Markdown files; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    return _listed(files.select(_tree_path(spark, root).alias("path")), ("images", "links"))
+    return _listed(list_files(spark, root, ".md"), ("images", "links")).select("path")
 
 
 def scan_attachments(spark: SparkSession, root: str) -> DataFrame:
     """Attachments stored as ``<page id>/<file name>``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.split(_tree_path(spark, root), "/")
-    return files.select(
+    path = F.split("path", "/")
+    return read_files(spark, root).select(
         F.element_at(path, -2).alias("page_id"), F.element_at(path, -1).alias("filename"), F.col("content")
     )
 
 
 def scan_meta_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """Download state left beside the page files."""
-    files = (
-        spark.read.schema(SIDECAR).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json")
-        .option("multiLine", "true").json(root)
+    """Download state left beside the page files.
+
+    As Spark reads JSON files: a list gives a row for each of its states, a
+    file that is none a row of nulls, a file without any text no row.
+    """
+    listed = _listed(list_files(spark, root, ".meta.json"), ("images",))
+    files = read_files(spark, root, ".meta.json", listed, json_text)
+    text = F.col("content")
+    states = F.when(text.rlike(r"^\s*\["), F.from_json(text, T.ArrayType(SIDECAR))).otherwise(F.array(F.from_json(text, SIDECAR)))
+    rows = files.where(text.isNull() | text.rlike(r"\S")).select(
+        "path", F.explode(F.coalesce(states, F.array(F.lit(None).cast(SIDECAR)))).alias("state")
     )
-    rows = files.select(
-        _tree_path(spark, root).alias("path"),
-        F.col("pageId").alias("page_id"),
-        "version",
-        timestamp(F.col("modifiedDate")).alias("modified_at"),
-        timestamp(F.col("downloadedAt")).alias("downloaded_at"),
+    return rows.select(
+        "path",
+        F.col("state.pageId").alias("page_id"),
+        F.col("state.version").alias("version"),
+        timestamp(F.col("state.modifiedDate")).alias("modified_at"),
+        timestamp(F.col("state.downloadedAt")).alias("downloaded_at"),
     )
-    return _listed(rows, ("images",))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.skew import spread_join
 from ..plans.storage import delete_paths, is_shared, located
+from .files import opened
 
 RUNS = "runs"
 
@@ -98,14 +97,12 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
     place = located(spark, root)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Hadoop's own spelling of local paths, file:/x, is none that Arrow knows.
-        local = place.startswith("file:")
-        fs, base = (pafs.LocalFileSystem(), re.sub("^file:(//[^/]*)?", "", place)) if local else pafs.FileSystem.from_uri(place)
+        fs, base = opened(place)
         folders: set[str] = set()
         for batch in batches:
             sizes = []
             for path, content in zip(batch["path"], batch["content"]):
-                target = f"{base.rstrip('/')}/{path}"
+                target = f"{base}/{path}"
                 folder = target.rsplit("/", 1)[0]
                 if folder not in folders:
                     fs.create_dir(folder, recursive=True)
