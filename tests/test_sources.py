@@ -337,3 +337,20 @@ def test_sidecars_are_listed_by_tasks(spark, fx_index, tmp_path, monkeypatch):
     now = {r["id"]: r["downloaded_version"] for r in sinks.read_latest(spark, f"{options.tables}/page_index", "S").collect()}
     last = {str(100001 + k % 8): k for k in sorted(range(40), key=lambda k: (k % 5, k % 10, k))}
     assert now == {page: last[page] for page in now} and len(now) == 5
+
+
+def test_sidecars_of_any_form(spark, tmp_path):
+    """Lists, encodings and broken files as Spark's JSON reader takes them; the tasks' number follows what there is to read."""
+    ok = '{"pageId":"1","version":2,"downloadedAt":"2025-10-01T10:00:00Z"}'
+    forms = {
+        "a": ok, "b": f"\n[{ok}, {ok}]", "c": "{bad", "d": "", "e": " \n", "f": "[]", "g": '{"pageId":5,"version":"x"}', "h": "\ufeff" + ok, "i": ok.encode("utf-16"),
+        "j": ok.encode()[:-1] + b',"x":"\xff"}', "k": ok + " trailing", "l": "null", "m": "[1, 2]", "n": '[{"pageId":"1","version":"x"}, {"pageId":"2","version":3}]', "o": f"[{ok}, {{bad]",
+    }
+    for name, data in forms.items():
+        (tmp_path / f"{name}.meta.json").write_bytes(data if isinstance(data, bytes) else data.encode())
+    rows = readers.scan_meta_sidecars(spark, str(tmp_path))
+    got = sorted((r["path"][0], r["page_id"], r["version"]) for r in rows.fillna({"page_id": "", "version": 0}).collect())
+    whole, nothing = ("1", 2), ("", 0)
+    assert got == sorted([(n, *whole) for n in "abbhik"] + [(n, *nothing) for n in "cjlmo"] + [("g", "5", 0), ("n", "1", 0), ("n", "2", 3)])
+    assert not [name for name in rows.inputFiles() if name.endswith(".meta.json")]
+    assert rows.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
