@@ -17,7 +17,7 @@ from wikitables.operators import markdown as M
 from wikitables.operators import digests, intervals, refs, tree
 from wikitables.plans.storage import checkpoint_folder, store
 from wikitables.schemas import INDEX_COLUMNS, META_COLUMNS
-from wikitables.sources import changes, readers, sinks
+from wikitables.sources import changes, files, readers, sinks
 from wikitables.streaming import streams
 from wikitables.sync import SyncOptions, current_table, maintain, migrate_sidecars, sync_corpus, transform_stored
 
@@ -799,9 +799,7 @@ def _read_back(v: Views, write) -> DataFrame:
     """What ``write(root)`` has written: the path, size and checksum of each file."""
     root = _scratch(v, "files")
     write(root).agg(F.sum("bytes")).collect()
-    spark = v.pages.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(readers._tree_path(spark, root).alias("path"), F.col("length").alias("bytes"), F.md5("content").alias("content"))
+    return files.read_files(v.pages.sparkSession, root).select("path", "bytes", F.md5("content").alias("content"))
 
 
 add("write_html", cte(f"{_PATHS} SELECT t.child_dir || '.html' AS path, CAST(strlen(p.html) AS BIGINT) AS bytes, md5(p.html) AS content FROM paths t JOIN v_pages p ON p.id = t.id"), "v_pages")(
