@@ -354,3 +354,17 @@ def test_sidecars_of_any_form(spark, tmp_path):
     assert got == sorted([(n, *whole) for n in "abbhik"] + [(n, *nothing) for n in "cjlmo"] + [("g", "5", 0), ("n", "1", 0), ("n", "2", 3)])
     assert not [name for name in rows.inputFiles() if name.endswith(".meta.json")]
     assert rows.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_written_files_are_read_back_by_tasks(spark, tmp_path, monkeypatch):
+    """The checks of write_html, write_markdown and write_images see every file that was written, empty ones too, without naming any to the driver."""
+    from checks import queries
+    from checks.views import Views
+
+    monkeypatch.setattr(queries, "_scratch", lambda v, name: f"{tmp_path}/{name}")
+    written = spark.range(60).selectExpr("concat('out/a', id % 7, '/', id, '.html') AS path", "repeat('é', cast(id AS int)) AS content")
+    got = queries._read_back(Views(spark, "/root/testdata/sf0.001"), lambda root: sinks.write_files(written, root))
+    assert not [name for name in got.inputFiles() if name.endswith(".html")]
+    wanted = written.selectExpr("path", "cast(octet_length(content) AS bigint) AS bytes", "md5(encode(content, 'utf-8')) AS content")
+    assert got.schema.simpleString() == wanted.schema.simpleString()
+    assert sorted(got.collect()) == sorted(wanted.collect())
