@@ -368,3 +368,18 @@ def test_written_files_are_read_back_by_tasks(spark, tmp_path, monkeypatch):
     wanted = written.selectExpr("path", "cast(octet_length(content) AS bigint) AS bytes", "md5(encode(content, 'utf-8')) AS content")
     assert got.schema.simpleString() == wanted.schema.simpleString()
     assert sorted(got.collect()) == sorted(wanted.collect())
+
+
+def test_markdown_files_are_read_back_by_tasks(spark, tmp_path, monkeypatch):
+    """What write_markdown has written is seen whole and without naming a file to the driver, in few tasks."""
+    from checks import queries
+    from checks.views import Views
+
+    monkeypatch.setattr(queries, "_scratch", lambda v, name: f"{tmp_path}/{name}")
+    pages = spark.range(90).selectExpr("cast(id AS string) AS id", "concat(id, '-page.md') AS file", "concat('# ', id, repeat(' ü', cast(id AS int)), '\n') AS markdown")
+    paths = spark.range(90).selectExpr("cast(id AS string) AS id", "concat('out/DOCS/', id % 4, '-top') AS dir")
+    got = queries._read_back(Views(spark, "/root/testdata/sf0.001"), lambda root: sinks.write_markdown(pages, paths, root))
+    assert not [name for name in got.inputFiles() if name.endswith(".md")]
+    assert got.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = pages.join(paths, "id").selectExpr("concat(dir, '/', file) AS path", "cast(octet_length(markdown) AS bigint) AS bytes", "md5(encode(markdown, 'utf-8')) AS content")
+    assert sorted(got.collect()) == sorted(wanted.collect()) and got.count() == 90
